@@ -156,11 +156,15 @@ def sample_min_gap(
     key: tuple[str, ...] = ("asset_id",),
     order: tuple[str, ...] = ("recv_ts", "ord"),
     payload: tuple[str, ...] = (),
+    width: int | None = None,
 ) -> DataFrame:
-    """Kept points as ``key + order + payload``; exactly ``gap`` apart is kept."""
+    """Kept points as ``key + order + payload``; exactly ``gap`` apart is kept.
+
+    ``width`` sets the slice width, to share a shuffle with other sliced work.
+    """
     if gap <= 0:
         raise ValueError("gap must be positive")
-    width = slice_width(gap)
+    width = slice_width(gap) if width is None or width < _MIN_CELLS * gap else width
     axis = Axis(key, order, width)
     columns = [*key, *order, *[c for c in payload if c not in order and c not in key]]
     keyed = df.select(*columns)
@@ -182,14 +186,10 @@ def sample_min_gap(
             _summaries(axis.part, axis.ts, gap, width), f"{part_ddl}, _entry bigint, _exit bigint"
         )
     )
-    # A window function states the clustering by key that the fold relies on.
-    by_key = Window.partitionBy(*key).orderBy(SLICE, "_entry")
     carry = (
-        tables.withColumn("_n", F.row_number().over(by_key)).drop("_n")
-        if not key
-        else tables.repartition(*key)
-    ).sortWithinPartitions(*axis.part, "_entry").mapInPandas(
-        _fold(list(key), gap), f"{part_ddl}, _carry bigint"
+        (tables.repartition(*key) if key else tables.coalesce(1))
+        .sortWithinPartitions(*axis.part, "_entry")
+        .mapInPandas(_fold(list(key), gap), f"{part_ddl}, _carry bigint")
     )
     out_ddl = ", ".join(f"`{c}` {types[c]}" for c in columns)
     return (

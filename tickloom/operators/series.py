@@ -14,7 +14,8 @@ breaks ties of ``recv_ts``; a zero price, bid or ask and an empty market id mean
 * optionally mark rows (which event is a snapshot) and grid rows (instants at
   which the state is wanted).
 
-After that every statistic is an incremental window frame over the slice.
+After that every statistic is an incremental window frame over the slice. Log
+returns are summed over the samples alone, before they meet the events.
 """
 from __future__ import annotations
 
@@ -130,7 +131,7 @@ def samples(events: DataFrame, p: Params = Params()) -> DataFrame:
             _KEY, F.col("recv_ts").cast("bigint").alias("recv_ts"),
             F.col("ord").cast("bigint").alias("ord"), "price",
         ),
-        p.gap_ms, payload=("price",),
+        p.gap_ms, payload=("price",), width=p.slice_ms,
     )
 
 
@@ -233,6 +234,38 @@ def _grid(known: DataFrame, start: int, end: int, step: int, p: Params) -> tuple
     return wanted.select(_KEY, SLICE), instants
 
 
+def _with_sums(points: DataFrame) -> DataFrame:
+    """Samples of a slice with running sums of their log returns.
+
+    ``_sums`` holds the price, the running number ``n`` of the sample, the count,
+    sum and sum of squares ``q`` of the returns so far, and the ``q`` of the next
+    sample. Sums are decimals, so that differences of them lose nothing.
+    """
+    line = Window.partitionBy(_KEY, SLICE).orderBy("recv_ts", F.col("ord").asc_nulls_first())
+    upto, prior = line.rowsBetween(_FIRST, 0), line.rowsBetween(_FIRST, -1)
+    price = F.col("_sample_price")
+    points = points.withColumn("_sample_before", F.last(price, ignorenulls=True).over(prior))
+    ratio = F.ln(price / F.col("_sample_before")).cast("decimal(18,15)")
+    points = points.withColumn("_ret", F.when((price > 0) & (F.col("_sample_before") > 0), ratio))
+    square = F.col("_ret") * F.col("_ret")
+    points = points.withColumn("_n", F.count(price).over(upto)).withColumn(
+        "_q",
+        F.when(price.isNotNull(), F.struct(
+            F.count("_ret").over(upto).alias("c"),
+            F.coalesce(F.sum("_ret").over(upto), F.lit(0).cast("decimal(28,15)")).alias("s"),
+            F.coalesce(F.sum(square).over(upto), F.lit(0).cast("decimal(38,30)")).alias("ss"),
+        )),
+    )
+    # Samples follow the seed row without holes, so the next row is the next sample.
+    points = points.withColumn("_next", F.lead("_q").over(line))
+    return points.withColumn(
+        "_sums",
+        F.when(price.isNotNull(), F.struct(
+            price.alias("price"), F.col("_n").alias("n"), F.col("_q").alias("q"), F.col("_next").alias("next"),
+        )),
+    ).drop("_sample_price", "_sample_before", "_ret", "_n", "_q", "_next")
+
+
 def state_rows(
     events: DataFrame,
     p: Params = Params(),
@@ -259,90 +292,68 @@ def state_rows(
     kept = axis.cut(samples(events, p))
     wanted, instants = _grid(known, *grid, p) if grid else (None, None)
 
-    pieces = [
-        _seeds(known, kept, halo, p, wanted, initial),
-        kept.select(
-            _KEY, F.explode(F.sequence(F.col(SLICE), F.col(SLICE) + halo)).alias(SLICE),
-            "recv_ts", "ord", F.col("price").alias("_sample_price"), F.lit(_SAMPLE).alias("_row"),
-        ),
-        known.withColumn("_row", F.lit(_EVENT)),
-    ]
+    seeds = _seeds(known, kept, halo, p, wanted, initial)
+    halos = kept.select(
+        _KEY, F.explode(F.sequence(F.col(SLICE), F.col(SLICE) + halo)).alias(SLICE),
+        "recv_ts", "ord", F.col("price").alias("_sample_price"), F.lit(_SAMPLE).alias("_row"),
+    )
+    rows = _with_sums(seeds.unionByName(halos, allowMissingColumns=True))
+    pieces = [known.withColumn("_row", F.lit(_EVENT))]
     if marks is not None:
         pieces.append(axis.cut(marks.select(_KEY, "recv_ts", "ord")).withColumn("_row", F.lit(_MARK)))
     if instants is not None:
         pieces.append(instants)
-    rows = pieces[0]
-    for piece in pieces[1:]:
+    for piece in pieces:
         rows = rows.unionByName(piece, allowMissingColumns=True)
 
-    is_sample = F.col("_sample_price").isNotNull()
     line = Window.partitionBy(_KEY, SLICE).orderBy("recv_ts", F.col("ord").asc_nulls_first(), "_row")
     upto, prior = line.rowsBetween(_FIRST, 0), line.rowsBetween(_FIRST, -1)
     rows = rows.select(
-        _KEY, SLICE, "recv_ts", "ord", "_row", "price", "_sample_price", "_seq0",
-        F.last("market_id", ignorenulls=True).over(upto).alias("market_id"),
-        F.last("best_bid", ignorenulls=True).over(upto).alias("best_bid"),
-        F.last("best_ask", ignorenulls=True).over(upto).alias("best_ask"),
+        _KEY, SLICE, "recv_ts", "ord", "_row", "price", "_seq0", "_sums",
+        *[
+            F.last(c, ignorenulls=True).over(upto).alias(c)
+            for c in ("market_id", "best_bid", "best_ask")
+        ],
         F.last("price", ignorenulls=True).over(upto).alias("last"),
         F.last("price", ignorenulls=True).over(prior).alias("_before"),
-        F.last("_sample_price", ignorenulls=True).over(prior).alias("_sample_before"),
+        F.last("_sums", ignorenulls=True).over(upto).alias("_now"),
         (F.lag("_row").over(line) == _MARK).alias("marked"),
-    )
-    # Log returns as exact decimals: differences of running sums lose nothing.
-    ratio = F.ln(F.col("_sample_price") / F.col("_sample_before")).cast("decimal(18,15)")
-    rows = rows.withColumn(
-        "_ret",
-        F.when((F.col("_sample_price") > 0) & (F.col("_sample_before") > 0), ratio),
     ).withColumn(
         "changed",
         (F.col("_row") == _EVENT) & F.col("price").isNotNull()
         & (F.col("_before").isNull() | (F.col("_before") != F.col("price"))),
     )
     zero = F.lit(0)
-    rows = rows.select(
-        _KEY, SLICE, "recv_ts", "ord", "_row", "market_id", "best_bid", "best_ask", "last",
-        "marked", "changed", "_sample_price",
-        F.sum(F.coalesce("_seq0", zero) + F.col("changed").cast("bigint")).over(upto).alias("seq"),
-        F.count("_sample_price").over(upto).alias("_n"),
-        F.count("_ret").over(upto).alias("_q0"),
-        F.coalesce(F.sum("_ret").over(upto), zero.cast("decimal(28,15)")).alias("_q1"),
-        F.coalesce(
-            F.sum(F.col("_ret") * F.col("_ret")).over(upto), zero.cast("decimal(38,30)")
-        ).alias("_q2"),
-    )
-    rows = rows.withColumn("_own", F.when(is_sample, F.struct("_q0", "_q1", "_q2"))).withColumn(
-        "_next",
-        F.expr(
-            f"lead(_own) ignore nulls over (partition by {_KEY}, {SLICE} "
-            "order by recv_ts, ord nulls first, _row)"
-        ),
-    )
-    point = F.when(is_sample, F.struct(F.col("_sample_price").alias("price"), F.col("_n").alias("n")))
-    edge = F.when(is_sample, F.struct(F.col("_n").alias("n"), F.col("_next").alias("q")))
+    steps = F.coalesce("_seq0", zero) + F.col("changed").cast("bigint")
     by_time = Window.partitionBy(_KEY, SLICE).orderBy("recv_ts")
+    sums = F.col("_sums")
+    point = F.when(sums.isNotNull(), F.struct(sums["price"].alias("price"), sums["n"].alias("n")))
+    edge = F.when(sums.isNotNull(), F.struct(sums["n"].alias("n"), sums["next"].alias("q")))
 
     def asof(value: Column, back: int) -> Column:
         return F.last(value, ignorenulls=True).over(by_time.rangeBetween(_FIRST, -back))
 
-    rows = rows.select(
+    rows = rows.withColumn("seq", F.sum(steps).over(upto)).select(
         _KEY, "recv_ts", "ord", "_row", "market_id", "best_bid", "best_ask", "last", "marked",
-        "changed", "seq", "_n", "_q0", "_q1", "_q2",
+        "changed", "seq", "_now",
         *[asof(point, back).alias(f"_at_{name}") for name, back in looks.items()],
         asof(edge, p.vol_ms + 1).alias("_edge"),
     ).filter(F.col("_row") >= _EVENT)
 
     def found(name: str) -> Column:
         hit = F.col(f"_at_{name}")
-        return F.coalesce(F.col("_n") - hit["n"] < p.ring, F.lit(False))
+        return F.coalesce(F.col("_now.n") - hit["n"] < p.ring, F.lit(False))
 
     def change(name: str) -> Column:
         move = (F.col("last") - F.col(f"_at_{name}")["price"]) * 100
         return F.when(found(name), move).otherwise(F.lit(0.0))
 
-    inside = F.col("_n") - F.coalesce(F.col("_edge.n"), zero)
-    returns = F.col("_q0") - F.coalesce(F.col("_edge.q._q0"), zero)
-    total = (F.col("_q1") - F.coalesce(F.col("_edge.q._q1"), zero)).cast("decimal(20,15)")
-    squares = (F.col("_q2") - F.coalesce(F.col("_edge.q._q2"), zero)).cast("decimal(35,30)")
+    inside = F.coalesce("_now.n", zero) - F.coalesce("_edge.n", zero)
+    returns = F.coalesce("_now.q.c", zero) - F.coalesce("_edge.q.c", zero)
+    none = F.lit(0).cast("decimal(38,15)")
+    total = (F.coalesce("_now.q.s", none) - F.coalesce("_edge.q.s", none)).cast("decimal(20,15)")
+    none = F.lit(0).cast("decimal(38,30)")
+    squares = (F.coalesce("_now.q.ss", none) - F.coalesce("_edge.q.ss", none)).cast("decimal(35,30)")
     count = returns.cast("decimal(4,0)")
     spread = (count * squares - total * total).cast("double")
     ok_vol = (inside >= 3) & (returns >= 2)
