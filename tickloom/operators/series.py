@@ -73,22 +73,27 @@ def has_price(events: DataFrame, p: Params = Params()) -> DataFrame:
     return rows.filter(F.col("_known").isNotNull()).drop("_known")
 
 
-def _change_summary(priced: DataFrame) -> DataFrame:
-    """First and last price and number of inner changes per ``(asset, slice)``."""
-    at = F.struct("recv_ts", "ord")
+def _slice_summary(known: DataFrame) -> DataFrame:
+    """What one slice of an asset leaves behind, one row per ``(asset, slice)``.
+
+    First and last price, number of changes between them, newest market, bid and
+    ask. Null prices, bids, asks and markets are absent ones.
+    """
     local = Window.partitionBy(_KEY, SLICE).orderBy("recv_ts", "ord")
-    return (
-        priced.select(
-            _KEY, SLICE, "recv_ts", "ord", "price",
-            (F.lag("price").over(local) != F.col("price")).alias("_moved"),
-        )
-        .groupBy(_KEY, SLICE)
-        .agg(
-            F.min_by("price", at).alias("_first"),
-            F.max_by("price", at).alias("_last"),
-            F.count_if("_moved").alias("_moves"),
-        )
+    upto, prior = local.rowsBetween(_FIRST, 0), local.rowsBetween(_FIRST, -1)
+    newest = [c for c in ("market_id", "best_bid", "best_ask") if c in known.columns]
+    rows = known.select(
+        _KEY, SLICE, "recv_ts", "ord",
+        *[F.last(c, ignorenulls=True).over(upto).alias(c) for c in newest],
+        F.first("price", ignorenulls=True).over(upto).alias("_first"),
+        F.last("price", ignorenulls=True).over(upto).alias("_last"),
+        (F.last("price", ignorenulls=True).over(prior) != F.col("price")).alias("_moved"),
     )
+    moves = F.sum(F.coalesce(F.col("_moved").cast("bigint"), F.lit(0))).over(upto)
+    return rows.select(
+        _KEY, SLICE, *newest, "_first", "_last", moves.alias("_moves"),
+        F.lead("recv_ts").over(local).alias("_later"),
+    ).filter(F.col("_later").isNull()).drop("_later")
 
 
 def price_changes(events: DataFrame, p: Params = Params()) -> DataFrame:
@@ -98,7 +103,7 @@ def price_changes(events: DataFrame, p: Params = Params()) -> DataFrame:
     slices = Window.partitionBy(_KEY).orderBy(SLICE)
     earlier = slices.rowsBetween(_FIRST, -1)
     carry = (
-        _change_summary(priced)
+        _slice_summary(priced.select(_KEY, SLICE, "recv_ts", "ord", "price"))
         .withColumn("_before", F.last("_last", ignorenulls=True).over(earlier))
         .withColumn(
             "_total",
@@ -150,19 +155,12 @@ def _seeds(
     wanted: DataFrame | None, initial: DataFrame | None,
 ) -> DataFrame:
     """One row per ``(asset, slice)``: the state before the slice's first row."""
-    at = F.struct("recv_ts", "ord")
-    newest = {
-        c: F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c)
-        for c in ("market_id", "best_bid", "best_ask")
-    }
-    summary = known.groupBy(_KEY, SLICE).agg(*newest.values())
-    changes = _change_summary(
-        known.filter(F.col("price").isNotNull()).select(_KEY, SLICE, "recv_ts", "ord", "price")
-    )
-    oldest_kept = kept.groupBy(_KEY, SLICE).agg(
-        F.max_by(F.struct("recv_ts", "price"), "recv_ts").alias("_sample")
+    summary = _slice_summary(known).join(
+        kept.groupBy(_KEY, SLICE).agg(
+            F.max_by(F.struct("recv_ts", "ord", "price"), "recv_ts").alias("_sample")
+        ),
+        [_KEY, SLICE], "left",
     )
-    summary = summary.join(changes, [_KEY, SLICE], "left").join(oldest_kept, [_KEY, SLICE], "left")
     if wanted is not None:
         summary = (
             summary.withColumn("_w", F.lit(False))
@@ -209,7 +207,7 @@ def _seeds(
         _KEY, SLICE, "price", "best_bid", "best_ask", "market_id",
         (F.coalesce(F.sum(total).over(earlier), F.lit(0)) + F.coalesce("_iseq", F.lit(0))).alias("_seq0"),
         F.coalesce("_old.recv_ts", (F.col(SLICE) - (halo + 1)) * F.lit(p.slice_ms)).alias("recv_ts"),
-        F.col("_old.price").alias("_sample_price"),
+        F.col("_old.price").alias("s_price"),
         F.lit(_SEED).alias("_row"),
     )
 
@@ -234,36 +232,39 @@ def _grid(known: DataFrame, start: int, end: int, step: int, p: Params) -> tuple
     return wanted.select(_KEY, SLICE), instants
 
 
+_UNIT = 1e15  # log returns are summed as integers of this many units per 1
+_COARSE = 1e9  # squares in two parts: units of 1e-9, and of 1e-24 for the rest
+
+
 def _with_sums(points: DataFrame) -> DataFrame:
     """Samples of a slice with running sums of their log returns.
 
-    ``_sums`` holds the price, the running number ``n`` of the sample, the count,
-    sum and sum of squares ``q`` of the returns so far, and the ``q`` of the next
-    sample. Sums are decimals, so that differences of them lose nothing.
+    ``s_n`` numbers the samples; ``q_c, q_s, q_a, q_b`` are count, sum and the two
+    parts of the sum of squares of the returns so far, ``x_*`` the same at the next
+    sample. All are integers, so that differences of running sums are exact.
     """
     line = Window.partitionBy(_KEY, SLICE).orderBy("recv_ts", F.col("ord").asc_nulls_first())
     upto, prior = line.rowsBetween(_FIRST, 0), line.rowsBetween(_FIRST, -1)
-    price = F.col("_sample_price")
-    points = points.withColumn("_sample_before", F.last(price, ignorenulls=True).over(prior))
-    ratio = F.ln(price / F.col("_sample_before")).cast("decimal(18,15)")
-    points = points.withColumn("_ret", F.when((price > 0) & (F.col("_sample_before") > 0), ratio))
-    square = F.col("_ret") * F.col("_ret")
-    points = points.withColumn("_n", F.count(price).over(upto)).withColumn(
-        "_q",
-        F.when(price.isNotNull(), F.struct(
-            F.count("_ret").over(upto).alias("c"),
-            F.coalesce(F.sum("_ret").over(upto), F.lit(0).cast("decimal(28,15)")).alias("s"),
-            F.coalesce(F.sum(square).over(upto), F.lit(0).cast("decimal(38,30)")).alias("ss"),
-        )),
-    )
+    price, old = F.col("s_price"), F.col("_old")
+    points = points.withColumn("_old", F.last("s_price", ignorenulls=True).over(prior))
+    points = points.withColumn("_ret", F.when((price > 0) & (old > 0), F.ln(price / old)))
+    square = F.col("_ret") * F.col("_ret") * _COARSE
+    points = points.withColumns({"_a": F.floor(square), "_b": F.round((square - F.floor(square)) * _UNIT)})
+    parts = {
+        "q_c": F.col("_ret").isNotNull().cast("bigint"),
+        "q_s": F.round(F.col("_ret") * _UNIT).cast("bigint"),
+        "q_a": F.col("_a").cast("bigint"), "q_b": F.col("_b").cast("bigint"),
+    }
+    points = points.withColumns({
+        "s_n": F.when(price.isNotNull(), F.count("s_price").over(upto)),
+        **{
+            n: F.when(price.isNotNull(), F.coalesce(F.sum(v).over(upto), F.lit(0)))
+            for n, v in parts.items()
+        },
+    })
     # Samples follow the seed row without holes, so the next row is the next sample.
-    points = points.withColumn("_next", F.lead("_q").over(line))
-    return points.withColumn(
-        "_sums",
-        F.when(price.isNotNull(), F.struct(
-            price.alias("price"), F.col("_n").alias("n"), F.col("_q").alias("q"), F.col("_next").alias("next"),
-        )),
-    ).drop("_sample_price", "_sample_before", "_ret", "_n", "_q", "_next")
+    points = points.withColumns({f"x{n[1:]}": F.lead(n).over(line) for n in parts})
+    return points.drop("_old", "_ret", "_a", "_b")
 
 
 def state_rows(
@@ -289,13 +290,16 @@ def state_rows(
 
     axis = Axis(width=p.slice_ms)
     known = axis.cut(_known(events))
-    kept = axis.cut(samples(events, p))
+    # Used twice below: one exchange, and no filter that only one use would add.
+    kept = axis.cut(samples(events, p)).filter(
+        F.col(_KEY).isNotNull() & F.col(SLICE).isNotNull()
+    ).repartition(_KEY, SLICE)
     wanted, instants = _grid(known, *grid, p) if grid else (None, None)
 
     seeds = _seeds(known, kept, halo, p, wanted, initial)
     halos = kept.select(
         _KEY, F.explode(F.sequence(F.col(SLICE), F.col(SLICE) + halo)).alias(SLICE),
-        "recv_ts", "ord", F.col("price").alias("_sample_price"), F.lit(_SAMPLE).alias("_row"),
+        "recv_ts", "ord", F.col("price").alias("s_price"), F.lit(_SAMPLE).alias("_row"),
     )
     rows = _with_sums(seeds.unionByName(halos, allowMissingColumns=True))
     pieces = [known.withColumn("_row", F.lit(_EVENT))]
@@ -308,15 +312,17 @@ def state_rows(
 
     line = Window.partitionBy(_KEY, SLICE).orderBy("recv_ts", F.col("ord").asc_nulls_first(), "_row")
     upto, prior = line.rowsBetween(_FIRST, 0), line.rowsBetween(_FIRST, -1)
+    now = ("s_n", "q_c", "q_s", "q_a", "q_b")
     rows = rows.select(
-        _KEY, SLICE, "recv_ts", "ord", "_row", "price", "_seq0", "_sums",
+        _KEY, SLICE, "recv_ts", "ord", "_row", "price", "_seq0", "s_price", "s_n",
+        "x_c", "x_s", "x_a", "x_b",
         *[
             F.last(c, ignorenulls=True).over(upto).alias(c)
             for c in ("market_id", "best_bid", "best_ask")
         ],
         F.last("price", ignorenulls=True).over(upto).alias("last"),
         F.last("price", ignorenulls=True).over(prior).alias("_before"),
-        F.last("_sums", ignorenulls=True).over(upto).alias("_now"),
+        *[F.coalesce(F.last(c, ignorenulls=True).over(upto), F.lit(0)).alias(f"now_{c}") for c in now],
         (F.lag("_row").over(line) == _MARK).alias("marked"),
     ).withColumn(
         "changed",
@@ -326,40 +332,36 @@ def state_rows(
     zero = F.lit(0)
     steps = F.coalesce("_seq0", zero) + F.col("changed").cast("bigint")
     by_time = Window.partitionBy(_KEY, SLICE).orderBy("recv_ts")
-    sums = F.col("_sums")
-    point = F.when(sums.isNotNull(), F.struct(sums["price"].alias("price"), sums["n"].alias("n")))
-    edge = F.when(sums.isNotNull(), F.struct(sums["n"].alias("n"), sums["next"].alias("q")))
 
-    def asof(value: Column, back: int) -> Column:
-        return F.last(value, ignorenulls=True).over(by_time.rangeBetween(_FIRST, -back))
+    def asof(value: str, back: int, name: str) -> Column:
+        frame = by_time.rangeBetween(_FIRST, -back)
+        return F.last(value, ignorenulls=True).over(frame).alias(name)
 
+    edge = ("s_n", "x_c", "x_s", "x_a", "x_b")
     rows = rows.withColumn("seq", F.sum(steps).over(upto)).select(
         _KEY, "recv_ts", "ord", "_row", "market_id", "best_bid", "best_ask", "last", "marked",
-        "changed", "seq", "_now",
-        *[asof(point, back).alias(f"_at_{name}") for name, back in looks.items()],
-        asof(edge, p.vol_ms + 1).alias("_edge"),
+        "changed", "seq", *[f"now_{c}" for c in now],
+        *[asof("s_price", back, f"at_{name}") for name, back in looks.items()],
+        *[asof("s_n", back, f"n_{name}") for name, back in looks.items()],
+        *[asof(c, p.vol_ms + 1, f"edge_{c}") for c in edge],
     ).filter(F.col("_row") >= _EVENT)
 
     def found(name: str) -> Column:
-        hit = F.col(f"_at_{name}")
-        return F.coalesce(F.col("_now.n") - hit["n"] < p.ring, F.lit(False))
+        return F.coalesce(F.col("now_s_n") - F.col(f"n_{name}") < p.ring, F.lit(False))
 
     def change(name: str) -> Column:
-        move = (F.col("last") - F.col(f"_at_{name}")["price"]) * 100
+        move = (F.col("last") - F.col(f"at_{name}")) * 100
         return F.when(found(name), move).otherwise(F.lit(0.0))
 
-    inside = F.coalesce("_now.n", zero) - F.coalesce("_edge.n", zero)
-    returns = F.coalesce("_now.q.c", zero) - F.coalesce("_edge.q.c", zero)
-    none = F.lit(0).cast("decimal(38,15)")
-    total = (F.coalesce("_now.q.s", none) - F.coalesce("_edge.q.s", none)).cast("decimal(20,15)")
-    none = F.lit(0).cast("decimal(38,30)")
-    squares = (F.coalesce("_now.q.ss", none) - F.coalesce("_edge.q.ss", none)).cast("decimal(35,30)")
-    count = returns.cast("decimal(4,0)")
-    spread = (count * squares - total * total).cast("double")
+    def within(part: str) -> Column:
+        return F.col(f"now_q_{part}") - F.coalesce(f"edge_x_{part}", zero)
+
+    inside = F.col("now_s_n") - F.coalesce("edge_s_n", zero)
+    returns, total = within("c"), within("s") / _UNIT
+    squares = within("a") / _COARSE + within("b") / (_COARSE * _UNIT)
     ok_vol = (inside >= 3) & (returns >= 2)
-    vol = F.when(
-        ok_vol, F.sqrt(F.greatest(spread, F.lit(0.0)) / (returns * (returns - 1)))
-    ).otherwise(F.lit(0.0))
+    spread = F.greatest(squares - total * total / returns, F.lit(0.0))
+    vol = F.when(ok_vol, F.sqrt(spread / (returns - 1))).otherwise(F.lit(0.0))
     hour = [change("hour").alias("c1h"), found("hour").alias("ok_1h")] if with_hour else []
     return rows.select(
         _KEY, "recv_ts", "ord", (F.col("_row") == _GRID).alias("on_grid"), "market_id", "last",
@@ -367,7 +369,7 @@ def state_rows(
         change("short").alias("c1m"), found("short").alias("ok_1m"),
         change("long").alias("c5m"), found("long").alias("ok_5m"), *hour,
         vol.alias("vol"), F.coalesce(ok_vol, F.lit(False)).alias("ok_vol"),
-        F.when(found("surge"), F.col("_at_surge.price")).alias("surge_from"),
+        F.when(found("surge"), F.col("at_surge")).alias("surge_from"),
     )
 
 
