@@ -137,8 +137,9 @@ def asset_ids(markets: DataFrame) -> DataFrame:
 
 def explode_assets(markets: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
     """One row per outcome of each market: asset, its index and label."""
+    extra = [c for c in order if c not in ("market_id", "question")]
     rows = markets.select(
-        "market_id", "question", *order, "outcomes",
+        "market_id", "question", *extra, "outcomes",
         F.posexplode("clob_token_ids").alias("idx", "asset_id"),
     )
     label = F.try_element_at("outcomes", F.col("idx") + 1)
@@ -148,7 +149,7 @@ def explode_assets(markets: DataFrame, order: tuple[str, ...] = ()) -> DataFrame
 
 def asset_market_lookup(markets: DataFrame, order: tuple[str, ...] = ("market_id",)) -> DataFrame:
     """Asset to market. The later market (by ``order``) wins a shared asset."""
-    exploded = explode_assets(markets, tuple(c for c in order if c != "market_id"))
+    exploded = explode_assets(markets, order)
     return latest_per_key(exploded, ("asset_id",), (*order, "idx"))
 
 
