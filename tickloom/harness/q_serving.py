@@ -11,6 +11,7 @@ from tickloom.harness.q_frames import LINES
 from tickloom.harness.q_series import MARKETS, USER_TICKS
 from tickloom.harness.registry import query, r6
 from tickloom.operators import catalog, joins, ranks, serving
+from tickloom.operators.axis import Axis, running
 
 MS = "epoch_us(ts) // 1000"
 
@@ -394,12 +395,10 @@ g as (select *, lag(f, 1) over w as f1, lag(f, 2) over w as f2 from c window w a
 select client_id, min(cycle) as cycle from g where f and f1 and f2 group by 1""")
 def consecutive_full_runs(spark, sf_dir):
     """Suppliers play clients, their lines in order play flush cycles."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
-    cycles = table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("client_id"), F.row_number().over(order).cast("bigint").alias("cycle"),
-        (F.col("l_returnflag") == "R").alias("full"))
+    axis = Axis(("client_id",), ("l_orderkey", "l_linenumber", "l_partkey"), 10_000)
+    lines = table(spark, sf_dir, "lineitem").withColumn("client_id", F.col("l_suppkey"))
+    cycles = running(lines, axis, sums={"cycle": F.lit(1)}).select(
+        "client_id", F.col("cycle").cast("bigint").alias("cycle"), (F.col("l_returnflag") == "R").alias("full"))
     return serving.consecutive_full_runs(cycles, 3, 100)
 
 

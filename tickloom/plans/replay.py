@@ -44,27 +44,38 @@ def _gzip_sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def trim_to_budget(
     rows: DataFrame, max_bytes: int, order: tuple[str, ...] = ("ts", "file", "pos")
 ) -> DataFrame:
-    """Newest lines whose gzip size fits: keep 9/10 until it does, never fewer than one.
+    """Newest lines whose gzip size fits: the first of n, 9/10 n, ... that does,
+    never fewer than one line.
 
     Each task packs its stretch of the ordered lines as one gzip member and the
-    sizes are added; stretches joined together are one valid gzip file. A cut whose
-    raw bytes cannot possibly fit is not packed at all.
+    sizes are added; stretches joined together are one valid gzip file. Sizes grow
+    with the number of lines, so the cuts are searched by halving. A cut whose raw
+    bytes cannot possibly fit is not packed at all.
     """
     numbered = global_rank(rows, order, "_rank").withColumn("_bytes", F.octet_length("line") + 1)
     total = numbered.count()
-    keep = total
-    while keep > 1:
+    cuts = [total]
+    while cuts[-1] > 1:
+        cuts.append(max(cuts[-1] * 9 // 10, 1))
+
+    def fits(keep: int) -> bool:
         tail = numbered.filter(F.col("_rank") > total - keep)
-        raw = tail.agg(F.sum("_bytes")).first()[0]
-        if raw <= max_bytes * _BEST_RATIO:
-            packed = (
-                tail.repartitionByRange("_rank").sortWithinPartitions("_rank").select("line")
-                .mapInPandas(_gzip_sizes, "size bigint").agg(F.sum("size")).first()[0]
-            )
-            if packed <= max_bytes:
-                break
-        keep = max(keep * 9 // 10, 1)
-    return numbered.filter(F.col("_rank") > total - keep).drop("_rank", "_bytes")
+        if tail.agg(F.sum("_bytes")).first()[0] > max_bytes * _BEST_RATIO:
+            return False
+        packed = (
+            tail.repartitionByRange("_rank").sortWithinPartitions("_rank").select("line")
+            .mapInPandas(_gzip_sizes, "size bigint").agg(F.sum("size")).first()[0]
+        )
+        return packed <= max_bytes
+
+    low, high = 0, len(cuts) - 1
+    while low < high:
+        middle = (low + high) // 2
+        if fits(cuts[middle]):
+            high = middle
+        else:
+            low = middle + 1
+    return numbered.filter(F.col("_rank") > total - cuts[low]).drop("_rank", "_bytes")
 
 
 def clip_stats(rows: DataFrame) -> DataFrame:

@@ -21,8 +21,8 @@ def recording_lines(stream: DataFrame, t: str = "t", d: str = "d") -> DataFrame:
 def write_recording(stream: DataFrame, path: str, *, checkpoint: str | None = None, once: bool = False):
     """Append lines to ``date=.../hour=...`` folders; a restart only adds files.
 
-    Rows of one hour are spread over as many files as the shuffle makes: the hour is
-    not gathered into one task.
+    In batch the rows are rebalanced by hour: small hours share a task, a busy hour
+    is split over several tasks and files.
     """
     lines = recording_lines(stream).select("value", "date", "hour")
     if stream.isStreaming:
@@ -34,6 +34,7 @@ def write_recording(stream: DataFrame, path: str, *, checkpoint: str | None = No
         if once:
             writer = writer.trigger(availableNow=True)
         return writer.start()
+    lines = lines.hint("rebalance", "date", "hour")
     lines.write.partitionBy("date", "hour").option("compression", "gzip").mode("append").text(path)
     return None
 
