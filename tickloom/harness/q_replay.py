@@ -29,11 +29,9 @@ def recording_lines(spark, sf_dir):
 @query("write_and_read_recording", f"""with {LINES} select ts, case when is_alert then 'alert' else 'tick' end as kind, line, date,
   cast(hour as integer) as hour from ln""")
 def write_and_read_recording(spark, sf_dir):
-    """Written in two appends as gzip text by date and hour, then read back."""
+    """Written as gzip text by date and hour, then read back."""
     folder = scratch(spark, "recording")
-    rows = recording(spark, sf_dir)
-    for kind in ("tick", "alert"):
-        rec.write_recording(rows.filter(F.col("t") == kind), folder)
+    rec.write_recording(recording(spark, sf_dir), folder)
     return rec.read_recording(spark, folder).select("ts", "kind", "line", F.col("date").cast("string").alias("date"), "hour")
 
 
