@@ -18,7 +18,11 @@ BASE = 1_767_225_600_000  # 2026-01-01T00:00:00Z
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("4", spark__sql__shuffle__partitions="4")
+    session = local_session(
+        "4", spark__sql__shuffle__partitions="4",
+        # small data: compiling the plans would take longer than running them
+        spark__sql__codegen__wholeStage="false", spark__sql__codegen__factoryMode="NO_CODEGEN",
+    )
     yield session
     session.stop()
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.schemas import CLIENT_MESSAGE, PROTO_VERSION, TOP
+from tickloom.session import once
 
 
 def _col(c: str | Column) -> Column:
@@ -53,7 +54,7 @@ def sys_message(stats: Column) -> Column:
 
 def client_messages(df: DataFrame, text: str = "text") -> DataFrame:
     """Decode client messages; malformed text and unknown ops are dropped."""
-    known = df.withColumn("_m", F.from_json(text, CLIENT_MESSAGE))
+    known = once(df, "_m", F.from_json(text, CLIENT_MESSAGE))
     return known.filter(F.col("_m.op").isin("sub", "unsub", "ping")).select(
         *df.columns, F.col("_m.op").alias("op"), F.col("_m.ch").alias("ch"),
         F.coalesce("_m.ids", F.array().cast("array<string>")).alias("ids"),

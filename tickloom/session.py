@@ -3,7 +3,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", app: str = "tickloom", **conf: str) -> SparkSession:
@@ -15,6 +16,8 @@ def local_session(cores: str = "*", app: str = "tickloom", **conf: str) -> Spark
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        # call-site capture costs more than building these plans
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
     for name, value in conf.items():
@@ -24,6 +27,15 @@ def local_session(cores: str = "*", app: str = "tickloom", **conf: str) -> Spark
     return spark
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters and projections do not recompute.
+
+    A plain projection would be merged into every filter and field access above
+    it; the output of a generator is not.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the session's checkpoint folder.
 

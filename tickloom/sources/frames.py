@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.numbers import int_or_zero, mid_price, num_or_zero
+from tickloom.session import once
 from tickloom.schemas import EVENT_TYPES, FEED_SOURCE, FRAME, RECORD_VERSION
 
 HEARTBEAT = "PONG"  # fixed value
@@ -30,22 +31,19 @@ def filter_heartbeats(frames: DataFrame, frame: str = "frame") -> DataFrame:
     return frames.filter(F.col(frame) != HEARTBEAT)
 
 
-def _decoded(frame: str) -> tuple[Column, Column]:
-    """The frame's elements (array of structs) and whether the frame is sound."""
+def _decoded(frame: str) -> tuple[Column, Column, Column]:
+    """The frame as ``{"e":[elements]}``, its trimmed text, and whether it is an array.
+
+    The wrapping makes trailing text inside the frame an error, too.
+    """
     text = F.regexp_replace(frame, r"^\s+|\s+$", "")
-    is_array = text.startswith("[")
-    wrapped = F.concat(
-        F.lit('{"e":'), F.when(is_array, text).otherwise(F.concat(F.lit("["), text, F.lit("]"))), F.lit("}")
-    )
+    is_array = F.col("_text").startswith("[")
+    body = F.when(is_array, F.col("_text")).otherwise(F.concat(F.lit("["), F.col("_text"), F.lit("]")))
     doc = F.from_json(
-        wrapped, f"e array<struct<{_as_struct(FRAME)}>>, _bad string",
-        {"columnNameOfCorruptRecord": "_bad"},
+        F.concat(F.lit('{"e":'), body, F.lit("}")),
+        f"e array<struct<{_as_struct(FRAME)}>>, _bad string", {"columnNameOfCorruptRecord": "_bad"},
     )
-    sound = (
-        doc["_bad"].isNull() & doc["e"].isNotNull()
-        & (is_array | (F.size(doc["e"]) == 1)) & ~text.rlike(_MISTYPED)
-    )
-    return doc, sound
+    return doc, text, is_array
 
 
 def _as_struct(ddl: str) -> str:
@@ -57,8 +55,13 @@ def decode_frames(frames: DataFrame, frame: str = "frame") -> tuple[DataFrame, D
     """``(elements, rejected)``: one row per element of a sound frame with its
     position, and the frames that could not be decoded. Blank frames are in neither."""
     filled = filter_heartbeats(frames, frame).filter(F.length(F.regexp_replace(frame, r"\s", "")) > 0)
-    doc, sound = _decoded(frame)
-    checked = filled.withColumn("_doc", doc).withColumn("_ok", F.coalesce(sound, F.lit(False)))
+    doc, text, is_array = _decoded(frame)
+    parsed = once(filled.withColumn("_text", text), "_doc", doc)
+    sound = (
+        F.col("_doc._bad").isNull() & F.col("_doc.e").isNotNull()
+        & (is_array | (F.size("_doc.e") == 1)) & ~F.col("_text").rlike(_MISTYPED)
+    )
+    checked = once(parsed, "_ok", F.coalesce(sound, F.lit(False)))
     rest = [c for c in frames.columns if c != frame]
     elements = checked.filter("_ok").select(*rest, F.posexplode("_doc.e").alias("pos", "e"))
     return elements, checked.filter(~F.col("_ok")).select(*frames.columns)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.numbers import hour_of
 from tickloom.schemas import MANIFEST
+from tickloom.session import once
 
 
 def recording_lines(stream: DataFrame, t: str = "t", d: str = "d") -> DataFrame:
@@ -42,9 +43,8 @@ def write_recording(stream: DataFrame, path: str, *, checkpoint: str | None = No
 def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """Recording lines to ``ts, kind, data``; blank and undecodable lines are skipped."""
     rest = [c for c in lines.columns if c != value]
-    rec = lines.filter(F.length(F.trim(value)) > 0).select(
-        *rest, F.col(value).alias("line"), F.from_json(value, "t string, d string").alias("_r")
-    )
+    filled = lines.filter(F.length(F.trim(value)) > 0).select(*rest, F.col(value).alias("line"))
+    rec = once(filled, "_r", F.from_json("line", "t string, d string"))
     own = F.when(F.col("_r.t") == "tick", F.get_json_object("_r.d", "$.pts")).otherwise(
         F.get_json_object("_r.d", "$.ts")
     )

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.session import once
+
 
 def _is_kafka(source: str) -> bool:
     return source.startswith("kafka://")
@@ -109,8 +111,9 @@ def decode_json_records(df: DataFrame, schema: str, value: str = "value") -> tup
     null; see :func:`with_raw_defaults`.
     """
     bad = "_corrupt_record"
-    parsed = df.filter(F.col(value).isNotNull()).withColumn(
-        "_r", F.from_json(value, f"{schema}, {bad} string", {"columnNameOfCorruptRecord": bad})
+    parsed = once(
+        df.filter(F.col(value).isNotNull()), "_r",
+        F.from_json(value, f"{schema}, {bad} string", {"columnNameOfCorruptRecord": bad}),
     )
     rest = [c for c in df.columns if c != value]
     names = [f.name for f in parsed.schema["_r"].dataType.fields if f.name != bad]

@@ -11,8 +11,8 @@ from __future__ import annotations
 import math
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from operator import mul
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,9 +54,10 @@ class AssetProcessor(StatefulProcessor):
         if self.state.exists():
             last, bid, ask, market, seq, snapped, fired, times, prices = self.state.get()
             times, prices = list(times), list(prices)
+            returns = [None, *(self._return(a, b) for a, b in zip(prices, prices[1:]))][:len(prices)]
         else:
             last = bid = ask = 0.0
-            market, seq, snapped, fired, times, prices = "", 0, None, None, [], []
+            market, seq, snapped, fired, times, prices, returns = "", 0, None, None, [], [], []
         p, out = self.p, []
         for ts, ord_, price, best_bid, best_ask, market_id in events[_FEED].itertuples(index=False, name=None):
             market = market_id or market
@@ -65,10 +66,11 @@ class AssetProcessor(StatefulProcessor):
             if price:
                 last = price
                 if not times or ts - times[-1] >= p.gap_ms:
+                    returns.append(self._return(prices[-1], price) if prices else None)
                     times.append(ts)
                     prices.append(price)
                     if len(times) > p.ring:
-                        del times[0], prices[0]
+                        del times[0], prices[0], returns[0]
             if not last:
                 continue
             due = snapped is None or ts - snapped >= p.snapshot_ms
@@ -76,7 +78,7 @@ class AssetProcessor(StatefulProcessor):
                 continue
             seq += changed
             then = {back: self._asof(times, prices, ts - back) for back in (p.short_ms, p.long_ms, p.surge_ms)}
-            vol = self._volatility(times, prices, ts)
+            vol = self._volatility(times, returns, ts)
             short, long = then[p.short_ms], then[p.long_ms]
             row = (
                 key[0], market, last, bid, ask,
@@ -104,12 +106,22 @@ class AssetProcessor(StatefulProcessor):
         at = bisect_right(times, target)
         return prices[at - 1] if at else None
 
-    def _volatility(self, times: list[int], prices: list[float], now: int) -> float | None:
-        window = prices[bisect_left(times, now - self.p.vol_ms):]
-        if len(window) < 3:
+    @staticmethod
+    def _return(before: float, after: float) -> float | None:
+        return math.log(after / before) if before > 0 and after > 0 else None
+
+    def _volatility(self, times: list[int], returns: list[float | None], now: int) -> float | None:
+        first = bisect_left(times, now - self.p.vol_ms)
+        if len(times) - first < 3:
+            return None
+        inside = returns[first + 1:]  # the return into the first sample starts before the window
+        if None in inside:
+            inside = [r for r in inside if r is not None]
+        n = len(inside)
+        if n < 2:
             return None
-        returns = [math.log(b / a) for a, b in zip(window, window[1:]) if a > 0 and b > 0]
-        return float(np.std(returns, ddof=1)) if len(returns) >= 2 else None
+        total, squares = sum(inside), sum(map(mul, inside, inside))
+        return math.sqrt(max(squares - total * total / n, 0.0) / (n - 1))
 
     def close(self) -> None:
         pass
