@@ -12,6 +12,7 @@ from tickloom.operators import series
 from tickloom.operators.axis import Axis, running
 from tickloom.operators.gap import sample_min_gap
 from tickloom.params import Params
+from tickloom.plans.pipeline import process
 
 TICK = ["a", "m", "p", "b", "k", "c1m", "c5m", "vol", "seq", "rts", "ord", "ok_1m", "ok_5m", "ok_vol"]
 
@@ -67,6 +68,31 @@ def test_hot_asset_is_cut(spark):
     assert cut.filter("asset_id = 'a'").select("_slice").distinct().count() >= 20
 
 
+def test_slices_are_fitted_to_the_busiest_asset(spark):
+    p, rows = CASES["dense"]
+    events = spark.createDataFrame(rows, EVENT)
+    fitted = series.fit_slices(events, p, 200)
+    assert fitted.slice_ms < p.slice_ms
+    cut = Axis(width=fitted.slice_ms).cut(events).groupBy("asset_id", "_slice").count()
+    assert cut.agg(F.max("count")).first()[0] <= 200
+    assert series.fit_slices(events, p, 10**9).slice_ms >= p.slice_ms // 64 * 64
+
+
+def test_whole_pipeline(spark):
+    p, rows = CASES["dense"]
+    events = spark.createDataFrame(rows, EVENT)
+    markets = spark.createDataFrame(
+        [("m1", "Will X happen?", ["Yes", "No"], ["a", "b"])],
+        "market_id string, question string, outcomes array<string>, clob_token_ids array<string>")
+    out = process(events, markets, p, at=BASE + 900_000, keep_rows=True)
+    ticks, snaps, alerts = fold(rows, p)
+    assert rounded(out.ticks) == ticks and rounded(out.snapshots) == snaps
+    got = sorted((r.a, r.ts, r.q, r.outcome) for r in out.alerts.collect())
+    label = {("m1", "a"): ("Will X happen?", "Yes"), ("m1", "b"): ("Will X happen?", "No")}
+    assert got == sorted((a[0], a[1], *label.get((a[3], a[0]), ("", ""))) for a in alerts)
+    assert out.top.count() == 2
+
+
 # --- golden values ---------------------------------------------------------
 def test_ring_keeps_the_newest_900(make_events):
     kept = series.retain_last_n(series.samples(make_events([(i, i + 1) for i in range(950)])), 900)

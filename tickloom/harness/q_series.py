@@ -248,7 +248,7 @@ def top_movers(spark, sf_dir):
         "a", r6("c5m"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("top_movers_on_grid", f"""with recursive {EV}, {PRICED}, {greedy("sm", "pr", P.gap_ms)},
+GRID_SQL = f"""with recursive {EV}, {PRICED}, {greedy("sm", "pr", P.gap_ms)},
 g as (select unnest(range({JAN_10}, {JAN_20} + 1, {6 * HOUR})) as ts),
 ga as (select g.ts, a.asset_id from g, (select distinct asset_id from pr) a),
 l as (select ga.ts, ga.asset_id, p.price as last from ga asof join pr p on ga.asset_id = p.asset_id and p.recv_ts <= ga.ts),
@@ -257,12 +257,25 @@ z as (select ga.ts, ga.asset_id, s.n from ga asof join sm s on ga.asset_id = s.a
 select ts, asset_id as a, round((last - h.price) * 100, 6) as c5m,
   row_number() over (partition by ts order by abs((last - h.price) * 100) desc, asset_id) as rank
 from l join h using (ts, asset_id) join z using (ts, asset_id) where z.n - h.n < {P.ring}
-qualify rank <= {P.top}""")
+qualify rank <= {P.top}"""
+
+
+@query("top_movers_on_grid", GRID_SQL)
 def top_movers_on_grid(spark, sf_dir):
     rows = series.top_movers_on_grid(raw_events(spark, sf_dir), JAN_10, JAN_20, 6 * HOUR, P)
     return rows.select("ts", "a", r6("c5m"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("top_lists", f"""select ts, count(*) as n, string_agg(a || '=' || printf('%.2f', c5m), '|' order by rank) as shown
+from ({GRID_SQL}) group by 1""")
+def top_lists(spark, sf_dir):
+    """The lists as records, one per instant."""
+    rows = series.top_movers_on_grid(raw_events(spark, sf_dir), JAN_10, JAN_20, 6 * HOUR, P)
+    shown = F.transform("d", lambda e: F.concat(e["a"], F.lit("="), F.format_string("%.2f", e["c5m"])))
+    return series.top_lists(rows).select(
+        "ts", F.size("d").cast("bigint").alias("n"), F.array_join(shown, "|").alias("shown"))
+
+
 USER_TICKS = """tk as (
   select 'u' || user_id as a, event_type as m, value as p, value - 0.5 as b, value + 0.5 as k,
          value / 10 as c1m, value - 20 as c5m, value / 1000 as vol, event_id as seq,

@@ -9,7 +9,8 @@ from tickloom.harness.q_series import EV, PRICED, SNAP_SQL, SURGES, TICK_COLUMNS
 from tickloom.harness.q_serving import SUBS
 from tickloom.harness.registry import query, r6
 from tickloom.operators import joins, keyed, serving
-from tickloom.sources import frames, recording as rec
+from tickloom import schemas
+from tickloom.sources import frames, recording as rec, topics
 from tickloom.streaming import jobs, processor
 from tickloom.harness import adapters
 
@@ -119,3 +120,31 @@ def stream_recording(spark, sf_dir):
     q.awaitTermination()
     rows = rec.read_recording(spark, path + "/out")
     return rows.groupBy(F.col("date").cast("string").alias("date"), "hour").agg(F.count("line").alias("n"))
+
+
+@query("stream_topic", """select cast(event_id as varchar) as asset_id, event_type as kind, epoch_us(ts) // 1000 as src_ts from events""")
+def stream_topic(spark, sf_dir):
+    """Events written as a JSON record stream, read back as a stream and decoded."""
+    path = scratch(spark, "topic")
+    rows = adapters.table(Streaming(spark), sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("asset_id"), F.col("event_type").alias("kind"),
+        ms("ts").alias("src_ts"), F.lit(0.0).alias("price"))
+    topics.write_topic(rows, path + "/topic", "asset_id", checkpoint=path + "/c1", omit_zero=topics.RAW_OPTIONAL,
+                       once=True).awaitTermination()
+    back = topics.read_topic(spark, path + "/topic", streaming=True)
+    good, _ = topics.decode_json_records(back.select("value"), schemas.RAW_EVENT)
+    return finished(spark, good.select("asset_id", "kind", "src_ts"), "decoded")
+
+
+@query("stream_counts", "select event_type, count(*) as n from events group by 1")
+def stream_counts(spark, sf_dir):
+    """Running totals, complete mode, into a table the last batch leaves behind."""
+    path = scratch(spark, "counts")
+    rows = jobs.counts(adapters.table(Streaming(spark), sf_dir, "events"), "event_type")
+
+    def keep(batch, batch_id):
+        batch.write.mode("overwrite").parquet(path + "/out")
+
+    rows.writeStream.outputMode("complete").option("checkpointLocation", path + "/c").trigger(
+        availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return spark.read.parquet(path + "/out")

@@ -19,12 +19,15 @@ returns are summed over the samples alone, before they meet the events.
 """
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.axis import SLICE, Axis, running, slice_expr
 from tickloom.operators.gap import sample_min_gap
 from tickloom.operators.keyed import latest_per_key
+from tickloom.operators.ranks import global_rank
 from tickloom.params import Params
 from tickloom.schemas import RECORD_VERSION
 
@@ -384,6 +387,25 @@ def as_ticks(rows: DataFrame) -> DataFrame:
     )
 
 
+def fit_slices(events: DataFrame, p: Params = Params(), most: int = 2_000_000) -> Params:
+    """``p`` with slices narrow enough that no ``(asset, slice)`` exceeds ``most`` rows.
+
+    One counting pass (partial counts per asset and 1/64 slice). Results do not
+    depend on the width; only the size of the largest task does.
+    """
+    finest = max(p.slice_ms // 64, 1)
+    levels = [1 << i for i in range(7)]
+    counts = events.groupBy(_KEY, slice_expr("recv_ts", finest).alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    largest = (
+        counts.withColumn("_l", F.explode(F.array(*[F.lit(v).cast("bigint") for v in levels])))
+        .groupBy(_KEY, "_l", F.call_function("div", F.col("_c"), F.col("_l")).alias("_c"))
+        .agg(F.sum("_n").alias("_n"))
+        .groupBy("_l").agg(F.max("_n").alias("_n")).filter(F.col("_n") <= most)
+        .agg(F.max("_l")).first()[0]
+    )
+    return replace(p, slice_ms=finest * (largest or 1))
+
+
 def build_ticks(events: DataFrame, p: Params = Params(), initial: DataFrame | None = None) -> DataFrame:
     """One tick per price change."""
     return as_ticks(state_rows(events, p, initial=initial).filter("changed"))
@@ -447,7 +469,9 @@ def restore_state(snapshots: DataFrame) -> DataFrame:
 def rank_movers(movers: DataFrame, n: int, *, by: tuple[str, ...] = ()) -> DataFrame:
     """Top ``n`` by ``|c5m|`` (all when ``n <= 0``), ties by asset id, with ``rank``."""
     order = [F.abs("c5m").desc(), F.col("a").asc()]
-    if not by and n > 0:
+    if not by and n <= 0:
+        return global_rank(movers, order, "rank")
+    if not by:
         # Partial top-n per task first, then one ranking of at most n rows.
         movers = movers.orderBy(*order).limit(n)
     ranked = movers.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

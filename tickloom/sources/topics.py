@@ -29,7 +29,8 @@ def read_topic(
     """Records as ``key, value, partition, offset``.
 
     ``source`` is ``kafka://host:port/topic`` or a folder of JSON-lines files; in
-    a folder the key is null and file order stands in for partition and offset.
+    a folder the key is null and file order stands in for partition and offset (a
+    stream of files has no offsets; events carry their own ``ord``).
     """
     if _is_kafka(source):
         reader = spark.readStream if streaming else spark.read
@@ -51,7 +52,8 @@ def read_topic(
         lines = spark.read.text(source)
     return lines.select(
         F.lit(None).cast("string").alias("key"), "value",
-        F.lit(0).alias("partition"), F.monotonically_increasing_id().alias("offset"),
+        F.lit(0).alias("partition"),
+        (F.lit(None).cast("bigint") if streaming else F.monotonically_increasing_id()).alias("offset"),
     )
 
 
