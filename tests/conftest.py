@@ -5,9 +5,8 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
-os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, [os.environ.get("PYTHONPATH")])])
 
-from tickloom.session import local_session  # noqa: E402
+from tickloom.session import local_session, ship_package  # noqa: E402
 
 EVENT = (
     "asset_id string, market_id string, price double, best_bid double, best_ask double, "
@@ -23,6 +22,7 @@ def spark():
         # small data: compiling the plans would take longer than running them
         spark__sql__codegen__wholeStage="false", spark__sql__codegen__factoryMode="NO_CODEGEN",
     )
+    ship_package(session)
     yield session
     session.stop()
 

@@ -12,7 +12,7 @@ from tickloom.operators.gap import sample_min_gap
 from tickloom.plans import pipeline
 
 JAN_20 = 1_705_708_800_000
-JAN_10 = 1_704_844_800_000
+JAN_1, JAN_31 = 1_704_067_200_000, 1_706_659_200_000
 
 EV = """ev as (
   select event_type as asset_id,
@@ -249,7 +249,7 @@ def top_movers(spark, sf_dir):
 
 
 GRID_SQL = f"""with recursive {EV}, {PRICED}, {greedy("sm", "pr", P.gap_ms)},
-g as (select unnest(range({JAN_10}, {JAN_20} + 1, {6 * HOUR})) as ts),
+g as (select unnest(range({JAN_1}, {JAN_31} + 1, {6 * HOUR})) as ts),
 ga as (select g.ts, a.asset_id from g, (select distinct asset_id from pr) a),
 l as (select ga.ts, ga.asset_id, p.price as last from ga asof join pr p on ga.asset_id = p.asset_id and p.recv_ts <= ga.ts),
 h as (select ga.ts, ga.asset_id, s.price, s.n from ga asof join sm s on ga.asset_id = s.asset_id and s.recv_ts <= ga.ts - {P.long_ms}),
@@ -262,7 +262,7 @@ qualify rank <= {P.top}"""
 
 @query("top_movers_on_grid", GRID_SQL)
 def top_movers_on_grid(spark, sf_dir):
-    rows = series.top_movers_on_grid(raw_events(spark, sf_dir), JAN_10, JAN_20, 6 * HOUR, P)
+    rows = series.top_movers_on_grid(raw_events(spark, sf_dir), JAN_1, JAN_31, 6 * HOUR, P)
     return rows.select("ts", "a", r6("c5m"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -270,7 +270,7 @@ def top_movers_on_grid(spark, sf_dir):
 from ({GRID_SQL}) group by 1""")
 def top_lists(spark, sf_dir):
     """The lists as records, one per instant."""
-    rows = series.top_movers_on_grid(raw_events(spark, sf_dir), JAN_10, JAN_20, 6 * HOUR, P)
+    rows = series.top_movers_on_grid(raw_events(spark, sf_dir), JAN_1, JAN_31, 6 * HOUR, P)
     shown = F.transform("d", lambda e: F.concat(e["a"], F.lit("="), F.format_string("%.2f", e["c5m"])))
     return series.top_lists(rows).select(
         "ts", F.size("d").cast("bigint").alias("n"), F.array_join(shown, "|").alias("shown"))

@@ -363,8 +363,8 @@ def state_rows(
     returns, total = within("c"), within("s") / _UNIT
     squares = within("a") / _COARSE + within("b") / (_COARSE * _UNIT)
     ok_vol = (inside >= 3) & (returns >= 2)
-    spread = F.greatest(squares - total * total / returns, F.lit(0.0))
-    vol = F.when(ok_vol, F.sqrt(spread / (returns - 1))).otherwise(F.lit(0.0))
+    spread = F.greatest(squares - total * total / F.greatest(returns, F.lit(1)), F.lit(0.0))
+    vol = F.when(ok_vol, F.sqrt(spread / F.greatest(returns - 1, F.lit(1)))).otherwise(F.lit(0.0))
     hour = [change("hour").alias("c1h"), found("hour").alias("ok_1h")] if with_hour else []
     return rows.select(
         _KEY, "recv_ts", "ord", (F.col("_row") == _GRID).alias("on_grid"), "market_id", "last",

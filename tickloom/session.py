@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,20 @@ def local_session(cores: str = "*", app: str = "tickloom", **conf: str) -> Spark
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable in the Python workers of all executors."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tickloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / "tickloom.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._tickloom_shipped = True
+
+
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a costly column that later filters and projections do not recompute.
 
