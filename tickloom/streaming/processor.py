@@ -9,11 +9,13 @@ micro-batch is limited by the source's per-trigger limit.
 from __future__ import annotations
 
 import math
+import sys
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from operator import mul
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -141,6 +143,10 @@ def derive_stream(events: DataFrame, p: Params = Params(), initial: DataFrame |
     (:func:`tickloom.operators.series.restore_state`).
     """
     use_rocksdb(events.sparkSession)
+    # The worker that plans the operator does not see files added to the session,
+    # so the processor travels with its code.
+    for module in (__name__, Params.__module__):
+        cloudpickle.register_pickle_by_value(sys.modules[module])
     zero, empty = F.lit(0.0), F.lit("")
     feed = events.filter(F.col("asset_id").isNotNull()).select(
         "asset_id", F.col("recv_ts").cast("bigint").alias("recv_ts"), F.col("ord").cast("bigint").alias("ord"),
