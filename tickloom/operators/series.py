@@ -154,13 +154,20 @@ def retain_last_n(
 
 
 def _seeds(
-    known: DataFrame, kept: DataFrame, halo: int, p: Params,
+    known: DataFrame, kept: DataFrame, halo: int, reach: int, p: Params,
     wanted: DataFrame | None, initial: DataFrame | None,
 ) -> DataFrame:
-    """One row per ``(asset, slice)``: the state before the slice's first row."""
+    """One row per ``(asset, slice)``: the state before the slice's first row.
+
+    The halo of a slice are the samples at most ``reach`` before it; they lie in
+    the ``halo`` slices before. The seed carries the newest sample older than that.
+    """
+    point = F.struct("recv_ts", "ord", "price")
+    early = F.col("recv_ts") < (F.col(SLICE) + halo) * p.slice_ms - reach
     summary = _slice_summary(known).join(
         kept.groupBy(_KEY, SLICE).agg(
-            F.max_by(F.struct("recv_ts", "ord", "price"), "recv_ts").alias("_sample")
+            F.max_by(point, "recv_ts").alias("_sample"),
+            F.max_by(point, F.when(early, F.col("recv_ts"))).alias("_early"),
         ),
         [_KEY, SLICE], "left",
     )
@@ -200,7 +207,10 @@ def _seeds(
         state("best_bid", "_ib", 0.0).alias("best_bid"),
         state("best_ask", "_ik", 0.0).alias("best_ask"),
         state("market_id", "_im", "").alias("market_id"),
-        F.last("_sample", ignorenulls=True).over(older).alias("_old"),
+        F.coalesce(
+            F.last("_early", ignorenulls=True).over(slices.rangeBetween(-halo, -halo)),
+            F.last("_sample", ignorenulls=True).over(older),
+        ).alias("_old"),
     )
     opened = F.col("_first").isNotNull() & (
         F.col("price").isNull() | (F.col("price") != F.col("_first"))
@@ -299,9 +309,10 @@ def state_rows(
     ).repartition(_KEY, SLICE)
     wanted, instants = _grid(known, *grid, p) if grid else (None, None)
 
-    seeds = _seeds(known, kept, halo, p, wanted, initial)
+    seeds = _seeds(known, kept, halo, reach, p, wanted, initial)
+    reached = slice_expr(F.col("recv_ts") + reach, p.slice_ms)
     halos = kept.select(
-        _KEY, F.explode(F.sequence(F.col(SLICE), F.col(SLICE) + halo)).alias(SLICE),
+        _KEY, F.explode(F.sequence(F.col(SLICE), reached)).alias(SLICE),
         "recv_ts", "ord", F.col("price").alias("s_price"), F.lit(_SAMPLE).alias("_row"),
     )
     rows = _with_sums(seeds.unionByName(halos, allowMissingColumns=True))
