@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from tickloom.llm.common import slices, texts_of
 
 #: Bytes of text worked on at once; words up to this length are encoded together.
-SLICE, TOGETHER = 6_000_000, 48
+SLICE, TOGETHER = 2_000_000, 48
 #: No entry in a queue.
 NONE = np.int32(1 << 30)
 #: A vocabulary file above this is refused: it is broadcast.

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.session import ship_package
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -19,7 +20,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship_package(spark)
+            prepare(spark)
             return fn(spark, sf_dir)
 
         QUERIES[name] = run
@@ -30,6 +31,17 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def prepare(spark: SparkSession) -> None:
+    """The package on all workers, and batches of rows that fit texts.
+
+    Spark hands Python 10,000 rows at once unless told otherwise; with whole documents
+    that is memory without use. A setting of the user's own is left alone.
+    """
+    ship_package(spark)
+    if spark.conf.get(BATCH_ROWS, None) in (None, "10000"):
+        spark.conf.set(BATCH_ROWS, "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,6 +62,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator
             held += size
         if start < len(sizes):
             yield batch.slice(start)
+        pa.default_memory_pool().release_unused()
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
