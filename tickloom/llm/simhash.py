@@ -83,6 +83,14 @@ def _key(number: int, segment: Column) -> Column:
     return segment + F.lit(number << SEGMENT)
 
 
+def _near(number: int, segment: Column, masks: Column) -> Column:
+    """The segment itself and all segments with one of its bits cleared."""
+    return F.transform(
+        F.filter(masks, lambda m: segment.bitwiseAND(m) == m),
+        lambda m: F.struct(_key(number, segment.bitwiseXOR(m)).alias("key"), (m == 0).alias("same")),
+    )
+
+
 def hamming_links(fps: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of distinct fingerprints (column ``fp``) at most three bits apart.
 
@@ -92,13 +100,7 @@ def hamming_links(fps: DataFrame) -> DataFrame:
         F.col("fp").alias("b"), F.explode(F.array(*[_key(n, s) for n, s in _segments()])).alias("key")
     )
     masks = F.array(F.lit(0).cast("bigint"), *[F.lit(1 << i).cast("bigint") for i in range(SEGMENT)])
-    near = [
-        F.transform(
-            F.filter(masks, lambda m, s=s: s.bitwiseAND(m) == m),
-            lambda m, n=n, s=s: F.struct(_key(n, s.bitwiseXOR(m)).alias("key"), (m == 0).alias("same")),
-        )
-        for n, s in _segments()
-    ]
+    near = [_near(n, s, masks) for n, s in _segments()]
     probes = fps.select(F.col("fp").alias("a"), F.explode(F.concat(*near)).alias("p")).select("a", "p.key", "p.same")
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     # Equal segments meet from both sides: one of the two is enough.
