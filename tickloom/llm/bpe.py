@@ -20,7 +20,7 @@ import heapq
 import json
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from tickloom.llm.common import slices, texts_of
 
 #: Bytes of text worked on at once; words up to this length are encoded together.
-SLICE, TOGETHER = 2_000_000, 48
+SLICE, TOGETHER = 1_500_000, 48
 #: No entry in a queue.
 NONE = np.int32(1 << 30)
 #: A vocabulary file above this is refused: it is broadcast.
@@ -380,11 +380,16 @@ def _model(shared: Any) -> Bpe:
     return _models[key]
 
 
-def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", decoded: str | None = None) -> DataFrame:
+def encode(
+    docs: DataFrame, tokenizer: str, text_col: str = "text", decoded: str | None = None,
+    then: tuple[Callable[[pa.RecordBatch], pa.RecordBatch], T.StructType] | None = None,
+) -> DataFrame:
     """``docs`` with ``n_tokens`` and ``token_ids`` (little-endian 32-bit integers).
 
     With ``decoded`` the ids are decoded again into a column of that name. Columns of
-    ``docs`` with one of these names are replaced.
+    ``docs`` with one of these names are replaced. ``then`` (a function of a batch and
+    the schema of its result) is applied to the result in the same pass, where ids and
+    texts are not wanted themselves.
     """
     shared = _shared(docs, tokenizer)
     new = {"n_tokens": T.LongType(), "token_ids": T.BinaryType()} | ({decoded: T.StringType()} if decoded else {})
@@ -393,6 +398,7 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", decoded: str
     schema = T.StructType([f for f in rows.schema.fields if f.name != "_bpe_text"])
     for name, kind in new.items():
         schema = schema.add(name, kind)
+    finish, result = then or (lambda batch: batch, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared)
@@ -404,9 +410,9 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", decoded: str
             columns += [pa.array(np.diff(edges), pa.int64()), pa.array(ids, pa.binary())]
             if decoded:
                 columns.append(pa.array(model.decode_batch(flat, edges), pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
+            yield finish(pa.RecordBatch.from_arrays(columns, schema.names))
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, result)
 
 
 def decode(rows: DataFrame, tokenizer: str, ids_col: str = "token_ids", out: str = "decoded") -> DataFrame:

@@ -1,11 +1,15 @@
 """The registered queries: each operator over its whole table, with production parameters."""
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tickloom.llm import bpe, langid, sharding, simhash
+from tickloom.llm import ann, bpe, decontaminate, langid, sharding, simhash
 from tickloom.llm.common import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -22,14 +26,23 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _digests(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def sha(column: str) -> pa.Array:
+        return pa.array([hashlib.sha256(v.as_buffer()).hexdigest() for v in batch.column(column)], pa.string())
+
+    return pa.RecordBatch.from_arrays(
+        [batch.column("doc_id"), batch.column("n_tokens"), sha("token_ids"), sha("decoded")],
+        ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    )
+
+
 @query("op3_bpe")
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = bpe.encode(docs, public_tokenizers.path(TOKENIZER), decoded="decoded")
-    return rows.select(
-        "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType())])
+    for name in ("ids_sha256", "decoded_sha256"):
+        schema = schema.add(name, T.StringType())
+    return bpe.encode(docs, public_tokenizers.path(TOKENIZER), decoded="decoded", then=(_digests, schema))
 
 
 @query("op6_simhash")
@@ -43,3 +56,13 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     dictionaries = langid.train(docs.filter(~langid.held_out()))
     rows = docs.select("doc_id", "text", langid.held_out().alias("held_out"))
     return langid.classify(rows, dictionaries, keep=("held_out",))
+
+
+@query("op9_decontaminate")
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_ann")
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
