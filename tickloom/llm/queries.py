@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm import ann, bpe, decontaminate, langid, sharding, simhash
+from tickloom.llm import ann, bpe, decontaminate, langid, sharding, simhash, wacz
 from tickloom.llm.common import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -66,3 +66,28 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_ann")
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+WACZ_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html),
+h AS (SELECT p.page_id, p.html, f.first, sha1(p.html) AS hex FROM p JOIN f USING (html))
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+    (CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS INTEGER) >> CAST(15 - i % 4 * 5 AS INTEGER)) & 31
+    AS INTEGER) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM h
+"""
+
+
+@query("op5_wacz", WACZ_SQL)
+def op5_wacz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    manifest = wacz.write_packages(pages, wacz.shared_folder(pages))
+    index = wacz.read_index(manifest.repartition("package"))
+    # neighbours in a package are read by one task, one after another
+    parts = index.repartition("package", F.floor(F.col("offset") / wacz.STRETCH))
+    records = wacz.read_records(parts.sortWithinPartitions("package", "offset"), payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
