@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm import ann, bpe, decontaminate, langid, quality, sharding, simhash, wacz
+from tickloom.llm import ann, bpe, decontaminate, langid, licences, quality, sharding, simhash, wacz
 from tickloom.llm.common import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -96,3 +96,8 @@ def op5_wacz(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = index.repartition("package", F.floor(F.col("offset") / wacz.STRETCH))
     records = wacz.read_records(parts.sortWithinPartitions("package", "offset"), payload=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op8_licences", licences.check_sql())
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.recognise(table(spark, sf_dir, "documents"))
