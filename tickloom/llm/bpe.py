@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import slices, texts_of
+from tickloom.llm.common import free_name, slices, texts_of
 
 #: Bytes of text worked on at once; words up to this length are encoded together.
 SLICE, TOGETHER = 1_500_000, 48
@@ -394,19 +394,20 @@ def encode(
     shared = _shared(docs, tokenizer)
     new = {"n_tokens": T.LongType(), "token_ids": T.BinaryType()} | ({decoded: T.StringType()} if decoded else {})
     # `text_col` may be one of the names replaced: read it under a name of its own
-    rows = docs.withColumn("_bpe_text", F.col(text_col)).drop(*new)
-    schema = T.StructType([f for f in rows.schema.fields if f.name != "_bpe_text"])
+    source = free_name(docs, "_bpe_text")
+    rows = docs.withColumn(source, F.col(text_col)).drop(*new)
+    schema = T.StructType([f for f in rows.schema.fields if f.name != source])
     for name, kind in new.items():
         schema = schema.add(name, kind)
     finish, result = then or (lambda batch: batch, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared)
-        for batch in slices(batches, "_bpe_text", SLICE):
-            flat, edges = model.encode_batch(texts_of(batch, "_bpe_text"))
+        for batch in slices(batches, source, SLICE):
+            flat, edges = model.encode_batch(texts_of(batch, source))
             raw = memoryview(flat).cast("B") if len(flat) else memoryview(b"")
             ids = [raw[4 * edges[d]:4 * edges[d + 1]] for d in range(len(batch))]
-            columns = [c for c, name in zip(batch.columns, batch.schema.names) if name != "_bpe_text"]
+            columns = [c for c, name in zip(batch.columns, batch.schema.names) if name != source]
             columns += [pa.array(np.diff(edges), pa.int64()), pa.array(ids, pa.binary())]
             if decoded:
                 columns.append(pa.array(model.decode_batch(flat, edges), pa.string()))
@@ -418,17 +419,18 @@ def encode(
 def decode(rows: DataFrame, tokenizer: str, ids_col: str = "token_ids", out: str = "decoded") -> DataFrame:
     """``rows`` with the text of their packed ids; null ids give an empty text."""
     shared = _shared(rows, tokenizer)
-    source = rows.withColumn("_bpe_ids", F.col(ids_col)).drop(out)
-    schema = T.StructType([f for f in source.schema.fields if f.name != "_bpe_ids"]).add(out, T.StringType())
+    name_in = free_name(rows, "_bpe_ids")
+    source = rows.withColumn(name_in, F.col(ids_col)).drop(out)
+    schema = T.StructType([f for f in source.schema.fields if f.name != name_in]).add(out, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared)
-        for batch in slices(batches, "_bpe_ids", 4 * SLICE):
-            packed = [x or b"" for x in batch.column("_bpe_ids").to_pylist()]
+        for batch in slices(batches, name_in, 4 * SLICE):
+            packed = [x or b"" for x in batch.column(name_in).to_pylist()]
             edges = np.zeros(len(packed) + 1, np.int64)
             np.cumsum([len(x) // 4 for x in packed], out=edges[1:])
             texts = model.decode_batch(np.frombuffer(b"".join(packed), "<u4"), edges)
-            columns = [c for c, name in zip(batch.columns, batch.schema.names) if name != "_bpe_ids"]
+            columns = [c for c, name in zip(batch.columns, batch.schema.names) if name != name_in]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], schema.names)
 
     return source.mapInArrow(run, schema)

@@ -68,3 +68,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """Texts of a batch, null as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``docs`` is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -224,3 +224,22 @@ def find_leaks(
     if found is None:
         found = rows.limit(0).select("id", *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields[1:]])
     return found.withColumnRenamed("id", id_col)
+
+
+def drop_leaks(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
+) -> DataFrame:
+    """``docs`` without those that hold a benchmark passage, in the same pass."""
+    schema = docs.schema
+    where = docs.columns.index(text_col)
+    for ix in _blocks(benchmark, item_col, item_text):
+        shared = docs.sparkSession.sparkContext.broadcast(ix)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, text_col, SLICE):
+                texts = [t or "" for t in batch.column(where).to_pylist()]
+                bad = {h[0] for h in leaks_in(shared.value, texts)}
+                yield batch.filter(pa.array([i not in bad for i in range(len(texts))])) if bad else batch
+
+        docs = docs.mapInArrow(run, schema)
+    return docs

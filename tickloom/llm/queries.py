@@ -5,16 +5,16 @@ import hashlib
 
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm import ann, bpe, decontaminate, langid, licences, quality, sharding, simhash, wacz
+from tickloom.llm import ann, bpe, decontaminate, langid, licences, pii, quality, sharding, simhash, wacz
 from tickloom.llm.common import ORACLES, QUERIES, query, table
+from tickloom.llm.stages import TOKENIZER
 
 __all__ = ["ORACLES", "QUERIES"]
 
-TOKENIZER = "byte_bpe_50k.json"
 
 
 @query("op1_quality")
@@ -87,6 +87,25 @@ FROM h
 """
 
 
+@query("op4_pii")
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    joined = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+    )
+    return found.select(
+        "doc_id",
+        *[_of_kind(base, kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"),
+    )
+
+
+def _of_kind(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+
 @query("op5_wacz", WACZ_SQL)
 def op5_wacz(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")

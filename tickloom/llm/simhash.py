@@ -58,16 +58,22 @@ def fingerprint(text: bytes | None) -> int:
     return int.from_bytes(np.packbits(bits * 2 > count, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id`` and ``fp`` (the fingerprint as a signed long) of every document."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    schema = T.StructType([rows.schema["id"], T.StructField("fp", T.LongType(), False)])
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None
+) -> DataFrame:
+    """``id``, ``key`` (of the caller's, to find rows again) and ``fp`` (the fingerprint as a
+    signed long) of every document."""
+    rows = docs.select(
+        F.col(id_col).alias("id"), (F.lit(0) if key is None else key).cast("bigint").alias("key"),
+        F.col(text_col).cast("binary").alias("text"),
+    )
+    schema = T.StructType([rows.schema["id"], rows.schema["key"], T.StructField("fp", T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             found = [fingerprint(t) for t in batch.column("text").to_pylist()]
             fp = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), fp], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), fp], schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -108,16 +114,30 @@ def hamming_links(fps: DataFrame) -> DataFrame:
     return probes.join(table, "key").filter((F.col("a") != F.col("b")) & once & (apart <= DISTANCE)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, ``fingerprint`` (hex) and ``component_id`` (least id of its component)."""
-    rows = durable(fingerprints(docs, id_col, text_col))
+def _grouped(rows: DataFrame) -> DataFrame:
+    """``fp, root, first`` of each distinct fingerprint: its component, and its least id."""
     distinct = durable(rows.groupBy("fp").agg(F.min("id").alias("first")))
     roots = components(hamming_links(distinct.select("fp")))
-    linked = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
+    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "first"
     )
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: id, ``fingerprint`` (hex) and ``component_id`` (least id of its component)."""
+    rows = durable(fingerprints(docs, id_col, text_col))
+    linked = _grouped(rows)
     names = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     named = linked.join(names, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def representatives(docs: DataFrame, key: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ``key`` of one document of each component: that with the least id, null last."""
+    rows = durable(fingerprints(docs, id_col, text_col, key))
+    best = F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.col("key"))).alias("best")
+    # the best of each fingerprint first: a hot one is a row before it meets its component
+    each = rows.groupBy("fp").agg(best).join(_grouped(rows), "fp")
+    return each.groupBy("root").agg(F.min("best").alias("best")).select("best.key")
