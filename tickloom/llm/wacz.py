@@ -219,9 +219,14 @@ def members(source: pa.NativeFile) -> list[Member]:
     """Members of a ZIP file, from its central directory (plain or ZIP64)."""
     size = source.size()
     tail = source.read_at(min(size, 65557 + 20), max(0, size - 65577))
-    at = tail.rfind(struct.pack("<I", END))
-    if at < 0:
-        raise ValueError("no end of central directory")
+    at = len(tail)
+    while True:
+        at = tail.rfind(struct.pack("<I", END), 0, at)
+        if at < 0:
+            raise ValueError("no end of central directory")
+        # the same bytes may stand in the comment: its length must reach to the end
+        if at + 22 <= len(tail) and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] == len(tail):
+            break
     count, length, start = struct.unpack_from("<10xHII", tail, at)
     if at >= 20 and struct.unpack_from("<I", tail, at - 20)[0] == LOCATOR:
         end64 = struct.unpack_from("<8xQ", tail, at - 20)[0]
