@@ -69,12 +69,39 @@ def manifest(spark, sf_dir):
         "recorded_at", "duration_s", F.col("files")[0].alias("file"), "markets", "benchmark")
 
 
-@query("trim_to_budget")
+TRIM = """numbered as (select *, row_number() over (order by ts desc, line desc) as newest from {rows}),
+cuts(keep) as (select count(*) from {rows} union all
+  select greatest(keep * 9 // 10, 1) from cuts where keep > 1),
+sized as (select keep, (select sum(strlen(line) + 1) from numbered where newest <= keep) as size from cuts),
+best as (select coalesce(max(keep) filter (where size <= {limit}), 1) as keep from sized)"""
+
+
+@query("trim_to_budget", f"with recursive {LINES}, {TRIM.format(rows='ln', limit=20_000)}"
+       "\nselect ts, case when is_alert then 'alert' else 'tick' end as kind, line from numbered, best where newest <= keep")
 def trim_to_budget(spark, sf_dir):
+    """Measured by raw bytes, which SQL can do as well."""
+    return replay.trim_to_budget(
+        lines(spark, sf_dir), 20_000, ("ts", "line"), measure=replay.raw_size, block=97
+    ).select("ts", "kind", "line")
+
+
+@query("trim_to_budget_gzip")
+def trim_to_budget_gzip(spark, sf_dir):
     """Where the cut falls depends on the packer, so there is no SQL for it."""
     return replay.trim_to_budget(lines(spark, sf_dir), 20_000, ("ts", "line")).select("ts", "kind", "line")
 
 
+@query("extract_clip_trimmed", f"""with recursive {LINES}, d as (select date, hour from ln group by 1, 2
+  order by count(*) filter (where is_alert) desc, date, hour limit 1),
+h as (select ts, line from ln join d using (date, hour)),
+{TRIM.format(rows='h', limit=300)} select ts, line from numbered, best where newest <= keep""")
+def extract_clip_trimmed(spark, sf_dir):
+    """The newest lines of the densest hour that fit into 300 bytes."""
+    rows = lines(spark, sf_dir).withColumns({"file": F.lit("f"), "pos": F.col("line")})
+    clip, _ = replay.extract_clip(rows, max_ms=HOUR, max_bytes=300, measure=replay.raw_size)
+    return clip.select("ts", "line")
+
+
 @query("extract_clip", f"""with {LINES}, d as (select date, hour from ln group by 1, 2
   order by count(*) filter (where is_alert) desc, date, hour limit 1)
 select ts, line from ln join d using (date, hour) where ts >= (select max(ts) from ln join d using (date, hour)) - {HOUR // 2}""")

@@ -6,6 +6,8 @@ skips that element.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ from tickloom.schemas import EVENT_TYPES, FEED_SOURCE, FRAME, RECORD_VERSION
 
 HEARTBEAT = "PONG"  # fixed value
 
-# A known field followed by a value of the wrong JSON type.
+# A known field followed by a value of the wrong JSON type, anywhere in the text: such a
+# frame is looked at element by element.
 _TEXT_FIELDS = (
     "event_type|market|asset_id|timestamp|price|size|side|best_bid|best_ask|"
     "last_trade_price|old_tick_size|new_tick_size"
@@ -27,23 +30,85 @@ _MISTYPED = (
 _NUMBERS = ("price", "best_bid", "best_ask", "size", "old_tick_size", "new_tick_size")
 
 
+# The fields of each event type that must be texts, and its lists.
+_LEVEL = ("price", "size")
+_OWN = {
+    "book": (("market", "asset_id", "timestamp", "last_trade_price"), {"bids": _LEVEL, "asks": _LEVEL}),
+    "price_change": (("market", "timestamp"), {
+        "price_changes": ("asset_id", "price", "size", "side", "best_bid", "best_ask")}),
+    "last_trade_price": (("market", "asset_id", "price", "size", "side", "timestamp"), {}),
+    "tick_size_change": (("market", "asset_id", "old_tick_size", "new_tick_size", "timestamp"), {}),
+}
+
+
 def filter_heartbeats(frames: DataFrame, frame: str = "frame") -> DataFrame:
     return frames.filter(F.col(frame) != HEARTBEAT)
 
 
-def _decoded(frame: str) -> tuple[Column, Column, Column]:
-    """The frame as ``{"e":[elements]}``, its trimmed text, and whether it is an array.
+def _decoded(body: Column) -> Column:
+    """The frame as ``{"e":[elements]}``.
 
     The wrapping makes trailing text inside the frame an error, too.
     """
-    text = F.regexp_replace(frame, r"^\s+|\s+$", "")
-    is_array = F.col("_text").startswith("[")
-    body = F.when(is_array, F.col("_text")).otherwise(F.concat(F.lit("["), F.col("_text"), F.lit("]")))
-    doc = F.from_json(
-        F.concat(F.lit('{"e":'), body, F.lit("}")),
-        f"e array<struct<{_as_struct(FRAME)}>>, _bad string", {"columnNameOfCorruptRecord": "_bad"},
+    return F.from_json(
+        body, f"e array<struct<{_as_struct(FRAME)}>>, _bad string", {"columnNameOfCorruptRecord": "_bad"},
+    )
+
+
+def _is(value: Column, path: str, kind: str) -> Column:
+    """The value at ``path`` is absent, null, or of that JSON kind."""
+    found = F.coalesce(F.schema_of_variant(F.try_variant_get(value, path, "variant")), F.lit("VOID"))
+    return found.startswith(kind) | (found == "VOID")
+
+
+def _entry_test(fields: tuple[str, ...]) -> Callable[[Column], Column]:
+    def sound(x: Column) -> Column:
+        out = _is(x, "$", "OBJECT")
+        for field in fields:
+            out &= _is(x, f"$.{field}", "STRING")
+        return out
+
+    return sound
+
+
+def _sound_element(e: Column) -> Column:
+    """An element whose own fields have the right JSON kinds. Other fields, and all fields
+    of unknown event types, may hold anything."""
+    kind = F.try_variant_get(e, "$.event_type", "string")
+    ok = F.lit(True)
+    for name, (texts, lists) in _OWN.items():
+        own = _is(e, "$", "OBJECT")
+        for field in texts:
+            own &= _is(e, f"$.{field}", "STRING")
+        for field, inner in lists.items():
+            items = F.try_variant_get(e, f"$.{field}", "array<variant>")
+            own &= _is(e, f"$.{field}", "ARRAY") & F.coalesce(F.forall(items, _entry_test(inner)), F.lit(True))
+        ok = F.when(kind == name, own).otherwise(ok)
+    return _is(e, "$", "OBJECT") & _is(e, "$.event_type", "STRING") & ok
+
+
+def _element(e: Column) -> Column:
+    """A sound element with the fields of its own type only."""
+    kind = F.try_variant_get(e, "$.event_type", "string")
+
+    def text(field: str) -> Column:
+        types = [n for n, (texts, _) in _OWN.items() if field in texts]
+        return F.when(kind.isin(*types), F.try_variant_get(e, f"$.{field}", "string")).alias(field)
+
+    def items(field: str, inner: tuple[str, ...]) -> Column:
+        types = [n for n, (_, lists) in _OWN.items() if field in lists]
+        parts = F.transform(
+            F.try_variant_get(e, f"$.{field}", "array<variant>"),
+            lambda x: F.struct(*[F.try_variant_get(x, f"$.{f}", "string").alias(f) for f in inner]),
+        )
+        return F.when(kind.isin(*types), parts).alias(field)
+
+    entry = ("asset_id", "price", "size", "side", "best_bid", "best_ask")
+    return F.struct(
+        kind.alias("event_type"), text("market"), text("asset_id"), items("bids", _LEVEL), items("asks", _LEVEL),
+        text("last_trade_price"), items("price_changes", entry), text("price"), text("size"), text("side"),
+        text("old_tick_size"), text("new_tick_size"), text("timestamp"),
     )
-    return doc, text, is_array
 
 
 def _as_struct(ddl: str) -> str:
@@ -55,15 +120,21 @@ def decode_frames(frames: DataFrame, frame: str = "frame") -> tuple[DataFrame, D
     """``(elements, rejected)``: one row per element of a sound frame with its
     position, and the frames that could not be decoded. Blank frames are in neither."""
     filled = filter_heartbeats(frames, frame).filter(F.length(F.regexp_replace(frame, r"\s", "")) > 0)
-    doc, text, is_array = _decoded(frame)
-    parsed = once(filled.withColumn("_text", text), "_doc", doc)
-    sound = (
-        F.col("_doc._bad").isNull() & F.col("_doc.e").isNotNull()
-        & (is_array | (F.size("_doc.e") == 1)) & ~F.col("_text").rlike(_MISTYPED)
+    filled = filled.withColumn("_text", F.regexp_replace(frame, r"^\s+|\s+$", ""))
+    is_array = F.col("_text").startswith("[")
+    body = F.when(is_array, F.col("_text")).otherwise(F.concat(F.lit("["), F.col("_text"), F.lit("]")))
+    filled = filled.withColumn("_body", F.concat(F.lit('{"e":'), body, F.lit("}")))
+    parsed = once(filled, "_doc", _decoded(F.col("_body")))
+    plain = F.coalesce(
+        F.col("_doc._bad").isNull() & F.col("_doc.e").isNotNull() & ~F.col("_text").rlike(_MISTYPED), F.lit(False)
     )
-    checked = once(parsed, "_ok", F.coalesce(sound, F.lit(False)))
+    # Only frames the fixed layout does not fit, for whatever field, take the second look.
+    parts = F.try_variant_get(F.try_parse_json("_body"), "$.e", "array<variant>")
+    second = F.when(F.forall(parts, _sound_element), F.transform(parts, _element))
+    checked = once(parsed, "_e", F.when(plain, F.col("_doc.e")).otherwise(second))
+    checked = checked.withColumn("_ok", F.col("_e").isNotNull() & (is_array | (F.size("_e") == 1)))
     rest = [c for c in frames.columns if c != frame]
-    elements = checked.filter("_ok").select(*rest, F.posexplode("_doc.e").alias("pos", "e"))
+    elements = checked.filter("_ok").select(*rest, F.posexplode("_e").alias("pos", "e"))
     return elements, checked.filter(~F.col("_ok")).select(*frames.columns)
 
 

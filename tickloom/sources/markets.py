@@ -32,12 +32,13 @@ def normalize_markets(pages: DataFrame, mode: str = "failfast") -> DataFrame:
         return (F.coalesce(F.col(c), F.lit("")) != "") & ~F.col(c).rlike(_TEXT_ARRAY)
 
     def texts(c: str):
-        value = F.when(~bad(c), F.from_json(F.nullif(F.col(c), F.lit("")), "array<string>"))
-        if mode == "permissive":
-            return value
-        broken = F.concat(F.lit(f"cannot decode {c} of market "), F.coalesce("id", F.lit("")))
-        return F.when(bad(c), F.raise_error(broken).cast("array<string>")).otherwise(value)
+        return F.when(~bad(c), F.from_json(F.nullif(F.col(c), F.lit("")), "array<string>"))
 
+    if mode == "failfast":
+        # A condition on the row: no projection above can prune it.
+        for c in ("outcomes", "clobTokenIds"):
+            broken = F.concat(F.lit(f"cannot decode {c} of market "), F.coalesce("id", F.lit("")))
+            pages = pages.filter(F.when(bad(c), F.raise_error(broken).cast("boolean")).otherwise(F.lit(True)))
     empty, off = F.lit(""), F.lit(False)
     out = pages.select(
         F.lit(RECORD_VERSION).alias("v"), F.coalesce("conditionId", empty).alias("market_id"),
