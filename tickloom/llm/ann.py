@@ -10,8 +10,10 @@ centroids that are hardly farther. A query reads the lists whose centroid is wit
 
 Lists are balanced: the fit splits large clusters again, and a list longer than
 ``LONGEST`` rows (copies of one vector, say) is dealt to several tasks, each of which
-answers for its part. Every list part returns its best rows only; scores are inner
-products of the original vectors in double precision.
+answers for its part. A query reads its ``FIRST`` nearest lists first; from the others it
+takes only rows that reach the score of the last of its ``k`` best so far, which
+loses none of the ``k`` nearest in the lists read. Scores are inner products of the
+original vectors in double precision.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components,
 and vectors whose length is not the most common one (the smaller of equals), take no
@@ -39,6 +41,8 @@ SAMPLE, PER_LIST, CENTROIDS = 20_000, 256, 2048
 REPLICAS, BOUNDARY = 2, 1.05
 #: Lists a query reads: within this distance ratio, and at least so many.
 PROBE, LEAST = 1.20, 16
+#: Lists that set the score the others must reach.
+FIRST = 4
 #: Links of a centroid in the graph, and width of the beam.
 DEGREE, BEAM = 32, 96
 #: Rows of a list one task answers for.
@@ -180,7 +184,8 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _place(rows: DataFrame, shared: Any, width: int, largest: float | None) -> DataFrame:
-    """Each row of ``id, v`` once per list it belongs to (``largest`` given) or reads."""
+    """Each row of ``id, v`` once per list it belongs to (``largest`` given) or reads;
+    ``place`` numbers the lists from the nearest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph: Graph = shared.value
@@ -200,10 +205,11 @@ def _place(rows: DataFrame, shared: Any, width: int, largest: float | None) -> D
                 row, col = np.nonzero(take)
                 picked = batch.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
-                    [picked.column("id"), picked.column("v"), pa.array(ids[row, col], pa.int32())], ["id", "v", "list"]
+                    [picked.column("id"), picked.column("v"), pa.array(ids[row, col], pa.int32()),
+                     pa.array(col, pa.int32())], ["id", "v", "list", "place"]
                 )
 
-    return rows.select("id", "v").mapInArrow(run, "id bigint, v array<double>, list int")
+    return rows.select("id", "v").mapInArrow(run, "id bigint, v array<double>, list int, place int")
 
 
 def _answers(k: int, width: int) -> Any:
@@ -212,12 +218,13 @@ def _answers(k: int, width: int) -> Any:
         if queries.num_rows and members.num_rows:
             ids = members.column("id").to_numpy()
             own = queries.column("id").to_numpy()
+            bound = queries.column("bound").to_numpy()
             vectors, asked = _matrix(members.column("v"), width), _matrix(queries.column("v"), width)
             for s in range(0, len(asked), 256):
                 rough = asked[s:s + 256] @ vectors.T
                 rough[own[s:s + 256, None] == ids] = -np.inf
                 for q, line in enumerate(rough):
-                    cut = np.partition(line, -k)[-k] if len(line) > k else -np.inf
+                    cut = max(np.partition(line, -k)[-k] if len(line) > k else -np.inf, bound[s + q])
                     # the product of matrices may differ in the last digits: take those, too
                     near = np.flatnonzero((line >= cut - 1e-9 * max(1.0, abs(cut))) & np.isfinite(line)) \
                         if np.isfinite(cut) else np.flatnonzero(np.isfinite(line))
@@ -266,12 +273,28 @@ def search(
     dealt = members.join(sizes, "list").select(
         "id", "v", "list", F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int").alias("part")
     )
-    asked = _place(clean.filter(is_query), shared, width, None).join(sizes, "list").select(
-        "id", "v", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    asked = durable(_place(clean.filter(is_query), shared, width, None)).join(sizes, "list").select(
+        "id", "v", "list", "place", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     )
-    found = asked.groupBy("list", "part").cogroup(dealt.groupBy("list", "part")).applyInArrow(_answers(k, width), RESULT)
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
+
+    def answers(queries: DataFrame) -> DataFrame:
+        return queries.groupBy("list", "part").cogroup(dealt.groupBy("list", "part")).applyInArrow(
+            _answers(k, width), RESULT
+        )
+
+    def nearest(found: DataFrame) -> DataFrame:
+        each = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    none = F.lit(float("-inf"))
+    first = durable(nearest(answers(
+        asked.filter(F.col("place") < FIRST).select("id", "v", "list", "part", none.alias("bound"))
+    )))
+    reached = first.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("reached"))
+    rest = answers(asked.filter(F.col("place") >= FIRST).join(reached, "id", "left").select(
+        "id", "v", "list", "part", F.coalesce("reached", none).alias("bound")
+    ))
+    return nearest(first.select("query_id", "vec_id", "score").unionByName(rest)).select(
         "query_id", "rank", "vec_id", "score"
     )
