@@ -111,9 +111,7 @@ def op5_wacz(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     manifest = wacz.write_packages(pages, wacz.shared_folder(pages))
     index = wacz.read_index(manifest.repartition("package"))
-    # neighbours in a package are read by one task, one after another
-    parts = index.repartition("package", F.floor(F.col("offset") / wacz.STRETCH))
-    records = wacz.read_records(parts.sortWithinPartitions("package", "offset"), payload=False)
+    records = wacz.read_records(wacz.stretches(index, manifest), payload=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

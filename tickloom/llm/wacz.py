@@ -314,6 +314,18 @@ def read_index(manifest: DataFrame) -> DataFrame:
     return manifest.select("package").mapInArrow(run, "package string, offset bigint, length bigint")
 
 
+def stretches(index: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``index`` dealt to tasks by stretches of packages, in order of place.
+
+    The rows are small and what they point at is not: the number of tasks follows the
+    payload bytes, four stretches each.
+    """
+    held = manifest.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)).alias("n")).first()["n"]
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-held // (4 * STRETCH)))
+    parts = index.repartition(tasks, "package", F.floor(F.col("offset") / STRETCH))
+    return parts.sortWithinPartitions("package", "offset")
+
+
 def read_records(index: DataFrame, payload: bool = True) -> DataFrame:
     """Records read by range. Only a response carries a payload; its digest is checked."""
     schema = RECORD if payload else T.StructType(RECORD.fields[:-1])
