@@ -2,13 +2,17 @@
 import json
 import random
 import zlib
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.test_frames import BOOK, PAGE, TRADE, parse
+from tickloom.functions import numbers
+from tickloom.operators import serving
 from tickloom.plans import replay
 from tickloom.sources import frames, markets
+from tickloom.streaming import jobs
 
 NEW = {"event_type": "new_market", "id": 3}
 
@@ -52,6 +56,69 @@ def test_failfast_survives_pruning(spark):
         markets.normalize_markets(rows).select("market_id").collect()
 
 
+def test_hours_and_iso_text_ignore_the_session_time_zone(spark):
+    at = [0, 1_704_067_199_999, 1_711_846_800_123, -1]
+    rows = spark.createDataFrame([(t,) for t in at], "t bigint")
+    want = [datetime.fromtimestamp(t / 1000, timezone.utc) for t in at]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            date, hour = numbers.hour_of("t")
+            got = rows.select("t", date.alias("d"), hour.alias("h"), numbers.iso_millis("t").alias("i")).collect()
+            for r, w in zip(got, want):
+                assert (r.d, r.h) == (w.strftime("%Y-%m-%d"), w.strftime("%H"))
+                assert r.i == w.strftime("%Y-%m-%dT%H:%M:%S.") + f"{r.t % 1000:03d}Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_subscription_counts_only_while_it_lasts(spark):
+    ticks = spark.createDataFrame([("a", t, t) for t in range(10)] + [("b", 5, 50)], "a string, ts bigint, ord bigint")
+    spans = [("c1", "asset", "a", 2, -1, 4, -1), ("c2", "asset", "a", 3, -1, 6, 6), ("c1", "top", "", 0, -1, serving.FAR, serving.FAR),
+             ("c3", "asset", "a", 8, 8, serving.FAR, serving.FAR)]
+    intervals = spark.createDataFrame(spans, "client_id string, ch string, id string, start bigint, start_ord bigint, "
+                                             "end bigint, end_ord bigint")
+    got = serving.subscribed_only(ticks, intervals, width=3).collect()
+    assert sorted((r.a, r.ts) for r in got) == [("a", t) for t in (2, 3, 4, 5, 8, 9)]
+
+
+def test_rejected_requests_get_no_snapshot(spark):
+    ops = spark.createDataFrame(
+        [("c", 1, 1, "sub", "asset", ["x"]), ("c", 2, 2, "sub", "asset", ["x", "y", "z"])],
+        "client_id string, ts bigint, ord bigint, op string, ch string, ids array<string>")
+    ticks = spark.createDataFrame([("x", 0, 0, "1")], "id string, ts bigint, ord bigint, value string")
+    steps = serving.apply_subscription_ops(ops, cap=2)
+    assert serving.snapshot_on_subscribe(ops, ticks).count() == 2
+    assert [r.ts for r in serving.snapshot_on_subscribe(ops, ticks, steps=steps).collect()] == [1]
+
+
+def test_order_numbers(spark):
+    rows = spark.createDataFrame([(5, 0, 1), (5, 1, 0), (6, 0, 0), (0, 0, 0)], "offset bigint, pos int, sub int")
+    got = frames.ordered(rows).orderBy("ord").collect()
+    assert [(r.offset, r.pos, r["sub"]) for r in got] == [(0, 0, 0), (5, 0, 1), (5, 1, 0), (6, 0, 0)]
+    with pytest.raises(Exception, match="pos of an event is out of range"):
+        frames.ordered(spark.createDataFrame([(1, 1 << 10, 0)], "offset bigint, pos int, sub int")).collect()
+
+
+def test_latest_table_rewrites_touched_buckets_and_prunes(spark, tmp_path):
+    source, table = str(tmp_path / "in"), str(tmp_path / "table")
+    schema = "k int, n bigint"
+    want = {}
+    for batch in range(5):
+        rows = [(k, batch * 10) for k in ([0, 1, 2, 3, 4, 5, 6, 7] if batch == 0 else [batch % 2])]
+        want |= dict(rows)
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        jobs.latest_table(stream, table, str(tmp_path / "ckpt"), ("k",), ("n",), once=True, buckets=8).awaitTermination()
+    assert {r.k: r.n for r in jobs.read_latest(spark, table).collect()} == want
+    versions = jobs._versions(spark, table)
+    assert max(map(len, versions.values())) <= 2 and len({v[-1] for v in versions.values()}) > 1
+    # a version without its marker does not count
+    (tmp_path / "table" / "v=99" / "_bucket=0").mkdir(parents=True)
+    assert {r.k: r.n for r in jobs.read_latest(spark, table).collect()} == want
+
+
 def lines(spark, n):
     rng = random.Random(n)
     rows = [(i, f"line {i} " + "".join(rng.choices("abcdef", k=rng.randint(1, 60)))) for i in range(n)]

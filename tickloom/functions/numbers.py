@@ -47,14 +47,31 @@ def mid_price(bid: str | Column, ask: str | Column) -> Column:
 
 
 def hour_of(ms: str | Column) -> tuple[Column, Column]:
-    """UTC date and hour text of an epoch-millisecond column."""
-    at = F.timestamp_millis(_col(ms))
-    return F.date_format(at, "yyyy-MM-dd"), F.date_format(at, "HH")
+    """UTC date and hour text of an epoch-millisecond column, in any session time zone."""
+    return _utc_date(ms), _digits(F.pmod(_units(ms, 3_600_000), F.lit(24)), 2)
+
+
+def _units(ms: str | Column, size: int) -> Column:
+    """Whole units of ``size`` milliseconds since the epoch, rounded down."""
+    ms = _col(ms).cast("bigint")
+    return F.call_function("div", ms - F.pmod(ms, F.lit(size)), F.lit(size).cast("bigint"))
+
+
+def _digits(value: Column, n: int) -> Column:
+    return F.lpad(value.cast("string"), n, "0")
+
+
+def _utc_date(ms: str | Column) -> Column:
+    return F.date_add(F.lit("1970-01-01").cast("date"), _units(ms, 86_400_000).cast("int")).cast("string")
 
 
 def iso_millis(ms: str | Column) -> Column:
-    """Epoch milliseconds as ISO text with millisecond precision (UTC session)."""
-    return F.date_format(F.timestamp_millis(_col(ms)), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """Epoch milliseconds as UTC ISO text with millisecond precision, in any session time zone."""
+    part = lambda size, of, n: _digits(F.pmod(_units(ms, size), F.lit(of)), n)
+    return F.concat(
+        _utc_date(ms), F.lit("T"), part(3_600_000, 24, 2), F.lit(":"), part(60_000, 60, 2), F.lit(":"),
+        part(1_000, 60, 2), F.lit("."), part(1, 1_000, 3), F.lit("Z"),
+    )
 
 
 def whole_seconds(ms: str | Column) -> Column:

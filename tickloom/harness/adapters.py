@@ -57,6 +57,18 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of :func:`raw_events` as feed text, with the offset of each frame."""
+    rows = raw_events(spark, sf_dir)
+    texts = [F.col(c).cast("string").alias(c) for c in ("price", "best_bid", "best_ask")]
+    entry = F.struct("asset_id", *texts)
+    frame = F.to_json(F.struct(
+        F.lit("price_change").alias("event_type"), F.col("market_id").alias("market"),
+        F.array(entry).alias("price_changes"), F.col("recv_ts").cast("string").alias("timestamp"),
+    ))
+    return rows.select(frame.alias("frame"), "recv_ts", F.col("ord").alias("offset"))
+
+
 def user_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks per user: price, change, sequence and time of each event."""
     return table(spark, sf_dir, "events").select(

@@ -10,6 +10,7 @@ from tickloom.harness.adapters import (
 )
 from tickloom.harness.registry import query, r6
 from tickloom.operators import catalog, joins
+from tickloom.operators.ranks import global_rank
 from tickloom.sources import frames, markets, topics
 
 COLS = ["pos", "sub", "v", "src", "kind", "asset_id", "market_id", "price", "best_bid", "best_ask",
@@ -174,11 +175,12 @@ def normalize_markets_permissive(spark, sf_dir):
 
 @query("read_markets_catalog", MARKET_SQL + " where p_size > 10 and not p_size > 45")
 def read_markets_catalog(spark, sf_dir):
-    """Pages written as files of JSON arrays, then read back."""
+    """Pages of 500 markets, written as files of JSON arrays, then read back."""
     pages = part_pages(spark, sf_dir)
     folder = scratch(spark, "pages")
-    one = pages.groupBy("slug").agg(F.to_json(F.collect_list(F.struct(*pages.columns))).alias("value"))
-    one.repartition("slug").select("slug", "value").write.partitionBy("slug").text(folder)
+    numbered = global_rank(pages, ["id"], "n").withColumn("page", F.floor((F.col("n") - 1) / 500))
+    one = numbered.groupBy("page").agg(F.to_json(F.collect_list(F.struct(*pages.columns))).alias("value"))
+    one.repartition("page").select("page", "value").write.partitionBy("page").text(folder)
     return market_output(markets.read_markets_catalog(spark, folder + "/*"))
 
 
@@ -233,12 +235,18 @@ def asset_market_lookup(spark, sf_dir):
     return rows.select("asset_id", "market_id", "question")
 
 
-@query("market_export", """select 'm' || c_custkey as market_id, c_name as question,
-  case when c_nationkey < 12 then 'click' else 'error' end as first from customer""")
+@query("market_export", """select 'm' || c_custkey as market_id, c_name as question, round(c_acctbal, 6) as volume,
+  c_acctbal > 0 as active, c_nationkey = 7 as closed,
+  case when c_nationkey < 12 then c_mktsegment || ',Other' else c_mktsegment end as outcomes,
+  case when c_nationkey < 12 then 'click,view' else 'error,signup,purchase' end as ids from customer""")
 def market_export(spark, sf_dir):
+    """Every field of the exported text."""
     rows = markets.market_export(customer_markets(spark, sf_dir))
-    return rows.select("market_id", F.get_json_object("value", "$.question").alias("question"),
-                       F.get_json_object("value", "$.clob_token_ids[0]").alias("first"))
+    back = F.from_json("value", "market_id string, question string, volume double, active boolean, closed boolean, "
+                       "outcomes array<string>, clob_token_ids array<string>")
+    return rows.select("market_id", back.alias("x")).filter("market_id = x.market_id").select(
+        "market_id", "x.question", r6("x.volume", "volume"), "x.active", "x.closed",
+        F.array_join("x.outcomes", ",").alias("outcomes"), F.array_join("x.clob_token_ids", ",").alias("ids"))
 
 
 # --- records -------------------------------------------------------------

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tickloom.harness.adapters import HOUR, recording, scratch
 from tickloom.harness.registry import query
+from tickloom.operators.ranks import global_rank
 from tickloom.plans import replay
 from tickloom.sources import recording as rec
 
@@ -46,9 +47,15 @@ def densest_hour(spark, sf_dir):
     return replay.densest(replay.alert_density(lines(spark, sf_dir)))
 
 
-@query("order_recording", f"with {LINES} select ts, case when is_alert then 'alert' else 'tick' end as kind from ln")
+@query("order_recording", f"""with {LINES} select ts, case when is_alert then 'alert' else 'tick' end as kind,
+  row_number() over (order by ts, line) - 1 as place from ln""")
 def order_recording(spark, sf_dir):
-    return replay.order_recording(lines(spark, sf_dir), ("ts", "line")).select("ts", "kind")
+    """Written in order and read back: a line's place is its file's, then its own."""
+    folder = scratch(spark, "ordered")
+    replay.order_recording(lines(spark, sf_dir), ("ts", "line")).select("ts", "kind").write.parquet(folder)
+    rows = spark.read.parquet(folder).select(
+        "ts", "kind", F.struct(F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("r")).alias("at"))
+    return global_rank(rows, ["at"], "place").select("ts", "kind", (F.col("place") - 1).alias("place"))
 
 
 @query("clip_stats", f"""with {LINES} select strftime(make_timestamp(min(ts) * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' as recorded_at,

@@ -4,15 +4,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.harness.adapters import (
-    DAY, HOUR, P, customer_markets, line_ticks, raw_events, table, user_ticks,
+    DAY, HOUR, P, customer_markets, event_frames, line_ticks, raw_events, scratch, table, user_ticks,
 )
-from tickloom.harness.registry import query, r6
+from tickloom.harness.registry import ORACLES, query, r6
 from tickloom.operators import keyed, series
 from tickloom.operators.gap import sample_min_gap
 from tickloom.plans import pipeline
+from tickloom.schemas import ALERT
+from tickloom.sources import frames, topics
 
 JAN_20 = 1_705_708_800_000
-JAN_1, JAN_31 = 1_704_067_200_000, 1_706_659_200_000
+JAN_1 = 1_704_067_200_000
 
 EV = """ev as (
   select event_type as asset_id,
@@ -249,7 +251,7 @@ def top_movers(spark, sf_dir):
 
 
 GRID_SQL = f"""with recursive {EV}, {PRICED}, {greedy("sm", "pr", P.gap_ms)},
-g as (select unnest(range({JAN_1}, {JAN_31} + 1, {6 * HOUR})) as ts),
+g as (select unnest(range({JAN_1}, (select max(recv_ts) from ev) + {6 * HOUR}, {6 * HOUR})) as ts),
 ga as (select g.ts, a.asset_id from g, (select distinct asset_id from pr) a),
 l as (select ga.ts, ga.asset_id, p.price as last from ga asof join pr p on ga.asset_id = p.asset_id and p.recv_ts <= ga.ts),
 h as (select ga.ts, ga.asset_id, s.price, s.n from ga asof join sm s on ga.asset_id = s.asset_id and s.recv_ts <= ga.ts - {P.long_ms}),
@@ -260,9 +262,16 @@ from l join h using (ts, asset_id) join z using (ts, asset_id) where z.n - h.n <
 qualify rank <= {P.top}"""
 
 
+def grid_movers(spark, sf_dir):
+    """Every six hours until all events are behind."""
+    events = raw_events(spark, sf_dir)
+    last = events.agg(F.max("recv_ts")).first()[0]
+    return series.top_movers_on_grid(events, JAN_1, last + 6 * HOUR - 1, 6 * HOUR, P)
+
+
 @query("top_movers_on_grid", GRID_SQL)
 def top_movers_on_grid(spark, sf_dir):
-    rows = series.top_movers_on_grid(raw_events(spark, sf_dir), JAN_1, JAN_31, 6 * HOUR, P)
+    rows = grid_movers(spark, sf_dir)
     return rows.select("ts", "a", r6("c5m"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -270,7 +279,7 @@ def top_movers_on_grid(spark, sf_dir):
 from ({GRID_SQL}) group by 1""")
 def top_lists(spark, sf_dir):
     """The lists as records, one per instant."""
-    rows = series.top_movers_on_grid(raw_events(spark, sf_dir), JAN_1, JAN_31, 6 * HOUR, P)
+    rows = grid_movers(spark, sf_dir)
     shown = F.transform("d", lambda e: F.concat(e["a"], F.lit("="), F.format_string("%.2f", e["c5m"])))
     return series.top_lists(rows).select(
         "ts", F.size("d").cast("bigint").alias("n"), F.array_join(shown, "|").alias("shown"))
@@ -346,3 +355,24 @@ def build_ticks_resumed(spark, sf_dir):
     start = series.restore_state(series.as_ticks(rows.filter("marked and last is not null")))
     late = series.build_ticks(events.filter(F.col("recv_ts") >= RESUME_AT), P, initial=start)
     return late.select("a", "m", r6("p"), r6("b"), r6("k"), "seq", "pts")
+
+
+# --- frame text to derived records, in one plan ------------------------------
+def frame_records(spark, sf_dir):
+    events = frames.ordered(frames.parse_frames(event_frames(spark, sf_dir)))
+    return pipeline.process(events, customer_markets(spark, sf_dir), P)
+
+
+@query("pipeline_ticks", f"with recursive {stats()} select {TICK_COLUMNS} from st where changed")
+def pipeline_ticks(spark, sf_dir):
+    rows = frame_records(spark, sf_dir).ticks
+    return tick_output(rows.withColumn("ord", F.shiftright("ord", frames.INSIDE_BITS)))
+
+
+@query("pipeline_alerts", ORACLES["build_alerts"])
+def pipeline_alerts(spark, sf_dir):
+    """Through a topic: written as records, read back and decoded."""
+    path = scratch(spark, "alerts")
+    topics.write_topic(frame_records(spark, sf_dir).alerts, path, "a")
+    rows, _ = topics.decode_json_records(topics.read_topic_bounded(spark, path).select("value"), ALERT)
+    return rows.select("v", "a", "m", "q", "outcome", r6("from"), r6("to"), "window_s", "ts")

@@ -251,12 +251,35 @@ def apply_subscription_ops_folded(spark, sf_dir):
     return rows.select("client_id", "ch", "id", "ts", "ord", "step")
 
 
-@query("apply_subscription_ops_capped")
+# The log as a fold over each client's operations, holding the list of its keys.
+CAPPED = f"""{INTERVALS.split("req as (")[0]}
+asked as (select *, row_number() over (partition by client_id order by ts, ord) as rn,
+  list_transform(case when ch = 'asset' then ids else [''] end, lambda i: ch || '|' || i) as ks from ops),
+fold as (
+  select client_id, 0::bigint as rn, null::bigint as ts, null::bigint as ord, null::varchar as op, null::varchar as ch, []::varchar[] as ks,
+    []::varchar[] as was, []::varchar[] as held, false as refused from (select distinct client_id from ops)
+  union all
+  select a.client_id, a.rn, a.ts, a.ord, a.op, a.ch, a.ks, f.held,
+    case when a.op = 'close' then [] when a.op = 'unsub' then list_filter(f.held, lambda k: not list_contains(a.ks, k))
+      when len(f.held) + len(list_filter(a.ks, lambda k: not list_contains(f.held, k))) > 2 then f.held
+      else list_distinct(list_concat(f.held, a.ks)) end,
+    a.op = 'sub' and len(f.held) + len(list_filter(a.ks, lambda k: not list_contains(f.held, k))) > 2
+  from fold f join asked a on a.client_id = f.client_id and a.rn = f.rn + 1),
+capped as (
+  select client_id, split_part(k, '|', 1) as ch, split_part(k, '|', 2) as id, ts, ord, 1 as step, null::varchar as error
+  from (select *, unnest(list_filter(held, lambda k: not list_contains(was, k))) as k from fold) union all
+  select client_id, split_part(k, '|', 1), split_part(k, '|', 2), ts, ord, -1, null
+  from (select *, unnest(list_filter(was, lambda k: not list_contains(held, k))) as k from fold) union all
+  select client_id, ch, null, ts, ord, 0, 'too_many_subs' from fold where refused)"""
+
+
+@query("apply_subscription_ops_capped", f"with recursive {CAPPED} select * from capped")
 def apply_subscription_ops_capped(spark, sf_dir):
     return serving.apply_subscription_ops(order_ops(spark, sf_dir), 2, YEAR)
 
 
-@query("subscription_rejections")
+@query("subscription_rejections", f"""with recursive {CAPPED} select client_id, ts, ord,
+  '{{"t":"err","code":"too_many_subs","msg":"limit 2"}}' as frame from capped where error is not null""")
 def subscription_rejections(spark, sf_dir):
     return serving.rejections(serving.apply_subscription_ops(order_ops(spark, sf_dir), 2, YEAR), 2)
 
@@ -295,10 +318,11 @@ ms as (select 'u' || user_id as id, {MS} as ts, event_id as ord,
 dl as (select client_id, ms.* from ms join sb on ms.id = sb.id and ts >= start and ts < "end")"""
 
 
-@query("subscribed_only", f"with {SUBS} select ord from ms where id in (select id from sb)")
+@query("subscribed_only", f"""with {SUBS} select ord from ms
+where exists (select 1 from sb where sb.id = ms.id and ts >= start and ts < "end")""")
 def subscribed_only(spark, sf_dir):
     rows = messages(spark, sf_dir).withColumnRenamed("id", "a")
-    return serving.subscribed_only(rows, customer_subs(spark, sf_dir)).select("ord")
+    return serving.subscribed_only(rows, customer_subs(spark, sf_dir), width=DAY).select("ord")
 
 
 @query("fanout_join", f"with {SUBS} select client_id, ord, ts, value from dl")

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from tickloom.harness.adapters import HOUR, P, customer_markets, customer_subs, messages, ms, raw_events, scratch
 from tickloom.harness.q_frames import event_output, mixed_sql
-from tickloom.harness.q_series import EV, PRICED, SNAP_SQL, SURGES, TICK_COLUMNS, USER_TICKS, stats, tick_output
-from tickloom.harness.q_serving import SUBS
+from tickloom.harness.q_series import EV, MARKETS, PRICED, SNAP_SQL, SURGES, TICK_COLUMNS, USER_TICKS, stats, tick_output
+from tickloom.harness.q_serving import ALERTS, SUBS
 from tickloom.harness.registry import query, r6
 from tickloom.operators import joins, keyed, serving
 from tickloom import schemas
@@ -34,6 +34,13 @@ def finished(spark, stream, name):
     return spark.read.schema(stream.schema).parquet(path + "/out")
 
 
+def upserted(spark, stream, name, key, order):
+    path = scratch(spark, name)
+    jobs.latest_table(stream, path + "/table", path + "/checkpoint", key, order, once=True, mode="update",
+                      buckets=4).awaitTermination()
+    return jobs.read_latest(spark, path + "/table")
+
+
 def derived(spark, sf_dir):
     return finished(spark, processor.derive_stream(raw_events(Streaming(spark), sf_dir), P), "derived")
 
@@ -64,7 +71,8 @@ qualify row_number() over (partition by a order by pts desc, seq desc) = 1""")
 def stream_latest_per_key(spark, sf_dir):
     path = scratch(spark, "latest")
     stream = adapters.user_ticks(Streaming(spark), sf_dir).select("a", "seq", "pts")
-    jobs.latest_table(stream, path + "/table", path + "/checkpoint", ("a",), ("pts", "seq"), once=True).awaitTermination()
+    jobs.latest_table(stream, path + "/table", path + "/checkpoint", ("a",), ("pts", "seq"), once=True,
+                      buckets=4).awaitTermination()
     return jobs.read_latest(spark, path + "/table")
 
 
@@ -81,11 +89,12 @@ def stream_dedupe_ticks(spark, sf_dir):
 
 
 @query("stream_rates", f"""with r as (select event_type, (epoch_us(ts) // 1000 // {6 * HOUR}) * {6 * HOUR} as start from events)
-select event_type, start, count(*) as n from r where start < (select max(start) from r) group by 1, 2""")
+select event_type, start, count(*) as n from r group by 1, 2""")
 def stream_rates(spark, sf_dir):
-    """Closed windows only: the last one stays open behind the watermark."""
+    """All windows, the open one included."""
     rows = adapters.table(Streaming(spark), sf_dir, "events").select("event_type", ms("ts").alias("ms"))
-    return finished(spark, jobs.rates(rows, "ms", "6 hours", "0 seconds", ("event_type",)), "rates")
+    return upserted(spark, jobs.rates(rows, "ms", "6 hours", "0 seconds", ("event_type",)), "rates",
+                    ("event_type", "start"), ("n",))
 
 
 @query("stream_fanout", f"with {SUBS} select client_id, ord, ts, value from dl")
@@ -96,21 +105,23 @@ def stream_fanout(spark, sf_dir):
 
 
 @query("stream_conflate", f"""with {SUBS}, w as (select client_id, id, value, ts, (ts // {6 * HOUR}) * {6 * HOUR} as flush from dl)
-select client_id, flush, id, arg_max(value, ts) as value from w where flush < (select max((ts // {6 * HOUR}) * {6 * HOUR}) from ms)
-group by 1, 2, 3""")
+select client_id, flush, id, arg_max(value, ts) as value from w group by 1, 2, 3""")
 def stream_conflate(spark, sf_dir):
     rows = serving.fanout_join(messages(Streaming(spark), sf_dir), customer_subs(spark, sf_dir))
-    out = finished(spark, jobs.conflated(rows, "6 hours", "0 seconds"), "conflate")
+    out = upserted(spark, jobs.conflated(rows, "6 hours", "0 seconds"), "conflate",
+                   ("client_id", "flush", "ch", "id"), ("ts", "ord"))
     return out.select("client_id", "flush", "id", "value")
 
 
-@query("stream_enrich_alerts", """select event_id as ord, coalesce(c_name, '') as question from events
-left join customer on c_custkey = case when value < 5 then null else user_id end""")
+@query("stream_enrich_alerts", f"""with {ALERTS}, {MARKETS}
+select a.ord, coalesce(k.question, '') as question,
+  coalesce(k.outcomes[list_position(k.clob_token_ids, a.asset_id)], '') as outcome
+from al a left join mk k on a.market_id = k.market_id""")
 def stream_enrich_alerts(spark, sf_dir):
     from tickloom.harness.q_serving import event_alerts
 
     rows = joins.enrich_alerts(event_alerts(Streaming(spark), sf_dir), customer_markets(spark, sf_dir))
-    return finished(spark, rows.select("ord", "question"), "alerts")
+    return finished(spark, rows.select("ord", "question", "outcome"), "alerts")
 
 
 @query("stream_recording", """select strftime(ts, '%Y-%m-%d') as date, strftime(ts, '%H')::integer as hour, count(*) as n from events group by 1, 2""")
@@ -148,3 +159,18 @@ def stream_counts(spark, sf_dir):
     rows.writeStream.outputMode("complete").option("checkpointLocation", path + "/c").trigger(
         availableNow=True).foreachBatch(keep).start().awaitTermination()
     return spark.read.parquet(path + "/out")
+
+
+@query("stream_pipeline_ticks", f"with recursive {stats()} select {TICK_COLUMNS} from st where changed")
+def stream_pipeline_ticks(spark, sf_dir):
+    """Frame text to ticks in one stream; the ticks go through a topic and come back."""
+    events = frames.ordered(frames.parse_frames(adapters.event_frames(Streaming(spark), sf_dir)))
+    path = scratch(spark, "pipeline")
+    jobs.derived_sinks(
+        events, customer_markets(spark, sf_dir), path + "/out", path + "/checkpoint", P, once=True, topics=path + "/topics",
+    ).awaitTermination()
+    back = topics.read_topic_bounded(spark, path + "/topics/ticks")
+    sent, _ = topics.decode_json_records(back.select("value"), schemas.TICK)
+    rows = spark.read.parquet(path + "/out/ticks").join(
+        sent.select("a", "seq", F.col("p").alias("_p")), ["a", "seq"]).filter(F.col("p") == F.col("_p"))
+    return tick_output(rows.withColumn("ord", F.shiftright("ord", frames.INSIDE_BITS)))

@@ -8,9 +8,6 @@ from tickloom.operators.axis import Axis, running
 from tickloom.operators.keyed import latest_per_key
 from tickloom.schemas import RECORD_VERSION
 
-_HOT_KEYS_AT_MOST = 100_000
-
-
 def asof_join(
     left: DataFrame, right: DataFrame, by: tuple[str, ...], left_ts: str, right_ts: str, *,
     left_order: tuple[str, ...] = (), right_order: tuple[str, ...] = (), width: int = 900_000,
@@ -64,21 +61,18 @@ def skew_join(
     """Equi-join on ``on``; left rows of hot keys are spread over ``parts`` tasks.
 
     The part of a left row is a hash of its ``spread`` columns, and right rows of
-    hot keys are repeated once per part. The hot-key table has at most
-    ``rows / most`` entries; it is broadcast only after counting that it is small,
-    otherwise Spark joins it like any table. Without ``hot`` the join relies on
+    hot keys are repeated once per part. How the hot-key table is joined is left to
+    Spark, which knows its size at run time. Without ``hot`` the join relies on
     adaptive skew splitting.
     """
     if hot is None:
         joined = left.join(right, list(on), how)
         return joined if condition is None else joined.filter(condition)
-    small = hot.limit(_HOT_KEYS_AT_MOST + 1).count() <= _HOT_KEYS_AT_MOST
-    table = F.broadcast(hot) if small else hot
     parts = F.coalesce("parts", F.lit(1))
-    lefts = left.join(table, list(on), "left").withColumn(
+    lefts = left.join(hot, list(on), "left").withColumn(
         "_part", F.pmod(F.xxhash64(*spread), parts.cast("bigint")).cast("int")
     ).drop("parts")
-    rights = right.join(table, list(on), "left").withColumn(
+    rights = right.join(hot, list(on), "left").withColumn(
         "_part", F.explode(F.sequence(F.lit(0), parts - 1))
     ).drop("parts")
     joined = lefts.join(rights, [*on, "_part"], how).drop("_part")

@@ -156,10 +156,31 @@ def live_counts_at(intervals: DataFrame, at: int, by: tuple[str, ...]) -> DataFr
     return live.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def subscribed_only(ticks: DataFrame, intervals: DataFrame, key: str = "a") -> DataFrame:
-    """Ticks of assets anybody is subscribed to."""
-    wanted = intervals.filter(F.col("ch") == "asset").select(F.col("id").alias(key)).distinct()
-    return ticks.join(wanted, key, "left_semi")
+def subscribed_only(
+    ticks: DataFrame, intervals: DataFrame, key: str = "a", *, ts: str = "ts", order: str = "ord", width: int = 900_000
+) -> DataFrame:
+    """Ticks of assets somebody is subscribed to at the tick's time.
+
+    Intervals open and close a running count per asset; a tick passes while the count
+    is above zero. Ticks and intervals are never paired.
+    """
+    wanted = intervals.filter(F.col("ch") == "asset")
+
+    def step(at: str, by: int, rows: DataFrame) -> DataFrame:
+        return rows.select(
+            F.col("id").alias("_k"), F.col(at).alias("_t"), F.col(f"{at}_ord").alias("_o"), F.lit(0).alias("_side"),
+            F.lit(by).alias("_d"), F.lit(None).alias("_row"),
+        )
+
+    rows = ticks.select(
+        F.col(key).alias("_k"), F.col(ts).cast("bigint").alias("_t"), F.col(order).cast("bigint").alias("_o"),
+        F.lit(1).alias("_side"), F.lit(0).alias("_d"), F.struct(*ticks.columns).alias("_row"),
+    )
+    steps = step("start", 1, wanted).unionByName(step("end", -1, wanted.filter(F.col("end") < FAR)))
+    counted = running(
+        steps.unionByName(rows), Axis(("_k",), ("_t", "_o", "_side"), width), sums={"_live": F.col("_d")}
+    )
+    return counted.filter((F.col("_side") == 1) & (F.col("_live") > 0)).select("_row.*")
 
 
 def fanout_join(
@@ -262,15 +283,21 @@ def flash_keys(ticks: DataFrame, batch_ms: int) -> DataFrame:
 
 def snapshot_on_subscribe(
     ops: DataFrame, ticks: DataFrame, tops: DataFrame | None = None, *, value: str = "value",
-    width: int = 900_000,
+    width: int = 900_000, steps: DataFrame | None = None,
 ) -> DataFrame:
     """Reply to accepted ``sub`` requests with the state known at that moment.
 
+    ``steps`` is the capped log (:func:`apply_subscription_ops`): requests it rejects
+    get an error (:func:`rejections`) and no snapshot.
+
     Asset requests get one ``snap`` message with the newest tick of every requested
     id that has one (also of ids already subscribed); top requests get the newest
     list; requests for nothing known get no message. ``ticks``: ``id, ts, ord, value``.
     """
     subs = ops.filter(F.col("op") == "sub").select("client_id", "ts", "ord", "ch", "ids")
+    if steps is not None:
+        refused = steps.filter(F.col("error").isNotNull()).select("client_id", "ts", "ord").distinct()
+        subs = subs.join(refused, ["client_id", "ts", "ord"], "left_anti")
     asked = op_keys(subs.filter(F.col("ch") == "asset"))
     known = asof_join(
         asked, ticks.select("id", "ts", "ord", value), ("id",), "ts", "ts",

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.axis import Axis, running, slice_expr
-from tickloom.operators.ranks import nearest_rank_percentile
+from tickloom.operators.ranks import global_rank, nearest_rank_percentile
 
 # Default upper bounds of a latency histogram, seconds.
 BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
@@ -90,13 +90,14 @@ def counter_rates(
 
 def sys_stats(
     inputs: DataFrame, outputs: DataFrame, sessions: DataFrame, *, window_ms: int = 1_000,
-    percentile_over: tuple[float, ...] = (0.99,),
+    p: float = 0.99, last: int = 4096, order: tuple[str, ...] = ("ts", "latency_ms"),
 ) -> DataFrame:
     """One row per window: live clients, records in and messages out per second, p99.
 
-    ``inputs`` has ``ts, latency_ms``; ``outputs`` has ``ts``; ``sessions`` has
-    ``client_id, start, end`` (``end`` null while connected). Clients are counted at
-    the end of the window; the percentile covers the window's own samples.
+    ``inputs`` has ``ts, latency_ms`` (and what ``order`` names); ``outputs`` has ``ts``;
+    ``sessions`` has ``client_id, start, end`` (``end`` null while connected). Clients are
+    counted at the end of the window; the percentile covers the ``last`` newest samples
+    at the end of the window, those of earlier windows included, and is 0 before the first.
     """
     window = (slice_expr("ts", window_ms) * F.lit(window_ms)).alias("start")
     timed = inputs.select(window, "latency_ms")
@@ -104,9 +105,7 @@ def sys_stats(
     went = outputs.select(window).groupBy("start").agg(
         (F.count(F.lit(1)) * 1000.0 / window_ms).alias("out_mps")
     )
-    slow = nearest_rank_percentile(
-        timed.filter(F.col("latency_ms") >= 0), "latency_ms", percentile_over, ("start",)
-    ).select("start", F.col("value").alias("p99_ms"))
+    slow = _trailing_percentile(inputs.filter(F.col("latency_ms") >= 0), window, p, last, order)
     # +1 at connect, -1 at disconnect, summed per window and accumulated.
     def at(c: str) -> Column:
         return slice_expr(c, window_ms) * F.lit(window_ms)
@@ -115,12 +114,44 @@ def sys_stats(
         sessions.filter("end is not null").select(at("end").alias("start"), F.lit(-1).alias("d"))
     ).groupBy("start").agg(F.sum("d").alias("d"))
     grid = came.join(went, "start", "full").join(slow, "start", "left").join(steps, "start", "full")
-    rows = running(grid, Axis((), ("start",), window_ms * 3_600), sums={"clients": F.coalesce("d", F.lit(0))})
+    rows = running(
+        grid, Axis((), ("start",), window_ms * 3_600), sums={"clients": F.coalesce("d", F.lit(0))},
+        lasts={"_p99": F.col("p99_ms")},
+    ).withColumn("p99_ms", F.col("_p99"))
     return rows.filter(F.col("in_eps").isNotNull() | F.col("out_mps").isNotNull()).select(
         "start", "clients", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("in_eps", "out_mps", "p99_ms")]
     )
 
 
+def _trailing_percentile(
+    samples: DataFrame, window: Column, p: float, last: int, order: tuple[str, ...]
+) -> DataFrame:
+    """``start, p99_ms``: percentile of the ``last`` newest samples at the end of each window
+    that has samples.
+
+    Samples are numbered and gathered in blocks of ``last``; what a window needs lies in
+    the block of its newest sample and the one before.
+    """
+    numbered = global_rank(samples.withColumn("start", window), order, "_rank").select(
+        "start", "latency_ms", (F.col("_rank") - 1).alias("_n")
+    )
+    block = F.floor(F.col("_n") / last)
+    blocks = numbered.groupBy(block.alias("_b")).agg(
+        F.collect_list(F.struct("_n", "latency_ms")).alias("_v")  # at most `last` entries
+    )
+    ends = numbered.groupBy("start").agg(F.max("_n").alias("_end")).withColumn("_b", F.floor(F.col("_end") / last))
+    newest = ends.join(blocks, "_b", "left")
+    older = blocks.select((F.col("_b") + 1).alias("_b"), F.col("_v").alias("_w"))
+    both = newest.join(older, "_b", "left").withColumn(
+        "_all", F.concat("_v", F.coalesce("_w", F.slice("_v", 1, 0)))
+    )
+    kept = F.filter("_all", lambda s: (s["_n"] <= F.col("_end")) & (s["_n"] > F.col("_end") - last))
+    values = F.array_sort(F.transform(kept, lambda s: s["latency_ms"]))
+    size = F.size("_sorted")
+    at = F.least(F.floor(size * F.lit(p)) + 1, size).cast("int")
+    return both.withColumn("_sorted", values).select("start", F.element_at("_sorted", at).alias("p99_ms"))
+
+
 def client_report(connections: DataFrame, latencies: DataFrame, duration_s: float) -> DataFrame:
     """Load figures of one run.
 

@@ -29,9 +29,13 @@ def build_alerts(
 
 def process(
     events: DataFrame, markets: DataFrame, p: Params = Params(), *, at: int | None = None,
-    initial: DataFrame | None = None, keep_rows: bool = False,
+    initial: DataFrame | None = None, keep_rows: bool = False, order: tuple[str, ...] = (),
 ) -> Derived:
-    """All derived records of a batch of raw events.
+    """All derived records of a batch of raw events (with ``ord``, see
+    :func:`tickloom.sources.frames.ordered`).
+
+    ``order`` names the version columns of ``markets`` where it is a change log; alerts
+    take the newest version.
 
     ``keep_rows`` writes the state rows to the checkpoint folder once, so that the
     three outputs do not each run the state plan.
@@ -42,7 +46,7 @@ def process(
     surges = sample_min_gap(
         series.surge_candidates(rows, p), p.cooldown_ms, payload=("market_id", "from", "to")
     )
-    alerts = joins.as_alerts(joins.enrich_alerts(surges, markets), p.surge_window_s)
+    alerts = joins.as_alerts(joins.enrich_alerts(surges, markets, order=order), p.surge_window_s)
     top = series.top_movers(events, at, p) if at is not None else None
     return Derived(
         series.as_ticks(rows.filter("changed")), alerts, series.as_ticks(rows.filter("marked")), top

@@ -1,0 +1,21 @@
+"""Folders of any Hadoop file system, as the driver sees them: listings and deletion only."""
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def _folder(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names inside a folder, none if it is not there."""
+    at, system = _folder(spark, path)
+    return sorted(s.getPath().getName() for s in system.listStatus(at)) if system.exists(at) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at, system = _folder(spark, path)
+    system.delete(at, True)

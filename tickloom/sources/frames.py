@@ -159,6 +159,28 @@ def _event(elements: DataFrame, kind: str, fields: dict[str, Column], e: str = "
     )
 
 
+#: Bits of an event's order number for its place inside a frame: element, then entry.
+POS_BITS, SUB_BITS = 10, 10
+INSIDE_BITS = POS_BITS + SUB_BITS
+
+
+def ordered(events: DataFrame, offset: str = "offset") -> DataFrame:
+    """Events with ``ord``, their order among events of the same millisecond.
+
+    An asset's frames arrive in one partition of the feed, so the frame's ``offset``
+    orders them; ``pos`` and ``sub`` order the events of a frame. A place that does not
+    fit into its bits is an error, not a wrong order.
+    """
+    def fits(name: str, bits: int) -> Column:
+        value = F.col(name).cast("bigint")
+        message = F.concat(F.lit(f"{name} of an event is out of range: "), value.cast("string"))
+        ok = (value >= 0) & (value < F.lit(1 << bits))
+        return F.when(ok, value).otherwise(F.raise_error(message).cast("bigint"))
+
+    number = F.shiftleft(fits(offset, 62 - INSIDE_BITS), INSIDE_BITS) + F.shiftleft(fits("pos", POS_BITS), SUB_BITS)
+    return events.withColumn("ord", number + fits("sub", SUB_BITS))
+
+
 def parse_book(elements: DataFrame) -> DataFrame:
     """Best bid and ask over unsorted levels; price = last trade, else the mid."""
     def prices(levels: str) -> Column:

@@ -13,6 +13,9 @@ from tickloom.functions.wire import envelope
 from tickloom.operators.joins import as_alerts, enrich_alerts
 from tickloom.operators.keyed import latest_per_key
 from tickloom.params import Params
+from tickloom.schemas import ALERT, TICK
+from tickloom.sources.folders import delete, names
+from tickloom.sources.topics import to_records, write_topic
 from tickloom.streaming.processor import derive_stream, surges_of, ticks_of
 
 
@@ -31,19 +34,33 @@ def run_to_end(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet")
 
 def derived_sinks(
     events: DataFrame, markets: DataFrame, path: str, checkpoint: str, p: Params = Params(), *,
-    initial: DataFrame | None = None, once: bool = False,
+    initial: DataFrame | None = None, once: bool = False, order: tuple[str, ...] = (),
+    topics: str | None = None,
 ) -> StreamingQuery:
     """One stateful pass writing ticks, alerts and snapshots.
 
     Each micro-batch writes to folders of its own number, so a batch that is run
-    again after a failure replaces what it wrote before.
+    again after a failure replaces what it wrote before. With ``topics`` the same records
+    are also written there as JSON record streams: ``ticks``, ``alerts``, ``snapshots`` below
+    a folder or after ``kafka://host:port/prefix``. ``markets`` is read
+    anew by every micro-batch; where it is a change log, ``order`` names its version
+    columns and alerts take the newest version.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        alerts = as_alerts(enrich_alerts(surges_of(batch), markets), p.surge_window_s)
+        alerts = as_alerts(enrich_alerts(surges_of(batch), markets, order=order), p.surge_window_s)
         outputs = {"ticks": ticks_of(batch), "alerts": alerts, "snapshots": ticks_of(batch, "snapshot")}
         for name, rows in outputs.items():
             rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+            if topics is not None:
+                layout = ALERT if name == "alerts" else TICK
+                fields = [f.split()[0].strip("`") for f in layout.split(", ")]
+                records = rows.select(*fields)
+                if topics.startswith("kafka://"):
+                    write_topic(records, f"{topics}{name}", "a")
+                else:
+                    to_records(records, "a").select("value").write.mode("overwrite").text(
+                        f"{topics}/{name}/batch={batch_id}")
         batch.unpersist()
 
     writer = derive_stream(events, p, initial).writeStream.option("checkpointLocation", checkpoint)
@@ -54,37 +71,71 @@ def derived_sinks(
 
 def latest_table(
     stream: DataFrame, path: str, checkpoint: str, key: tuple[str, ...], order: tuple[str, ...], *,
-    once: bool = False,
+    once: bool = False, mode: str = "append", buckets: int = 64, keep: int = 2,
 ) -> StreamingQuery:
     """Keep the newest row per key as a table.
 
-    Every micro-batch writes a new version ``v=<batch>`` from the one before;
-    running it again gives the same version. Read with :func:`read_latest`.
+    Keys are dealt to ``buckets``; a micro-batch rewrites only those it touches, as
+    version ``v=<batch>`` from the newest earlier version of each. Running it again gives
+    the same version. Of every bucket the ``keep`` newest versions stay, so a reader that
+    has begun is not cut off. ``mode="update"`` takes an aggregate's changed rows. Read
+    with :func:`read_latest`.
     """
-    spark = stream.sparkSession
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch
-        if batch_id > 0:
-            rows = rows.unionByName(spark.read.parquet(f"{path}/v={batch_id - 1}"))
-        latest_per_key(rows, key, order).select(*stream.columns).write.mode("overwrite").parquet(
-            f"{path}/v={batch_id}")
-
-    writer = stream.writeStream.option("checkpointLocation", checkpoint)
+        spark = batch.sparkSession
+        rows = batch.select(*stream.columns, bucket.alias("_bucket")).persist()
+        touched = {r[0] for r in rows.select("_bucket").distinct().collect()}
+        before = _versions(spark, path, below=batch_id)
+        old = [f"{path}/v={before[b][-1]}/_bucket={b}" for b in sorted(touched & set(before))]
+        whole = rows
+        if old:
+            earlier = spark.read.schema(stream.schema).parquet(*old)
+            whole = rows.unionByName(earlier.select("*", bucket.alias("_bucket")))
+        newest = latest_per_key(whole, key, order).select(*stream.columns, "_bucket")
+        newest.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/v={batch_id}")
+        rows.unpersist()
+        for b in touched & set(before):
+            for version in before[b][:-(keep - 1) or None]:
+                delete(spark, f"{path}/v={version}/_bucket={b}")
+
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
     if once:
         writer = writer.trigger(availableNow=True)
     return writer.foreachBatch(write).start()
 
 
+def _versions(spark: SparkSession, path: str, below: int | None = None) -> dict[int, list[int]]:
+    """Complete versions of each bucket, oldest first."""
+    out: dict[int, list[int]] = {}
+    numbers = sorted(int(n[2:]) for n in names(spark, path) if n.startswith("v="))
+    for version in numbers:
+        inside = names(spark, f"{path}/v={version}") if below is None or version < below else []
+        if "_SUCCESS" in inside:
+            for name in inside:
+                if name.startswith("_bucket="):
+                    out.setdefault(int(name.partition("=")[2]), []).append(version)
+    return out
+
+
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """Newest complete version of a table kept by :func:`latest_table`."""
-    rows = spark.read.parquet(path)
-    newest = rows.agg(F.max("v")).first()[0]
-    return rows.filter(F.col("v") == newest).drop("v")
+    """Newest complete version of a table kept by :func:`latest_table`.
+
+    Only folders are listed; a version without its success marker does not count.
+    """
+    found = [f"{path}/v={versions[-1]}/_bucket={b}" for b, versions in sorted(_versions(spark, path).items())]
+    if not found:
+        raise FileNotFoundError(f"no complete version in {path}")
+    return spark.read.parquet(*found)
 
 
 def rates(stream: DataFrame, ts: str, window: str, delay: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Records per tumbling event-time window, emitted when the window closes."""
+    """Records per tumbling event-time window.
+
+    An append sink gets a window when it closes; to have the open ones as well, keep the
+    result with ``latest_table(..., order=("n",), mode="update")``.
+    """
     grouped = stamped(stream, ts, delay).groupBy(F.window("event_time", window), *by)
     return grouped.agg(F.count(F.lit(1)).alias("n")).select(
         (F.unix_millis("window.start")).alias("start"), *by, "n"
@@ -97,12 +148,18 @@ def counts(stream: DataFrame, kind: str = "kind") -> DataFrame:
 
 
 def conflated(deliveries: DataFrame, flush: str, delay: str, *, value: str = "value") -> DataFrame:
-    """Newest delivery per client, key and flush window, emitted when it closes."""
-    newest = F.max_by(value, F.struct("ts", "ord")).alias(value)
+    """Newest delivery per client, key and flush window, with its ``ts`` and ``ord``.
+
+    An append sink gets a window when it closes; to have the open ones as well, keep the
+    result with ``latest_table(..., order=("ts", "ord"), mode="update")``.
+    """
+    newest = F.max_by(F.struct("ts", "ord", value), F.struct("ts", "ord")).alias("_m")
     return (
         stamped(deliveries, "ts", delay).groupBy(F.window("event_time", flush), "client_id", "ch", "id")
         .agg(newest)
-        .select(F.unix_millis("window.start").alias("flush"), "client_id", "ch", "id", value)
+        .select(
+            F.unix_millis("window.start").alias("flush"), "client_id", "ch", "id", "_m.ts", "_m.ord", f"_m.{value}"
+        )
     )
 
 
