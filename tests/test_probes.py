@@ -1,6 +1,7 @@
 """Cases the check tables do not hold."""
 import json
 import random
+import time
 import zlib
 from datetime import datetime, timezone
 
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from tests.test_frames import BOOK, PAGE, TRADE, parse
 from tickloom.functions import numbers
-from tickloom.operators import serving
+from tickloom.operators import series, serving
+from tickloom.params import Params
 from tickloom.plans import replay
 from tickloom.sources import frames, markets
-from tickloom.streaming import jobs
+from tickloom.streaming import jobs, processor
 
 NEW = {"event_type": "new_market", "id": 3}
 
@@ -160,3 +162,32 @@ def test_trimming_by_blocks_adds_up(spark):
         one = kept(replay.trim_to_budget(rows, limit, ("ts",), measure=replay.raw_size))
         assert one == kept(replay.trim_to_budget(rows, limit, ("ts",), measure=replay.raw_size, block=7))
     assert kept(replay.trim_to_budget(rows.limit(0), 10, ("ts",))) == []
+
+
+def test_stream_top_over_many_batches_equals_the_batch_lists(spark, tmp_path):
+    rng = random.Random(6)
+    p = Params(gap_ms=1000, ring=20, short_ms=2000, long_ms=5000, vol_ms=5000, surge_ms=2000, cooldown_ms=3000,
+               snapshot_ms=1000, top=2, slice_ms=10_000)
+    rows = sorted(
+        (rng.randint(0, 40_000), rng.choice("abcd"), round(rng.uniform(0.1, 0.9), 3)) for _ in range(300)
+    )
+    schema = "asset_id string, market_id string, price double, best_bid double, best_ask double, recv_ts bigint, ord bigint"
+    data = [(a, "m", x, 0.0, 0.0, 1_000_000 + t, i) for i, (t, a, x) in enumerate(rows)]
+    source = str(tmp_path / "in")
+    for k in range(0, 300, 60):
+        spark.createDataFrame(data[k:k + 60], schema).coalesce(1).write.mode("append").parquet(source)
+        time.sleep(0.05)  # files are taken in the order of their times
+    late = [("a", "m", 0.99, 0.0, 0.0, 1_000_500, 1000)]
+    spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    table = str(tmp_path / "table")
+    query = jobs.top_table(
+        processor.movers_of(processor.derive_stream(stream, p, every=1000)), table, str(tmp_path / "c"), p.top,
+        once=True, buckets=4)
+    query.awaitTermination()
+    got = jobs.read_latest(spark, table)
+    want = series.top_movers_on_grid(spark.createDataFrame(data, schema), 1_000_000, data[-1][5], 1000, p)
+    shown = lambda df: sorted((r.ts, r.a, round(r.c5m, 6)) for r in df.collect())
+    assert shown(got) == shown(want) and len({r.ts for r in got.collect()}) > 20
+    dropped = sum(int(s["numRowsDroppedByWatermark"]) for b in query.recentProgress for s in b["stateOperators"])
+    assert dropped == 1  # the late event

@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from tickloom.harness.adapters import HOUR, P, customer_markets, customer_subs, messages, ms, raw_events, scratch
 from tickloom.harness.q_frames import event_output, mixed_sql
-from tickloom.harness.q_series import EV, MARKETS, PRICED, SNAP_SQL, SURGES, TICK_COLUMNS, USER_TICKS, stats, tick_output
+from tickloom.harness.q_series import EV, GRID_SQL, MARKETS, PRICED, SNAP_SQL, SURGES, TICK_COLUMNS, USER_TICKS, stats, tick_output
 from tickloom.harness.q_serving import ALERTS, SUBS
 from tickloom.harness.registry import query, r6
-from tickloom.operators import joins, keyed, serving
+from tickloom.operators import joins, keyed, series, serving
 from tickloom import schemas
 from tickloom.sources import frames, recording as rec, topics
 from tickloom.streaming import jobs, processor
@@ -66,6 +66,17 @@ def stream_alerts(spark, sf_dir):
     return spark.read.parquet(path + "/out/alerts").select("a", "ts", "m", r6("from"), r6("to"))
 
 
+@query("stream_top", f"select * from ({GRID_SQL}) where ts <= (select max(epoch_us(ts) // 1000) from events)")
+def stream_top(spark, sf_dir):
+    """The top list at every sixth hour the stream has passed, from event-time timers."""
+    path = scratch(spark, "top")
+    rows = processor.derive_stream(raw_events(Streaming(spark), sf_dir), P, every=6 * HOUR)
+    jobs.top_table(processor.movers_of(rows), path + "/table", path + "/checkpoint", P.top, once=True,
+                   buckets=4).awaitTermination()
+    ranked = series.rank_movers(jobs.read_latest(spark, path + "/table"), P.top, by=("ts",))
+    return ranked.select("ts", "a", r6("c5m"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("stream_latest_per_key", f"""with {USER_TICKS} select a, seq, pts from tk
 qualify row_number() over (partition by a order by pts desc, seq desc) = 1""")
 def stream_latest_per_key(spark, sf_dir):

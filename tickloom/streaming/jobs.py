@@ -5,6 +5,9 @@ are the batch functions applied to a stream. What needs state is here.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -12,6 +15,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from tickloom.functions.wire import envelope
 from tickloom.operators.joins import as_alerts, enrich_alerts
 from tickloom.operators.keyed import latest_per_key
+from tickloom.operators.series import rank_movers
 from tickloom.params import Params
 from tickloom.schemas import ALERT, TICK
 from tickloom.sources.folders import delete, names
@@ -69,31 +73,30 @@ def derived_sinks(
     return writer.foreachBatch(write).start()
 
 
-def latest_table(
-    stream: DataFrame, path: str, checkpoint: str, key: tuple[str, ...], order: tuple[str, ...], *,
-    once: bool = False, mode: str = "append", buckets: int = 64, keep: int = 2,
+def merged_table(
+    stream: DataFrame, path: str, checkpoint: str, key: tuple[str, ...],
+    merge: Callable[[DataFrame], DataFrame], *, once: bool = False, mode: str = "append", buckets: int = 64,
+    keep: int = 2,
 ) -> StreamingQuery:
-    """Keep the newest row per key as a table.
-
-    Keys are dealt to ``buckets``; a micro-batch rewrites only those it touches, as
-    version ``v=<batch>`` from the newest earlier version of each. Running it again gives
-    the same version. Of every bucket the ``keep`` newest versions stay, so a reader that
-    has begun is not cut off. ``mode="update"`` takes an aggregate's changed rows. Read
-    with :func:`read_latest`.
+    """Keep what ``merge`` makes of a stream's rows as a table.
+
+    ``merge`` takes rows of the stream's columns, any number for each ``key``, and leaves
+    those that stay. Keys are dealt to ``buckets``; a micro-batch rewrites only those it
+    touches, as version ``v=<batch>`` from the newest earlier version of each. Running it
+    again gives the same version. Of every bucket the ``keep`` newest versions stay, so a
+    reader that has begun is not cut off. ``mode="update"`` takes an aggregate's changed
+    rows. Read with :func:`read_latest`.
     """
-    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int").alias("_bucket")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select(*stream.columns, bucket.alias("_bucket")).persist()
-        touched = {r[0] for r in rows.select("_bucket").distinct().collect()}
+        rows = batch.select(*stream.columns).persist()
+        touched = {r[0] for r in rows.select(bucket).distinct().collect()}
         before = _versions(spark, path, below=batch_id)
         old = [f"{path}/v={before[b][-1]}/_bucket={b}" for b in sorted(touched & set(before))]
-        whole = rows
-        if old:
-            earlier = spark.read.schema(stream.schema).parquet(*old)
-            whole = rows.unionByName(earlier.select("*", bucket.alias("_bucket")))
-        newest = latest_per_key(whole, key, order).select(*stream.columns, "_bucket")
+        whole = rows.unionByName(spark.read.schema(stream.schema).parquet(*old)) if old else rows
+        newest = merge(whole).select(*stream.columns, bucket)
         newest.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/v={batch_id}")
         rows.unpersist()
         for b in touched & set(before):
@@ -106,6 +109,24 @@ def latest_table(
     return writer.foreachBatch(write).start()
 
 
+def latest_table(
+    stream: DataFrame, path: str, checkpoint: str, key: tuple[str, ...], order: tuple[str, ...], **options: Any,
+) -> StreamingQuery:
+    """Keep the newest row per key as a table (:func:`merged_table`)."""
+    return merged_table(stream, path, checkpoint, key, lambda rows: latest_per_key(rows, key, order), **options)
+
+
+def top_table(movers: DataFrame, path: str, checkpoint: str, n: int, **options: Any) -> StreamingQuery:
+    """Keep the ``n`` largest changes of every instant as a table: ``ts, a, c5m``.
+
+    A list grows while changes of its instant come in; it is complete when the watermark
+    has passed the instant.
+    """
+    return merged_table(
+        movers, path, checkpoint, ("ts",), lambda rows: rank_movers(rows.distinct(), n, by=("ts",)), **options
+    )
+
+
 def _versions(spark: SparkSession, path: str, below: int | None = None) -> dict[int, list[int]]:
     """Complete versions of each bucket, oldest first."""
     out: dict[int, list[int]] = {}

@@ -25,7 +25,7 @@ from tickloom.schemas import RECORD_VERSION
 
 STATE = (
     "last double, bid double, ask double, market string, seq bigint, snapped bigint, fired bigint, "
-    "ring_ts array<bigint>, ring_price array<double>"
+    "ring_ts array<bigint>, ring_price array<double>, grid bigint"
 )
 OUTPUT = (
     "kind string, a string, m string, p double, b double, k double, c1m double, c5m double, vol double, "
@@ -37,31 +37,40 @@ _FEED = ["recv_ts", "ord", "price", "best_bid", "best_ask", "market_id"]
 
 class AssetProcessor(StatefulProcessor):
     """Emits tagged rows: ``tick`` on a price change, ``alert`` on a surge,
-    ``snapshot`` at most once per ``snapshot_ms``."""
+    ``snapshot`` at most once per ``snapshot_ms``, and with ``every`` a ``grid`` row: the
+    change at each multiple of ``every`` milliseconds, once it is certain that no earlier
+    event is to come (a later event of the asset is there, or the watermark has passed)."""
 
-    def __init__(self, p: Params) -> None:
-        self.p = p
+    def __init__(self, p: Params, every: int | None = None) -> None:
+        self.p, self.every = p, every
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("asset", STATE)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         row = initialState.iloc[0]
         self.state.update((
             float(row["p"]), float(row["b"]), float(row["k"]), row["m"], int(row["seq"]), None, None, [], [],
+            None,
         ))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows), ignore_index=True).sort_values(["recv_ts", "ord"], kind="stable")
         if self.state.exists():
-            last, bid, ask, market, seq, snapped, fired, times, prices = self.state.get()
+            last, bid, ask, market, seq, snapped, fired, times, prices, grid = self.state.get()
             times, prices = list(times), list(prices)
             returns = [None, *(self._return(a, b) for a, b in zip(prices, prices[1:]))][:len(prices)]
         else:
             last = bid = ask = 0.0
-            market, seq, snapped, fired, times, prices, returns = "", 0, None, None, [], [], []
+            market, seq, snapped, fired, times, prices, returns, grid = "", 0, None, None, [], [], [], None
         p, out = self.p, []
         for ts, ord_, price, best_bid, best_ask, market_id in events[_FEED].itertuples(index=False, name=None):
+            if self.every:
+                if grid is None:
+                    grid = ts - ts % self.every
+                now = (market, last, bid, ask, seq, times, prices)
+                grid = self._grid(key[0], now, grid, ts - 1, out)
             market = market_id or market
             bid, ask = best_bid or bid, best_ask or ask
             changed = bool(price) and price != last
@@ -100,9 +109,34 @@ class AssetProcessor(StatefulProcessor):
             if due:
                 snapped = ts
                 out.append(("snapshot", *row, old))
-        self.state.update((last, bid, ask, market, seq, snapped, fired, times, prices))
+        self.state.update((last, bid, ask, market, seq, snapped, fired, times, prices, grid))
+        if self.every:
+            self.handle.registerTimer(grid + self.every)
         yield pd.DataFrame(out, columns=_NAMES)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, bid, ask, market, seq, snapped, fired, times, prices, grid = self.state.get()
+        out: list[tuple] = []
+        now = (market, last, bid, ask, seq, list(times), list(prices))
+        reached = self._grid(key[0], now, grid, timerValues.getCurrentWatermarkInMs(), out)
+        if reached > grid:
+            self.state.update((last, bid, ask, market, seq, snapped, fired, times, prices, reached))
+        self.handle.registerTimer(reached + self.every)
+        yield pd.DataFrame(out, columns=_NAMES)
+
+    def _grid(self, asset: str, now: tuple, grid: int, upto: int, out: list[tuple]) -> int:
+        """Rows of the instants after ``grid`` up to ``upto``; returns the last instant."""
+        market, last, bid, ask, seq, times, prices = now
+        while grid + self.every <= upto:
+            grid += self.every
+            then = self._asof(times, prices, grid - self.p.long_ms) if last else None
+            if then is not None:
+                out.append((
+                    "grid", asset, market, last, bid, ask, 0.0, (last - then) * 100, 0.0, seq, grid, 0, False, True,
+                    False, None,
+                ))
+        return grid
+
     @staticmethod
     def _asof(times: list[int], prices: list[float], target: int) -> float | None:
         at = bisect_right(times, target)
@@ -136,11 +170,17 @@ def use_rocksdb(spark) -> None:
     )
 
 
-def derive_stream(events: DataFrame, p: Params = Params(), initial: DataFrame | None = None) -> DataFrame:
+def derive_stream(
+    events: DataFrame, p: Params = Params(), initial: DataFrame | None = None, *, every: int | None = None,
+    delay: str = "0 seconds",
+) -> DataFrame:
     """Tagged ticks, alerts and snapshots of a stream of raw events.
 
     ``initial``: newest snapshot per asset, tick layout
-    (:func:`tickloom.operators.series.restore_state`).
+    (:func:`tickloom.operators.series.restore_state`). With ``every`` also the change at each
+    multiple of so many milliseconds, for the top list; then events later than ``delay``
+    behind the newest are dropped, and Spark's progress counts them
+    (``numRowsDroppedByWatermark``).
     """
     use_rocksdb(events.sparkSession)
     # The worker that plans the operator does not see files added to the session,
@@ -156,9 +196,11 @@ def derive_stream(events: DataFrame, p: Params = Params(), initial: DataFrame |
     start = None
     if initial is not None:
         start = initial.select(F.col("a").alias("asset_id"), "m", "p", "b", "k", "seq").groupBy("asset_id")
+    if every:
+        feed = feed.withColumn("event_time", F.timestamp_millis("recv_ts")).withWatermark("event_time", delay)
     return feed.groupBy("asset_id").transformWithStateInPandas(
-        statefulProcessor=AssetProcessor(p), outputStructType=OUTPUT, outputMode="Append",
-        timeMode="None", initialState=start,
+        statefulProcessor=AssetProcessor(p, every), outputStructType=OUTPUT, outputMode="Append",
+        timeMode="EventTime" if every else "None", initialState=start,
     )
 
 
@@ -170,6 +212,11 @@ def ticks_of(derived: DataFrame, kind: str = "tick") -> DataFrame:
     )
 
 
+def movers_of(derived: DataFrame) -> DataFrame:
+    """Every asset's change at each grid instant: ``ts, a, c5m``."""
+    return derived.filter(F.col("kind") == "grid").select(F.col("rts").alias("ts"), "a", "c5m")
+
+
 def surges_of(derived: DataFrame) -> DataFrame:
     return derived.filter(F.col("kind") == "alert").select(
         F.col("a").alias("asset_id"), F.col("rts").alias("recv_ts"), "ord", F.col("m").alias("market_id"),
