@@ -38,6 +38,23 @@ def shown(value):
     return repr(value + 0.0) if isinstance(value, float) else str(value)
 
 
+@pytest.fixture
+def generated_code(spark):
+    """What a cluster runs; the other tests leave compiling out."""
+    names = {"spark.sql.codegen.wholeStage": "true", "spark.sql.codegen.factoryMode": "FALLBACK"}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize("name", ["build_ticks", "parse_frames", "fanout_join_hot", "partition_lag", "sys_stats"])
+def test_query_with_generated_code(spark, duck, generated_code, name):
+    test_query(spark, duck, name)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)

@@ -360,7 +360,7 @@ def build_ticks_resumed(spark, sf_dir):
 # --- frame text to derived records, in one plan ------------------------------
 def frame_records(spark, sf_dir):
     events = frames.ordered(frames.parse_frames(event_frames(spark, sf_dir)))
-    return pipeline.process(events, customer_markets(spark, sf_dir), P)
+    return pipeline.process(events, customer_markets(spark, sf_dir), P, fit=True)
 
 
 @query("pipeline_ticks", f"with recursive {stats()} select {TICK_COLUMNS} from st where changed")

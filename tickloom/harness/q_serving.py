@@ -360,8 +360,8 @@ def conflate_before_fanout(spark, sf_dir):
 
 @query("conflate_channels", f"""with e as (select user_id as client_id, event_id as ord, {MS} as ts, event_type,
     '{{"e":' || event_id || '}}' as value, ({MS} // {DAY}) * {DAY} as flush from events)
-select client_id, flush, 'top' as t, '{{"t":"top","d":' || arg_max(value, ts) || '}}' as frame from e where event_type = 'view' group by 1, 2
-union all select client_id, flush, case event_type when 'error' then 'alert' else 'sys' end,
+select client_id, flush, 'top' as t, 1 as n, '{{"t":"top","d":' || arg_max(value, ts) || '}}' as frame from e where event_type = 'view' group by 1, 2
+union all select client_id, flush, case event_type when 'error' then 'alert' else 'sys' end, 1,
   '{{"t":"' || case event_type when 'error' then 'alert' else 'sys' end || '","d":' || value || '}}' from e where event_type in ('error', 'signup')""")
 def conflate_channels(spark, sf_dir):
     """Top lists are conflated; alerts and sys messages are not."""
@@ -371,7 +371,7 @@ def conflate_channels(spark, sf_dir):
         F.col("user_id").alias("client_id"), ch.alias("ch"), F.lit("").alias("id"), ms("ts").alias("ts"),
         F.col("event_id").alias("ord"),
         F.concat(F.lit('{"e":'), F.col("event_id").cast("string"), F.lit("}")).alias("value")).filter("ch is not null")
-    return serving.conflate(rows, DAY).select("client_id", "flush", "t", "frame")
+    return serving.conflate(rows, DAY).select("client_id", "flush", "t", "n", "frame")
 
 
 @query("flash_keys", f"with {USER_TICKS} select distinct (pts // {HOUR}) * {HOUR} as batch, a from tk")

@@ -29,6 +29,7 @@ from tickloom.operators.gap import sample_min_gap
 from tickloom.operators.keyed import latest_per_key
 from tickloom.operators.ranks import global_rank
 from tickloom.params import Params
+from tickloom.session import durable
 from tickloom.schemas import RECORD_VERSION
 
 _SEED, _SAMPLE, _MARK, _EVENT, _GRID = range(5)
@@ -399,22 +400,42 @@ def as_ticks(rows: DataFrame) -> DataFrame:
 
 
 def fit_slices(events: DataFrame, p: Params = Params(), most: int = 2_000_000) -> Params:
-    """``p`` with slices narrow enough that no ``(asset, slice)`` exceeds ``most`` rows.
+    """``p`` with the widest slices of which none exceeds ``most`` rows of an asset.
 
-    One counting pass (partial counts per asset and 1/64 slice). Results do not
-    depend on the width; only the size of the largest task does.
+    Rows are counted once per asset and 1/64 slice; coarser counts are made of those,
+    finer ones (down to a millisecond) are counted anew while a slice is too large. No
+    slice takes more than half a task's share of all rows either, so that few assets
+    still keep all tasks busy. Results do not depend on the width.
     """
-    finest = max(p.slice_ms // 64, 1)
-    levels = [1 << i for i in range(7)]
-    counts = events.groupBy(_KEY, slice_expr("recv_ts", finest).alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
-    largest = (
-        counts.withColumn("_l", F.explode(F.array(*[F.lit(v).cast("bigint") for v in levels])))
-        .groupBy(_KEY, "_l", F.call_function("div", F.col("_c"), F.col("_l")).alias("_c"))
-        .agg(F.sum("_n").alias("_n"))
-        .groupBy("_l").agg(F.max("_n").alias("_n")).filter(F.col("_n") <= most)
-        .agg(F.max("_l")).first()[0]
-    )
-    return replace(p, slice_ms=finest * (largest or 1))
+    def counted(width: int) -> DataFrame:
+        return durable(events.groupBy(_KEY, slice_expr("recv_ts", width).alias("_c")).agg(
+            F.count(F.lit(1)).alias("_n")))
+
+    def facts(counts: DataFrame) -> tuple[int, int, int]:
+        row = counts.agg(
+            F.coalesce(F.max("_n"), F.lit(0)), F.coalesce(F.sum("_n"), F.lit(0)),
+            F.coalesce(F.max("_c") - F.min("_c"), F.lit(0)),
+        ).first()
+        return row[0], row[1], row[2]
+
+    width = max(p.slice_ms // 64, 1)
+    counts = counted(width)
+    largest, total, span = facts(counts)
+    tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = min(most, max(total // (2 * tasks), 20_000))
+    while largest > most and width > 1:
+        width = max(width // 64, 1)
+        counts = counted(width)
+        largest, _, span = facts(counts)
+    while span > 0:
+        counts = durable(counts.groupBy(
+            _KEY, F.call_function("div", F.col("_c") - F.pmod("_c", F.lit(4)), F.lit(4).cast("bigint")).alias("_c")
+        ).agg(F.sum("_n").alias("_n")))
+        largest, _, span = facts(counts)
+        if largest > most:
+            break
+        width *= 4
+    return replace(p, slice_ms=width)
 
 
 def build_ticks(events: DataFrame, p: Params = Params(), initial: DataFrame | None = None) -> DataFrame:

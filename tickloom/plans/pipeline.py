@@ -30,6 +30,7 @@ def build_alerts(
 def process(
     events: DataFrame, markets: DataFrame, p: Params = Params(), *, at: int | None = None,
     initial: DataFrame | None = None, keep_rows: bool = False, order: tuple[str, ...] = (),
+    fit: bool = False,
 ) -> Derived:
     """All derived records of a batch of raw events (with ``ord``, see
     :func:`tickloom.sources.frames.ordered`).
@@ -37,9 +38,11 @@ def process(
     ``order`` names the version columns of ``markets`` where it is a change log; alerts
     take the newest version.
 
-    ``keep_rows`` writes the state rows to the checkpoint folder once, so that the
+    ``fit`` chooses the slice width from the data first. ``keep_rows`` writes the state rows to the checkpoint folder once, so that the
     three outputs do not each run the state plan.
     """
+    if fit:
+        p = series.fit_slices(events, p)
     rows = series.state_rows(events, p, marks=series.snapshot_marks(events, p), initial=initial)
     if keep_rows:
         rows = durable(rows.filter("changed or marked"))
