@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tests.conftest import BASE, EVENT
 from tests.fold import fold, greedy
 from tickloom.operators import series
+from tickloom.operators import axis
 from tickloom.operators.axis import Axis, running
 from tickloom.operators.gap import sample_min_gap
 from tickloom.params import Params
@@ -227,3 +228,20 @@ def test_running_values(spark):
         assert r.s == sum(upto) and r.l == (upto or [None])[-1]
         assert r.b == (prior or [None])[-1] and r.a == (later or [None])[0]
     assert len(got) == len(rows)
+
+
+def test_running_values_without_a_key(spark, monkeypatch):
+    monkeypatch.setattr(axis, "BLOCK", 4)  # many blocks of slices
+    rng = random.Random(5)
+    rows = [(t, rng.choice([None, 1, 2, 3])) for t in rng.sample(range(-2_000, 3_000), 300)]
+    got = running(
+        spark.createDataFrame(rows, "t bigint, v int"), Axis((), ("t",), 50), sums={"s": F.col("v")},
+        lasts={"l": F.col("v")}, before={"b": F.col("v")}, after={"a": F.col("v")},
+    ).collect()
+    mine = sorted((t, v) for t, v in rows if v is not None)
+    for r in got:
+        prior, later = [v for t, v in mine if t < r.t], [v for t, v in mine if t > r.t]
+        upto = [v for t, v in mine if t <= r.t]
+        assert (r.s, r.l) == (sum(upto), (upto or [None])[-1])
+        assert (r.b, r.a) == ((prior or [None])[-1], (later or [None])[0])
+    assert len(got) == len(rows)

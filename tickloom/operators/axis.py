@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE = "_slice"
+#: Slices of a keyless axis that are folded together before the rest.
+BLOCK = 1024
 
 
 def slice_expr(ts: str | Column, width: int) -> Column:
@@ -48,6 +50,51 @@ class Axis:
         return [F.col(c).desc() if descending else F.col(c).asc() for c in self.order]
 
 
+def _carried(
+    summary: DataFrame, key: list[str], at: str, sums: list[str], back: list[str], after: list[str]
+) -> DataFrame:
+    """``summary`` with what each place ``at`` gets from the places before and after it.
+
+    Without a key all summaries would meet in one task: then blocks of ``BLOCK`` places are
+    folded first, and only a row per block is folded in one piece.
+    """
+    blocks = not key
+    part = ["_block"] if blocks else key
+    rows = summary.withColumn("_block", slice_expr(at, BLOCK)) if blocks else summary
+    over = Window.partitionBy(*part).orderBy(at)
+    earlier = over.rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*part).orderBy(F.col(at).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.select(
+        *part, at,
+        *[F.sum(f"_s_{n}").over(earlier).alias(f"_s_{n}") for n in sums],
+        *[F.last(f"_b_{n}", ignorenulls=True).over(earlier).alias(f"_b_{n}") for n in back],
+        *[F.last(f"_a_{n}", ignorenulls=True).over(later).alias(f"_a_{n}") for n in after],
+    )
+    if not blocks:
+        return out
+    whole = rows.groupBy("_block").agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.sum(f"_s_{n}").alias(f"_s_{n}") for n in sums],
+        *[F.max_by(f"_b_{n}", F.when(F.col(f"_b_{n}").isNotNull(), F.col(at))).alias(f"_b_{n}") for n in back],
+        *[F.min_by(f"_a_{n}", F.when(F.col(f"_a_{n}").isNotNull(), F.col(at))).alias(f"_a_{n}") for n in after],
+    )
+    everything = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    rest = Window.orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    outer = whole.select(
+        "_block",
+        *[F.sum(f"_s_{n}").over(everything).alias(f"_os_{n}") for n in sums],
+        *[F.last(f"_b_{n}", ignorenulls=True).over(everything).alias(f"_ob_{n}") for n in back],
+        *[F.last(f"_a_{n}", ignorenulls=True).over(rest).alias(f"_oa_{n}") for n in after],
+    )
+    zero = F.lit(0)
+    return out.join(outer, "_block", "left").select(
+        at,
+        *[(F.coalesce(f"_s_{n}", zero) + F.coalesce(f"_os_{n}", zero)).alias(f"_s_{n}") for n in sums],
+        *[F.coalesce(f"_b_{n}", f"_ob_{n}").alias(f"_b_{n}") for n in back],
+        *[F.coalesce(f"_a_{n}", f"_oa_{n}").alias(f"_a_{n}") for n in after],
+    )
+
+
 def running(
     df: DataFrame,
     axis: Axis,
@@ -65,7 +112,8 @@ def running(
     ``after``   oldest non-null value strictly after the row
 
     One shuffle of the rows by ``(key, slice)``, one partial aggregation to a
-    summary row per slice, one pass over the summaries of each key.
+    summary row per slice, one pass over the summaries of each key (in two levels
+    where there is no key).
     """
     sums, lasts, before, after = sums or {}, lasts or {}, before or {}, after or {}
     order = F.struct(*[F.col(c) for c in axis.order])
@@ -77,16 +125,9 @@ def running(
     aggs += [F.min_by(e, F.when(e.isNotNull(), order)).alias(f"_a_{n}") for n, e in after.items()]
     summary = rows.groupBy(*axis.part).agg(*aggs)
 
-    over_slices = Window.partitionBy(*axis.key).orderBy(SLICE)
-    earlier = over_slices.rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy(*axis.key).orderBy(F.col(SLICE).desc()).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    carry = summary.select(
-        *axis.part,
-        *[F.sum(f"_s_{n}").over(earlier).alias(f"_s_{n}") for n in sums],
-        *[F.last(f"_b_{n}", ignorenulls=True).over(earlier).alias(f"_b_{n}") for n in back],
-        *[F.last(f"_a_{n}", ignorenulls=True).over(later).alias(f"_a_{n}") for n in after],
+    carry = _carried(summary, list(axis.key), SLICE, list(sums), list(back), list(after))
+    carry = carry.select(
+        *axis.part, *[f"_s_{n}" for n in sums], *[f"_b_{n}" for n in back], *[f"_a_{n}" for n in after]
     )
 
     local = Window.partitionBy(*axis.part).orderBy(*axis.ordered())
