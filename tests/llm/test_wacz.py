@@ -12,6 +12,7 @@ PAGES = [
     (5, "http://a/", "<p>one</p>"), (2, "http://b/", "<p>one</p>"), (7, "http://c/", None), (3, None, ""),
     (9, "http://d/\r\nX: y", "é漢😀" * 1000), (None, "http://e/", "<p>one</p>"), (None, "http://f/", "only here"),
     (11, "http://g/", "again"), (11, "http://g/", "again"), (12, "http://h/", "again"), (-4, "http://i/", "neg"),
+    (0, "http://j/", "neg"), (-1, "http://k/", "neg"), (None, "http://l/", "neg"), (None, "http://l/", "neg"),
 ]
 SCHEMA = "page_id bigint, url string, html string, payload string, _key string, again string, package string"
 

@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,6 +144,11 @@ def shared_folder(rows: DataFrame) -> str:
 MANIFEST = "package string, records bigint, payload_bytes bigint"
 
 
+def _identity(page: str) -> list[Column]:
+    """A page's id for joins that must find null ids, too."""
+    return [F.col(page).isNull().alias("_null"), F.coalesce(page, F.lit(0)).alias("_id")]
+
+
 def write_packages(
     pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
     dedupe: bool = True, package: int = PACKAGE,
@@ -159,9 +164,9 @@ def write_packages(
         # Few pages share a payload with another: only those that revisit are joined.
         again = rows.select("page_id", key.alias("key")).distinct().join(firsts, "key").filter(
             ~F.col("page_id").eqNullSafe(F.col("first"))
-        ).select(F.coalesce("page_id", F.lit(-1)).alias("_id"), F.col("key").alias("_key"), F.col("first"), F.lit(True).alias("again"))
-        rows = rows.withColumn("_key", key).withColumn("_id", F.coalesce("page_id", F.lit(-1)))
-        rows = rows.join(again, ["_id", "_key"], "left").select(
+        ).select(*_identity("page_id"), F.col("key").alias("_key"), "first", F.lit(True).alias("again"))
+        rows = rows.select("*", *_identity("page_id"), key.alias("_key"))
+        rows = rows.join(again, ["_null", "_id", "_key"], "left").select(
             "page_id", "url", "payload", F.coalesce("again", F.lit(False)).alias("again"), "first"
         )
     else:
