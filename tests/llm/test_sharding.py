@@ -51,6 +51,15 @@ def test_sizes_are_near_equal_with_a_hot_text(documents):
     assert len(sizes) == 8 and max(abs(s - target) for s in sizes.values()) <= target / sharding.SPLIT + 20
 
 
+def test_slots_follow_the_ids_within_a_text(documents):
+    rows = [(i, f"text {i % 7}") for i in range(300)]
+    got = sharding.shard_by_bytes(documents(rows), 2, split=1).collect()
+    by_text = {}
+    for r in sorted(got, key=lambda r: (r["shard"], r["slot"])):
+        by_text.setdefault(r["doc_id"] % 7, []).append(r["doc_id"])
+    assert all(ids == sorted(ids) for ids in by_text.values())
+
+
 def test_small_groups_stay_together(documents):
     rows = [(i, f"text {i % 1500}") for i in range(3000)]
     of = {}

@@ -2,8 +2,8 @@
 
 Only DataFrame functions. The texts are read once; what moves is a narrow row per
 document (id, size, checksums). Documents are put in the order of a hash of their
-text, so equal texts stand next to each other, and the order is cut at equal byte
-targets: shard ``s`` of ``k`` takes the rows whose bytes before them fall into
+text and then their id, so equal texts stand next to each other, and the order is cut at
+equal byte targets: shard ``s`` of ``k`` takes the rows whose bytes before them fall into
 ``[s, s + 1) * total / k``.
 
 A group of equal texts goes whole to the shard its first byte falls into, unless
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.ranks import PID, POS, ranged
+from tickloom.operators.ranks import PID, ranged
 from tickloom.session import durable
 
 #: A group of equal texts above 1/256 of a shard is cut by row.
@@ -53,7 +53,7 @@ def shard_by_bytes(
     )
     # Rows of a large group are told apart by `at`, so its bytes spread over many ranges.
     placed = ranged(rows, ["key", "at"])
-    inside = Window.partitionBy(PID).orderBy(POS)
+    inside = Window.partitionBy(PID).orderBy("key", "at", "id")
     upto = inside.rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy(PID).agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
     before = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
@@ -62,12 +62,13 @@ def shard_by_bytes(
         PID, F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_byte0"),
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_row0"),
     )
-    group = Window.partitionBy(PID, "key").orderBy(POS)
+    group = Window.partitionBy(PID, "key").orderBy("at", "id")
     global_rows = (
-        placed.withColumn("_in", F.coalesce(F.sum("size").over(upto), F.lit(0)))
+        placed.withColumn("_place", F.row_number().over(inside))
+        .withColumn("_in", F.coalesce(F.sum("size").over(upto), F.lit(0)))
         .withColumn("_start", F.when(F.col("large"), F.col("_in")).otherwise(F.first("_in").over(group)))
         .join(F.broadcast(offsets), PID)
-        .withColumn("_rank", F.col("_row0") + F.col(POS))
+        .withColumn("_rank", F.col("_row0") + F.col("_place") - 1)
         .withColumn("shard", F.call_function(
             "div", (F.col("_byte0") + F.col("_start")) * F.lit(shards), F.lit(max(total, 1)).cast("bigint"),
         ).cast("int"))
