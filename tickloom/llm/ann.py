@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.llm.common import in_share
 from tickloom.session import durable
 
 #: Rows the centroids are fitted on, rows a list should hold, and most centroids.
@@ -261,8 +262,10 @@ def search(
     clean = clean.filter(F.size("v") == width)
     facts = clean.agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("largest")).first()
     count, largest = facts["n"], facts["largest"] or 1.0
-    # A sample of fixed size: the rows with the least hash of their id.
-    taken = clean.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(SAMPLE).select("v")
+    # A sample of fixed size, chosen by a hash of the id.
+    some = clean.select("v", F.xxhash64("id").alias("h"), "id")
+    some = some.filter(in_share(F.col("h"), min(1.0, 1.2 * SAMPLE / max(count, 1))))
+    taken = some.orderBy("h", "id").limit(SAMPLE).select("v")
     sample = _matrix(taken.toArrow().column("v"), width)
     lists = int(min(CENTROIDS, max(1, count // per_list)))
     points = fit(_lifted(sample, largest), lists) if len(sample) else np.zeros((1, width + 1))

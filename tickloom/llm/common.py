@@ -5,7 +5,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tickloom.session import ship_package
 
@@ -76,3 +77,10 @@ def free_name(docs: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def in_share(hashed: Column, share: float | Column) -> Column:
+    """True for about ``share`` of all hash values: a sample that is small before it moves,
+    however many tasks there are, unlike the first rows of every task."""
+    steps = 1 << 30
+    return F.pmod(hashed, F.lit(steps)) < (F.lit(share) if isinstance(share, float) else share) * steps

@@ -5,8 +5,8 @@ cut into blocks, every block is compressed with every dictionary, and the langua
 the smallest total wins. Blocks are short, so that long texts lean on the dictionaries
 and not on themselves; all blocks of a text are used.
 
-The dictionaries come from a bounded sample: per language the ``SAMPLE`` training
-documents with the least hash of their id, up to ``SNIPPET`` characters of each and
+The dictionaries come from a bounded sample: per language at most ``SAMPLE`` training
+documents chosen by a hash of their id, up to ``SNIPPET`` characters of each and
 ``DICTIONARY`` bytes together. Languages are limited to ``LANGUAGES``; more raise an error.
 
 Defined results: a null text or one without letters is ``und`` with score 0; equal sizes
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import slices, texts_of
+from tickloom.llm.common import in_share, slices, texts_of
 
 SAMPLE, SNIPPET, DICTIONARY, LANGUAGES = 200, 1000, 112 * 1024, 200
 #: Bytes of a block, compression level, and the least margin that is not rejected.
@@ -49,14 +49,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"),
         F.substring(text_col, 1, SNIPPET).alias("text"),
     )
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    if not counts:
+        return {}
+    # about twice SAMPLE rows of each language are left before anything moves
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2.0 * SAMPLE / r["n"]))])
+    few = rows.filter(in_share(F.col("h"), shares[F.col("lang")])).distinct()
     place = Window.partitionBy("lang").orderBy("h", "id", F.xxhash64("text"))
-    # The rank limit is applied before the shuffle: SAMPLE rows of a language and task move.
-    sample = rows.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= SAMPLE)
+    sample = few.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= SAMPLE)
     found: dict[str, list[tuple[int, str]]] = {}
     for row in sample.select("lang", "place", "text").toLocalIterator():
         found.setdefault(row["lang"], []).append((row["place"], row["text"]))
-        if len(found) > LANGUAGES:
-            raise ValueError(f"more than {LANGUAGES} languages")
     out = {}
     for lang, texts in found.items():
         held, parts = 0, []

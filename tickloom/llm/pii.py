@@ -13,7 +13,7 @@ base spans becomes part of a span if its label is nearly certain and skip links
 label lead to a base span. So ``555-7814`` is a phone number in a document that also has
 ``+1 (606) 555-7814``, and nothing is added to documents without personal data.
 
-The weights are fitted by pseudo-likelihood on the tokens of ``SAMPLE`` documents, labelled
+The weights are fitted by pseudo-likelihood on the tokens of at most ``SAMPLE`` texts, labelled
 by the base spans; what decides the base (plus sign, Luhn sum) is no feature.
 
 Defined results: a null or empty text has no spans; texts of any length are searched
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import slices, texts_of
+from tickloom.llm.common import in_share, slices, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("", *KINDS)
@@ -295,10 +295,11 @@ def spans_of(texts: list[str], w: Weights | None) -> list[list[tuple[str, int, i
 
 
 def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Weights | None:
-    """Weights from at most ``sample`` documents with candidate tokens: those with the least
-    hash of their text."""
+    """Weights from at most ``sample`` different texts with candidate tokens, chosen by hash."""
     rows = docs.select(F.col(text_col).alias("text")).filter(F.col("text").rlike("[0-9@]"))
-    taken = rows.orderBy(F.xxhash64("text"), "text").limit(sample).collect()
+    share = min(1.0, 2.0 * sample / max(rows.count(), 1))
+    few = rows.filter(in_share(F.xxhash64("text"), share)).distinct()
+    taken = few.orderBy(F.xxhash64("text"), "text").limit(sample).collect()
     texts = [r["text"] for r in taken]
     return fit(tokens_of(texts, [base_spans(t) for t in texts])) if texts else None
 
