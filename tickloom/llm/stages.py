@@ -6,11 +6,13 @@ repeated id are judged by row.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, decontaminate, pii, quality, simhash
+from tickloom.llm import bpe, decontaminate, neardup, pii, quality, simhash
 from tickloom.llm.common import free_name, prepare, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -29,15 +31,26 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return docs.withColumn(name, _key()).join(rejected, name, "left_anti").drop(name)
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates: that with the least id."""
-    prepare(spark)
+def _one_of_each(docs: DataFrame, representatives: Callable[[DataFrame, Column], DataFrame]) -> DataFrame:
     name = free_name(docs, "_key")
-    kept = simhash.representatives(docs, _key()).withColumnRenamed("key", name)
+    kept = representatives(docs, _key()).withColumnRenamed("key", name)
     # rows repeated whole have one key: one of them stays
     return docs.withColumn(name, _key()).join(kept, name, "left_semi").dropDuplicates([name]).drop(name)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of op6's query: that with the least id."""
+    prepare(spark)
+    return _one_of_each(docs, simhash.representatives)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of texts with a five-word similarity of 0.8 or more:
+    that with the least id."""
+    prepare(spark)
+    return _one_of_each(docs, neardup.representatives)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a benchmark passage."""
     prepare(spark)
