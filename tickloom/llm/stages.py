@@ -65,9 +65,12 @@ def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, lang, source, n_tokens, token_ids``: the ids of the kept documents, packed."""
+    """``doc_id, lang, source, n_tokens, token_ids``: the ids of the kept documents, packed. The
+    ids are decoded again: ``decoded_sha256`` of that text, and ``intact`` if it is the document's."""
     prepare(spark)
     rows = docs.select("doc_id", "text", "lang", "source")
-    return bpe.encode(rows, public_tokenizers.path(TOKENIZER)).select(
-        "doc_id", "lang", "source", "n_tokens", "token_ids"
+    return bpe.encode(rows, public_tokenizers.path(TOKENIZER), decoded="decoded").select(
+        "doc_id", "lang", "source", "n_tokens", "token_ids",
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("intact"),
     )
