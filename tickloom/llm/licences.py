@@ -1,6 +1,8 @@
 """Licence recognition by sentence rules.
 
-Only DataFrame functions. A text is cut into sentences (line ends, or a full stop,
+Only DataFrame functions. Known sentences that are wrapped over several lines, with comment
+marks or without, are first put on one line; a blank line or a sentence's end is never
+crossed. Then a text is cut into sentences (line ends, or a full stop,
 exclamation or question mark before white space), each is normalised to lower-case
 letters and digits, and those in ``SENTENCES`` become identifiers. The sequence of
 a document's identifiers is matched against ``RULES`` in their order: what a rule matches
@@ -13,7 +15,7 @@ than the id and the text are ignored.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Normalised licence sentences and their identifiers.
@@ -57,6 +59,17 @@ RULES = (
 #: Every known sentence has one of these words: other texts need not be cut.
 WORDS = ("licen", "rights", "permission", "software")
 SPLIT = r"[.!?]+[ \t\r\n]+|[\r\n]+"
+#: What may stand between two words of a wrapped sentence: no sentence end, no blank line.
+BETWEEN = r"(?![^a-z0-9]*[.!?][ \t\r\n])(?![^a-z0-9]*\n[^a-z0-9\n]*\n)[^a-z0-9]++"
+#: A sentence stands between line ends, sentence ends or the ends of the text.
+BEFORE, AFTER = r"(?<![^\r\n])([^a-z0-9\r\n]*)|(?<=[.!?][ \t])()", r"(?=[^a-z0-9\r\n]*+(?:[\r\n]|$)|[^a-z0-9\r\n]*[.!?][ \t])"
+
+
+def _unwrapped(text: Column) -> Column:
+    """Every known sentence on one line."""
+    for sentence in SENTENCES:
+        text = F.regexp_replace(text, f"(?:{BEFORE}){BETWEEN.join(sentence.split())}{AFTER}", f"$1{sentence}")
+    return text
 
 
 def _sequence(ids: tuple[str, ...]) -> str:
@@ -73,7 +86,7 @@ def recognise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
     rows = (
         docs.filter(F.greatest(*[F.contains(text, F.lit(w)).cast("int") for w in WORDS]) > 0)
-        .select(F.col(id_col).alias("id"), text.alias("_text"))
+        .select(F.col(id_col).alias("id"), _unwrapped(text).alias("_text"))
         .select("id", F.filter(F.transform(sentences, lambda s: known[s]), lambda i: i.isNotNull()).alias("ids"))
         .filter(F.size("ids") > 0)
     )
