@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm import ann, bpe, decontaminate, langid, licences, pii, quality, sharding, simhash, wacz
+from tickloom.llm import ann, bpe, decontaminate, langid, licences, linktrust, pii, quality, sharding, simhash, wacz
 from tickloom.llm.common import ORACLES, QUERIES, query, table
 from tickloom.llm.stages import TOKENIZER
 
@@ -118,3 +118,9 @@ def op5_wacz(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_licences", licences.check_sql())
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.recognise(table(spark, sf_dir, "documents"))
+
+
+@query("op13_linktrust", linktrust.check_sql())
+def op13_linktrust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = linktrust.filter_urls(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "host", "path", "rule", "verdict")
