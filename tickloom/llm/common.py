@@ -1,6 +1,7 @@
 """Helpers of this subpackage: tables, registry, batches of bounded size."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -8,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.session import ship_package
+from tickloom.session import durable, ship_package
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +48,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(rows: DataFrame, name: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    spark = rows.sparkSession
+    durable(spark.range(1))  # sets the checkpoint folder where it is unset
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of a slice hold about ``limit`` bytes, one row at least.
 

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm import ann, bpe, decontaminate, langid, licences, linktrust, pii, quality, sharding, simhash, wacz
+from tickloom.llm import (
+    ann, bpe, decontaminate, langid, licences, linktrust, pii, prefixtrie, quality, sharding, simhash, wacz, whitening,
+)
 from tickloom.llm.common import ORACLES, QUERIES, query, table
 from tickloom.llm.stages import TOKENIZER
 
@@ -124,3 +126,40 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_linktrust(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = linktrust.filter_urls(table(spark, sf_dir, "pages"))
     return rows.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+# CRC-32 of the decimal id, then every prefix as a list of turns.
+TRIE_SQL = """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS v FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(v ORDER BY i) AS own, xor(list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], [1, 1, 1, 1, 1, 1, 1, 1]::BIGINT[]),
+      lambda s, one: xor(s >> 1, 3988292384 * (s & 1)))), 4294967295) % 6 AS h FROM t GROUP BY conv_id),
+r AS (SELECT c.conv_id, list_concat(coalesce(b.own, [])[1:c.h], c.own[c.h + 1:]) AS seq
+  FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 100),
+m AS (SELECT conv_id, len(seq) AS n, d, seq[1:d] AS node FROM (SELECT *, unnest(range(len(seq) + 1)) AS d FROM r)),
+nodes AS (SELECT d, node, min(conv_id) AS first, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends FROM m GROUP BY d, node),
+kids AS (SELECT p.first, p.d, count(*) AS n FROM nodes k JOIN nodes p ON p.d = k.d - 1 AND p.node = k.node[1:k.d - 1] GROUP BY ALL),
+each AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children,
+    CASE WHEN nodes.d > 0 THEN (n_convs - 1) * length(node[nodes.d].text) ELSE 0 END AS saved
+  FROM nodes LEFT JOIN kids USING (first, d)),
+-- a node's subtree: the nodes of its members at its depth and below, each once
+below AS (SELECT DISTINCT a.first, a.d, e.first AS f, e.d AS fd, e.n_children = 0 AS leaf, e.saved
+  FROM each a JOIN m x ON x.d = a.d AND x.node = a.node JOIN m y ON y.conv_id = x.conv_id AND y.d >= a.d
+  JOIN each e ON e.d = y.d AND e.node = y.node),
+sums AS (SELECT first, d, count(*) FILTER (leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM below GROUP BY ALL)
+SELECT e.first AS conv_id, e.d AS depth, p.first AS parent_conv_id, e.n_convs, e.n_children, n_leaves, saved_tokens, e.ends AS ends_sha256
+FROM each e JOIN sums USING (first, d) LEFT JOIN nodes p ON p.d = e.d - 1 AND p.node = e.node[1:e.d - 1]
+"""
+
+
+@query("op12_prefixtrie", TRIE_SQL)
+def op12_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(table(spark, sf_dir, "conversations"))
