@@ -120,11 +120,13 @@ def count_below(diagonal: np.ndarray, off: np.ndarray, at: float) -> int:
     """Eigenvalues of the tridiagonal matrix below ``at`` (Sturm count)."""
     tiny = np.finfo(np.float64).tiny
     count, pivot = 0, 1.0
-    for i, a in enumerate(diagonal.tolist()):
-        pivot = a - at - (off[i - 1] ** 2 / pivot if i else 0.0)
-        if pivot == 0:
-            pivot = -tiny
-        count += pivot < 0
+    with np.errstate(over="ignore"):  # a tiny pivot makes the next one infinite, as it should
+        squares = [0.0, *(off ** 2)]
+        for a, square in zip(diagonal, squares):
+            pivot = a - at - square / pivot
+            if pivot == 0:
+                pivot = -tiny
+            count += bool(pivot < 0)
     return count
 
 
