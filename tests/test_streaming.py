@@ -47,7 +47,7 @@ def test_latest_table_over_batches(spark, tmp_path):
     _, rows = CASES["dense"]
     stream = stream_of(spark, rows, str(tmp_path / "in"), 3).select("asset_id", "recv_ts", "ord")
     jobs.latest_table(stream, str(tmp_path / "t"), str(tmp_path / "cp"), ("asset_id",), ("recv_ts", "ord"), once=True).awaitTermination()
-    got = {r.asset_id: (r.recv_ts, r.ord) for r in jobs.read_latest(spark, str(tmp_path / "t")).collect()}
+    got = {r.asset_id: (r.recv_ts, r.ord) for r in jobs.read_latest(spark, str(tmp_path / "t"), ("asset_id",), ("recv_ts", "ord")).collect()}
     want = {}
     for r in rows:
         want[r[0]] = max(want.get(r[0], (0, 0)), (r[5], r[6]))

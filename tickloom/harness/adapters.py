@@ -18,7 +18,8 @@ from tickloom.params import Params
 HOUR = 3_600_000
 DAY = 24 * HOUR
 P = Params(
-    gap_ms=HOUR, ring=26, short_ms=6 * HOUR, long_ms=30 * HOUR, hour_ms=48 * HOUR,
+    gap_ms=HOUR, ring=50,  # 48 hours and more
+    short_ms=6 * HOUR, long_ms=30 * HOUR, hour_ms=48 * HOUR,
     vol_ms=24 * HOUR, threshold=5_000.0, surge_ms=6 * HOUR, cooldown_ms=12 * HOUR,
     snapshot_ms=2 * HOUR, top=3, slice_ms=3 * DAY,
 )

@@ -36,9 +36,8 @@ def finished(spark, stream, name):
 
 def upserted(spark, stream, name, key, order):
     path = scratch(spark, name)
-    jobs.latest_table(stream, path + "/table", path + "/checkpoint", key, order, once=True, mode="update",
-                      buckets=4).awaitTermination()
-    return jobs.read_latest(spark, path + "/table")
+    jobs.latest_table(stream, path + "/table", path + "/checkpoint", key, order, once=True, mode="update").awaitTermination()
+    return jobs.read_latest(spark, path + "/table", key, order)
 
 
 def derived(spark, sf_dir):
@@ -71,9 +70,8 @@ def stream_top(spark, sf_dir):
     """The top list at every sixth hour the stream has passed, from event-time timers."""
     path = scratch(spark, "top")
     rows = processor.derive_stream(raw_events(Streaming(spark), sf_dir), P, every=6 * HOUR)
-    jobs.top_table(processor.movers_of(rows), path + "/table", path + "/checkpoint", P.top, once=True,
-                   buckets=4).awaitTermination()
-    ranked = series.rank_movers(jobs.read_latest(spark, path + "/table"), P.top, by=("ts",))
+    jobs.top_table(processor.movers_of(rows), path + "/table", path + "/checkpoint", P.top, once=True).awaitTermination()
+    ranked = jobs.read_top(spark, path + "/table", P.top)
     return ranked.select("ts", "a", r6("c5m"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -82,9 +80,8 @@ qualify row_number() over (partition by a order by pts desc, seq desc) = 1""")
 def stream_latest_per_key(spark, sf_dir):
     path = scratch(spark, "latest")
     stream = adapters.user_ticks(Streaming(spark), sf_dir).select("a", "seq", "pts")
-    jobs.latest_table(stream, path + "/table", path + "/checkpoint", ("a",), ("pts", "seq"), once=True,
-                      buckets=4).awaitTermination()
-    return jobs.read_latest(spark, path + "/table")
+    jobs.latest_table(stream, path + "/table", path + "/checkpoint", ("a",), ("pts", "seq"), once=True).awaitTermination()
+    return jobs.read_latest(spark, path + "/table", ("a",), ("pts", "seq"))
 
 
 @query("stream_frames", mixed_sql("", "p in ('1', '2', '3')"))

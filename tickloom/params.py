@@ -31,6 +31,11 @@ class Params:
         if self.vol_ms > (self.ring - 1) * self.gap_ms:
             raise ValueError("vol_ms must fit into ring * gap_ms")
 
+    def reaches(self, back_ms: int) -> bool:
+        """Whether the ring keeps samples ``back_ms`` old however dense the feed is. Beyond
+        that a change is 0 with its flag off."""
+        return back_ms <= (self.ring - 1) * self.gap_ms
+
     @property
     def surge_window_s(self) -> int:
         return self.surge_ms // 1_000

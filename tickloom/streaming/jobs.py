@@ -18,10 +18,12 @@ from tickloom.operators.keyed import latest_per_key
 from tickloom.operators.series import rank_movers
 from tickloom.params import Params
 from tickloom.schemas import ALERT, TICK
-from tickloom.sources.folders import delete, names
 from tickloom.sources.topics import to_records, write_topic
 from tickloom.streaming.processor import derive_stream, surges_of, ticks_of
 
+#: Name of the folders of micro-batches.
+BATCH = "batch_id"
+
 
 def stamped(df: DataFrame, ts: str, delay: str) -> DataFrame:
     return df.withColumn("event_time", F.timestamp_millis(ts)).withWatermark("event_time", delay)
@@ -73,35 +75,22 @@ def derived_sinks(
     return writer.foreachBatch(write).start()
 
 
-def merged_table(
-    stream: DataFrame, path: str, checkpoint: str, key: tuple[str, ...],
-    merge: Callable[[DataFrame], DataFrame], *, once: bool = False, mode: str = "append", buckets: int = 64,
-    keep: int = 2,
+def appended(
+    stream: DataFrame, path: str, checkpoint: str, keep: Callable[[DataFrame], DataFrame] | None = None, *,
+    once: bool = False, mode: str = "append",
 ) -> StreamingQuery:
-    """Keep what ``merge`` makes of a stream's rows as a table.
-
-    ``merge`` takes rows of the stream's columns, any number for each ``key``, and leaves
-    those that stay. Keys are dealt to ``buckets``; a micro-batch rewrites only those it
-    touches, as version ``v=<batch>`` from the newest earlier version of each. Running it
-    again gives the same version. Of every bucket the ``keep`` newest versions stay, so a
-    reader that has begun is not cut off. ``mode="update"`` takes an aggregate's changed
-    rows. Read with :func:`read_latest`.
+    """Append what ``keep`` leaves of each micro-batch, below the micro-batch's number.
+
+    A micro-batch that is run again after a failure replaces what it wrote before. The folder
+    holds the stream's schema from the start, so a stream without rows is an empty table.
+    ``mode="update"`` takes an aggregate's changed rows.
     """
-    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int").alias("_bucket")
+    empty = stream.sparkSession.createDataFrame([], stream.schema)
+    empty.write.mode("overwrite").parquet(f"{path}/{BATCH}=-1")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select(*stream.columns).persist()
-        touched = {r[0] for r in rows.select(bucket).distinct().collect()}
-        before = _versions(spark, path, below=batch_id)
-        old = [f"{path}/v={before[b][-1]}/_bucket={b}" for b in sorted(touched & set(before))]
-        whole = rows.unionByName(spark.read.schema(stream.schema).parquet(*old)) if old else rows
-        newest = merge(whole).select(*stream.columns, bucket)
-        newest.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/v={batch_id}")
-        rows.unpersist()
-        for b in touched & set(before):
-            for version in before[b][:-(keep - 1) or None]:
-                delete(spark, f"{path}/v={version}/_bucket={b}")
+        rows = batch.select(*stream.columns)
+        (keep(rows) if keep else rows).write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
 
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
     if once:
@@ -112,43 +101,28 @@ def merged_table(
 def latest_table(
     stream: DataFrame, path: str, checkpoint: str, key: tuple[str, ...], order: tuple[str, ...], **options: Any,
 ) -> StreamingQuery:
-    """Keep the newest row per key as a table (:func:`merged_table`)."""
-    return merged_table(stream, path, checkpoint, key, lambda rows: latest_per_key(rows, key, order), **options)
+    """Append the newest row per key of each micro-batch; :func:`read_latest` merges them."""
+    return appended(stream, path, checkpoint, lambda rows: latest_per_key(rows, key, order), **options)
 
 
-def top_table(movers: DataFrame, path: str, checkpoint: str, n: int, **options: Any) -> StreamingQuery:
-    """Keep the ``n`` largest changes of every instant as a table: ``ts, a, c5m``.
+def read_latest(spark: SparkSession, path: str, key: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """Newest row per key of a table kept by :func:`latest_table`; of equals the last written."""
+    return latest_per_key(spark.read.parquet(path), key, (*order, BATCH)).drop(BATCH)
 
-    A list grows while changes of its instant come in; it is complete when the watermark
-    has passed the instant.
-    """
-    return merged_table(
-        movers, path, checkpoint, ("ts",), lambda rows: rank_movers(rows.distinct(), n, by=("ts",)), **options
-    )
 
+def top_table(movers: DataFrame, path: str, checkpoint: str, n: int, **options: Any) -> StreamingQuery:
+    """Append the ``n`` largest changes of every instant (``ts, a, c5m``) in each micro-batch.
 
-def _versions(spark: SparkSession, path: str, below: int | None = None) -> dict[int, list[int]]:
-    """Complete versions of each bucket, oldest first."""
-    out: dict[int, list[int]] = {}
-    numbers = sorted(int(n[2:]) for n in names(spark, path) if n.startswith("v="))
-    for version in numbers:
-        inside = names(spark, f"{path}/v={version}") if below is None or version < below else []
-        if "_SUCCESS" in inside:
-            for name in inside:
-                if name.startswith("_bucket="):
-                    out.setdefault(int(name.partition("=")[2]), []).append(version)
-    return out
-
+    The list of an instant grows while changes of it come in; it is complete when the
+    watermark has passed the instant. Read with :func:`read_top`.
+    """
+    best = lambda rows: rank_movers(rows.distinct(), n, by=("ts",)).drop("rank")
+    return appended(movers, path, checkpoint, best, **options)
 
-def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """Newest complete version of a table kept by :func:`latest_table`.
 
-    Only folders are listed; a version without its success marker does not count.
-    """
-    found = [f"{path}/v={versions[-1]}/_bucket={b}" for b, versions in sorted(_versions(spark, path).items())]
-    if not found:
-        raise FileNotFoundError(f"no complete version in {path}")
-    return spark.read.parquet(*found)
+def read_top(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """``ts, a, c5m, rank``: the lists of :func:`top_table`; no rows while there are no movers."""
+    return rank_movers(spark.read.parquet(path).drop(BATCH).distinct(), n, by=("ts",))
 
 
 def rates(stream: DataFrame, ts: str, window: str, delay: str, by: tuple[str, ...] = ()) -> DataFrame:
