@@ -157,3 +157,39 @@ def test_asof_join_ties_and_keys(spark):
     right = spark.createDataFrame([("a", 5, "x"), ("a", 1, "y")], "k string, u bigint, v string")
     rows = joins.asof_join(left, right, ("k",), "t", "u", width=2).orderBy("n").collect()
     assert [r.hit.v if r.hit else None for r in rows] == ["x", "y", None]
+
+
+def intervals_of(spark, rows):
+    return spark.createDataFrame(rows, "client_id long, ch string, id string, start long, start_ord long, end long, end_ord long")
+
+
+def feed_of(spark, times):
+    return spark.createDataFrame([("asset", "a", t, i, f"v{i}") for i, t in enumerate(times)],
+                                 "ch string, id string, ts long, ord long, value string")
+
+
+def test_fanout_by_buckets_equals_fanout_by_key(spark):
+    rng = random.Random(9)
+    rows, times = [], [rng.randrange(-50_000, 10**9) for _ in range(400)]
+    for c in range(400):
+        start = rng.choice([rng.randrange(-50_000, 10**9), rng.choice(times)])
+        length = rng.choice([0, 1, 999, 1000, 1001, 15_999, 16_000, 16_001, 10**6, 10**8])
+        end = serving.FAR if c % 4 == 0 else start + length
+        rows.append((c, "asset", "a", start, rng.randrange(400), end, serving.FAR if end == serving.FAR else rng.randrange(400)))
+    feed, subs = feed_of(spark, times), intervals_of(spark, rows)
+    shown = lambda df: sorted(map(tuple, df.collect()))
+    want = shown(serving.fanout_join(feed, subs, bucket_ms=None))
+    assert want and shown(serving.fanout_join(feed, subs, bucket_ms=1000)) == want
+    hot = spark.createDataFrame([("asset", "a", 3)], "ch string, id string, parts int")
+    assert shown(serving.fanout_join(feed, subs, bucket_ms=1000, hot=hot)) == want
+    assert serving.fanout_join(feed, intervals_of(spark, [])).count() == 0
+
+
+def test_fanout_does_not_meet_a_keys_past(spark):
+    """Thousands of closed intervals: what is compared grows with the deliveries."""
+    rows = [(c, "asset", "a", c * 1000, 0, c * 1000 + 1500, 0) for c in range(5000)]
+    feed, subs = feed_of(spark, range(0, 5_000_000, 2500)), intervals_of(spark, rows)
+    delivered = serving.fanout_join(feed, subs, bucket_ms=1000).count()
+    compared = serving.fanout_pairs(feed, subs, bucket_ms=1000).count()
+    assert delivered >= 2500 and compared < 30 * delivered
+    assert serving.fanout_pairs(feed, subs, bucket_ms=None).count() == 5000 * 2000

@@ -169,6 +169,25 @@ def order_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def user_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subscription operations of :func:`order_ops` for users' ticks, dealt over January."""
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("client_id"), (F.lit(1_704_067_200_000) + key * 104_729 % (30 * DAY)).alias("ts"),
+        key.alias("ord"),
+        F.when(F.col("o_orderstatus") == "O", "sub").when(F.col("o_orderstatus") == "F", "unsub").otherwise("close").alias("op"),
+        F.lit("asset").alias("ch"),
+        F.array(
+            F.concat(F.lit("u"), F.call_function("div", F.col("o_custkey"), F.lit(10)).cast("string")),
+            F.concat(F.lit("u"), (key % 1000).cast("string"))).alias("ids"),
+    )
+
+
+def clock(spark: SparkSession, sf_dir: str, ts: int) -> DataFrame:
+    """Rows that only say that it is ``ts``."""
+    return table(spark, sf_dir, "region").select(F.lit(ts).cast("bigint").alias("ts"))
+
+
 def recording(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recording rows ``t, d``: errors are alerts, the rest ticks."""
     stamp = ms("ts").cast("string")

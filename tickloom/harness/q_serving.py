@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tickloom.harness.adapters import (
     DAY, HOUR, customer_markets, customer_subs, line_ticks, messages, ms, order_markets, order_ops, recording,
-    table, user_ticks,
+    table, user_ops, user_ticks,
 )
 from tickloom.harness.q_frames import LINES
 from tickloom.harness.q_series import MARKETS, USER_TICKS
@@ -231,6 +231,12 @@ intervals as (
   select client_id, ch, id, start, start_ord, coalesce(e, 4611686018427387904) as "end",
     coalesce(eo, 4611686018427387904) as end_ord from iv where step = 1)"""
 YEAR = 365 * DAY
+# The same for users' ticks, dealt over January.
+USER_INTERVALS = f"""ops as (
+  select o_custkey as client_id, 1704067200000 + o_orderkey * 104729 % {30 * DAY} as ts, o_orderkey as ord,
+    case o_orderstatus when 'O' then 'sub' when 'F' then 'unsub' else 'close' end as op, 'asset' as ch,
+    ['u' || (o_custkey // 10), 'u' || (o_orderkey % 1000)] as ids from orders),
+req as ({INTERVALS.partition("req as (")[2]}"""
 
 
 @query("subscription_intervals", f"with {INTERVALS} select * from intervals")
@@ -330,6 +336,21 @@ def fanout_join(spark, sf_dir):
     return serving.fanout_join(messages(spark, sf_dir), customer_subs(spark, sf_dir)).select("client_id", "ord", "ts", "value")
 
 
+USER_FANOUT = f"""with {USER_INTERVALS},
+ms as (select 'u' || user_id as id, {MS} as ts, event_id as ord,
+    '{{"a":"u' || user_id || '","seq":' || event_id || '}}' as value from events)
+select client_id, ms.id, ms.ts, ms.ord, value from ms join intervals i on ms.id = i.id
+  and (start < ms.ts or (start = ms.ts and start_ord <= ms.ord)) and ("end" > ms.ts or ("end" = ms.ts and end_ord > ms.ord))"""
+
+
+@query("fanout_join_changing", USER_FANOUT)
+def fanout_join_changing(spark, sf_dir):
+    """Clients that subscribe and leave again; intervals and messages meet in time buckets."""
+    intervals = serving.subscription_intervals(user_ops(spark, sf_dir), 7 * DAY)
+    rows = serving.fanout_join(messages(spark, sf_dir), intervals, bucket_ms=HOUR)
+    return rows.select("client_id", "id", "ts", "ord", "value")
+
+
 @query("fanout_join_hot", f"with {SUBS} select client_id, ord, ts, value from dl")
 def fanout_join_hot(spark, sf_dir):
     """The same deliveries with every busy user spread over several tasks."""

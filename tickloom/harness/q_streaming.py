@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 from tickloom.harness.adapters import HOUR, P, customer_markets, customer_subs, messages, ms, raw_events, scratch
 from tickloom.harness.q_frames import event_output, mixed_sql
 from tickloom.harness.q_series import EV, GRID_SQL, MARKETS, PRICED, SNAP_SQL, SURGES, TICK_COLUMNS, USER_TICKS, stats, tick_output
-from tickloom.harness.q_serving import ALERTS, SUBS
-from tickloom.harness.registry import query, r6
+from tickloom.harness.q_serving import ALERTS, CAPPED, CONFLATED, SUBS, USER_FANOUT
+from tickloom.harness.registry import ORACLES, query, r6
 from tickloom.operators import joins, keyed, series, serving
 from tickloom import schemas
 from tickloom.sources import frames, recording as rec, topics
 from tickloom.streaming import jobs, processor
-from tickloom.harness import adapters
+from tickloom.streaming import serving as live
+from tickloom.streaming import telemetry as stats_stream
+from tickloom.harness import adapters, q_telemetry  # noqa: F401  (its check SQL is used here)
 
 
 class Streaming:
@@ -182,3 +184,51 @@ def stream_pipeline_ticks(spark, sf_dir):
     rows = spark.read.parquet(path + "/out/ticks").join(
         sent.select("a", "seq", F.col("p").alias("_p")), ["a", "seq"]).filter(F.col("p") == F.col("_p"))
     return tick_output(rows.withColumn("ord", F.shiftright("ord", frames.INSIDE_BITS)))
+
+
+# --- stateful serving ------------------------------------------------------
+@query("stream_fanout_changing", USER_FANOUT)
+def stream_fanout_changing(spark, sf_dir):
+    """Messages and subscription requests as two streams."""
+    source = Streaming(spark)
+    rows = live.stream_fanout(messages(source, sf_dir), adapters.user_ops(source, sf_dir))
+    return finished(spark, rows, "changing").select("client_id", "id", "ts", "ord", "value")
+
+
+@query("stream_subscription_steps", f"with recursive {CAPPED} select * from capped")
+def stream_subscription_steps(spark, sf_dir):
+    rows = live.stream_steps(adapters.order_ops(Streaming(spark), sf_dir), cap=2)
+    return finished(spark, rows, "steps").select("client_id", "ch", "id", "ts", "ord", "step", "error")
+
+
+@query("stream_subscription_counts", ORACLES["subscription_counts"])
+def stream_subscription_counts(spark, sf_dir):
+    return finished(spark, live.stream_subscription_counts(adapters.order_ops(Streaming(spark), sf_dir)), "counts")
+
+
+@query("stream_conflate_frames", CONFLATED)
+def stream_conflate_frames(spark, sf_dir):
+    """Every window is sent by its timer; a clock a year ahead closes the last ones."""
+    source = Streaming(spark)
+    rows = serving.fanout_join(messages(source, sf_dir), customer_subs(spark, sf_dir))
+    ticking = adapters.clock(source, sf_dir, 1_735_689_600_000).select(
+        F.lit(0).cast("bigint").alias("client_id"), F.lit(None).cast("string").alias("ch"), F.lit(None).cast("string").alias("id"),
+        "ts", F.lit(0).cast("bigint").alias("ord"), F.lit(None).cast("string").alias("value"))
+    sent = live.stream_conflate(rows.unionByName(ticking), 6 * HOUR)
+    return finished(spark, sent, "frames").withColumn("n", F.col("n").cast("bigint"))
+
+
+@query("stream_sys_stats", ORACLES["sys_stats"])
+def stream_sys_stats(spark, sf_dir):
+    source = Streaming(spark)
+    events = adapters.table(source, sf_dir, "events").select(
+        ms("ts").alias("ts"), F.col("event_id").alias("ord"), F.col("value").alias("latency_ms"), "event_type")
+    opened = F.lit(1_704_067_200_000) + F.call_function("div", F.col("c_custkey") * HOUR, F.lit(10))
+    closed = opened + F.col("c_nationkey").cast("bigint") * adapters.DAY
+    steps = adapters.table(source, sf_dir, "customer").select(F.explode(F.array(
+        F.struct(opened.alias("ts"), F.lit(1).alias("step")), F.struct(closed.alias("ts"), F.lit(-1).alias("step")))).alias("s"))
+    rows = stats_stream.stream_sys_stats(
+        events, events.filter("event_type = 'view'"), steps.select("s.*"), window_ms=adapters.DAY, last=700, parts=8,
+        clock=adapters.clock(source, sf_dir, 1_767_225_600_000))
+    out = finished(spark, rows, "sys")
+    return out.select("start", "clients", r6("in_eps"), r6("out_mps"), r6("p99_ms"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.wire import envelope, envelope_one
@@ -183,23 +183,85 @@ def subscribed_only(
     return counted.filter((F.col("_side") == 1) & (F.col("_live") > 0)).select("_row.*")
 
 
+#: Each level of time buckets is so many times wider than the one below; 2 ** 43 ms are 278 years.
+FACTOR, HORIZON = 16, 1 << 43
+
+
+def _widths(bucket_ms: int) -> list[int]:
+    widths = [bucket_ms]
+    while widths[-1] < HORIZON:
+        widths.append(widths[-1] * FACTOR)
+    return widths
+
+
+def _covered(start: Column, end: Column, widths: list[int]) -> Column:
+    """Buckets ``(level, bucket)`` whose times hold the interval.
+
+    A closed interval goes to the level whose buckets are just as wide as it is long, where
+    it touches two at most. An open one is covered from its start on: at each level by the
+    buckets that are left of the wider one around the start.
+    """
+    def at(n: int, buckets: Column) -> Column:
+        return F.transform(buckets, lambda b: F.struct(F.lit(n).alias("level"), b.alias("bucket")))
+
+    def span(low: Column, high: Column) -> Column:
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+
+    closed = at(len(widths) - 1, span(slice_expr(start, widths[-1]), slice_expr(end, widths[-1])))
+    for n in range(len(widths) - 2, -1, -1):
+        here = at(n, span(slice_expr(start, widths[n]), slice_expr(end, widths[n])))
+        closed = F.when(end - start <= widths[n], here).otherwise(closed)
+    parts = [at(0, F.array(slice_expr(start, widths[0])))]
+    for n, width in enumerate(widths):
+        first = slice_expr(start, width) + 1
+        last = (slice_expr(start, widths[n + 1]) + 1) * FACTOR - 1 if n + 1 < len(widths) else first
+        parts.append(at(n, span(first, last)))
+    return F.when(end < FAR, closed).otherwise(F.concat(*parts))
+
+
+def fanout_pairs(
+    messages: DataFrame, intervals: DataFrame, *, hot: DataFrame | None = None, bucket_ms: int | None = 60_000
+) -> DataFrame:
+    """Messages beside the intervals they are compared with: those of their key whose time
+    buckets they fall into (all of their key without ``bucket_ms``)."""
+    if bucket_ms is None:
+        return skew_join(messages, intervals, ("ch", "id"), spread=("ts", "ord"), hot=hot)
+    widths = _widths(bucket_ms)
+    placed = intervals.withColumn("_at", F.explode(_covered(F.col("start"), F.col("end"), widths)))
+    placed = placed.select("*", "_at.level", "_at.bucket").drop("_at")
+    # a handful of numbers: a message is copied only to the levels that hold an interval
+    used = sorted(r[0] for r in placed.select("level").distinct().collect()) or [0]
+    probes = F.array(*[
+        F.struct(F.lit(n).alias("level"), slice_expr("ts", widths[n]).alias("bucket")) for n in used
+    ])
+    probing = messages.withColumn("_at", F.explode(probes)).select(*messages.columns, "_at.level", "_at.bucket")
+    if hot is None:
+        return skew_join(probing, placed, ("ch", "id", "level", "bucket"), spread=("ts", "ord")).drop("level", "bucket")
+    spread = F.explode(F.array([F.struct(F.lit(n).alias("level")) for n in used]))
+    levels = hot.withColumn("_l", spread).select(*hot.columns, "_l.level")
+    buckets = placed.select("ch", "id", "level", "bucket").distinct().join(levels, ["ch", "id", "level"])
+    return skew_join(
+        probing, placed, ("ch", "id", "level", "bucket"), spread=("ts", "ord"), hot=buckets
+    ).drop("level", "bucket")
+
+
 def fanout_join(
-    messages: DataFrame, intervals: DataFrame, *, hot: DataFrame | None = None
+    messages: DataFrame, intervals: DataFrame, *, hot: DataFrame | None = None, bucket_ms: int | None = 60_000
 ) -> DataFrame:
     """Each message to every client subscribed to its key at its time.
 
-    ``messages``: ``ch, id, ts, ord, ...``. ``hot`` (``ch, id, parts``) spreads the
-    messages of busy keys, see :func:`tickloom.operators.joins.hot_keys`. One row
-    per delivery is what is asked for, so the output is as large as the traffic.
+    ``messages``: ``ch, id, ts, ord, ...``. Intervals are entered in time buckets, long ones in
+    wider buckets (``bucket_ms`` is the finest), so a message meets the subscriptions around
+    its time and not a key's whole past. ``bucket_ms=None`` pairs by key alone, for keys with few
+    intervals. ``hot`` (``ch, id, parts``) spreads the messages of busy keys further, see
+    :func:`tickloom.operators.joins.hot_keys`. One row per delivery is what is asked for, so the
+    output is as large as the traffic.
     """
     at = F.struct(F.col("ts").alias("t"), F.col("ord").alias("o"))
     start = F.struct(F.col("start").alias("t"), F.col("start_ord").alias("o"))
     end = F.struct(F.col("end").alias("t"), F.col("end_ord").alias("o"))
-    joined = skew_join(
-        messages, intervals, ("ch", "id"), spread=("ts", "ord"), hot=hot,
-        condition=(start <= at) & (at < end),
-    )
-    return joined.select("client_id", *messages.columns)
+    met = fanout_pairs(messages, intervals, hot=hot, bucket_ms=bucket_ms)
+    return met.filter((start <= at) & (at < end)).select("client_id", *messages.columns)
 
 
 def _window(ts: str, flush_ms: int):
@@ -260,7 +322,7 @@ def conflate_before_fanout(
     whole = intervals.withColumns({
         "start": inner_start, "start_ord": F.lit(-FAR), "end": inner_end, "end_ord": F.lit(-FAR),
     }).filter(F.col("start") < F.col("end"))
-    full = fanout_join(reduced, whole, hot=hot)
+    full = fanout_join(reduced, whole, hot=hot, bucket_ms=None)
     # the partial windows at either end of each interval
     first_end = F.least("end", inner_start)
     head = intervals.select(
@@ -273,7 +335,7 @@ def conflate_before_fanout(
     partial = head.unionByName(tail)
     edges = partial.select("ch", "id", _window("start", flush_ms).alias("flush")).distinct()
     single = messages.withColumn("flush", window).join(edges, ["ch", "id", "flush"], "left_semi").drop("flush")
-    return full.unionByName(fanout_join(single, partial, hot=hot))
+    return full.unionByName(fanout_join(single, partial, hot=hot, bucket_ms=None))
 
 
 def flash_keys(ticks: DataFrame, batch_ms: int) -> DataFrame:
