@@ -1,3 +1,5 @@
+import time
+
 from tests.conftest import EVENT
 from tests.fold import fold
 from tests.test_series import CASES, rounded
@@ -52,3 +54,27 @@ def test_latest_table_over_batches(spark, tmp_path):
     for r in rows:
         want[r[0]] = max(want.get(r[0], (0, 0)), (r[5], r[6]))
     assert got == want
+
+
+def test_late_events_are_an_output(spark, tmp_path):
+    """Applied and late events together are the input; late ones change nothing."""
+    p, rows = CASES["small ring"]
+    rows = sorted(rows, key=lambda r: (r[5], r[6]))
+    half = len(rows) // 2
+    newest = max(r[5] for r in rows[:half])
+    late = [(a, "late", 9.0, 1.0, 1.0, t, 10_000 + i) for i, (a, t) in enumerate(
+        [("a", newest - 90_000), ("b", newest - 80_000), ("a", newest - 70_000), ("zz", newest - 90_000)])]
+    folder = str(tmp_path / "in")
+    for part in (rows[:half], late, rows[half:]):
+        spark.createDataFrame(part, EVENT).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.05)
+    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(folder)
+    derived = processor.derive_stream(stream, p, late_ms=30_000)
+    jobs.run_to_end(derived, str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = spark.read.schema(derived.schema).parquet(str(tmp_path / "out"))
+    found = sorted((r.asset_id, r.n, r.ord, r.price, r.market_id) for r in processor.late_of(got).collect())
+    # an asset without earlier events has nothing to be late against
+    assert found == [("a", 1, 10_000, 9.0, "late"), ("a", 2, 10_002, 9.0, "late"), ("b", 1, 10_001, 9.0, "late")]
+    ticks, snaps, _ = fold([*rows, late[3]], p)
+    assert rounded(processor.ticks_of(got)) == ticks
+    assert rounded(processor.ticks_of(got, "snapshot")) == snaps

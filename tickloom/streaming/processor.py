@@ -1,19 +1,18 @@
 """The per-asset state machine as a Structured Streaming operator.
 
-Same semantics as :func:`tickloom.operators.series.state_rows`, row by row over
-the events of one asset in a micro-batch. State lives in the state store (one
+Same semantics as :func:`tickloom.operators.series.state_rows`, over the events of one asset in a
+micro-batch at once: values are carried, looked up and summed in whole columns, and only the rows
+that a minimum distance selects are visited one by one. State lives in the state store (one
 value per asset, at most ``ring`` samples), survives restarts through the
 checkpoint, and can start from snapshot rows. How much one asset can bring into a
 micro-batch is limited by the source's per-trigger limit.
 """
 from __future__ import annotations
 
-import math
 import sys
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from operator import mul
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -25,139 +24,212 @@ from tickloom.schemas import RECORD_VERSION
 
 STATE = (
     "last double, bid double, ask double, market string, seq bigint, snapped bigint, fired bigint, "
-    "ring_ts array<bigint>, ring_price array<double>, grid bigint"
+    "ring_ts array<bigint>, ring_price array<double>, grid bigint, newest bigint, late bigint"
 )
 OUTPUT = (
     "kind string, a string, m string, p double, b double, k double, c1m double, c5m double, vol double, "
     "seq bigint, rts bigint, ord bigint, ok_1m boolean, ok_5m boolean, ok_vol boolean, surge_from double"
 )
 _NAMES = [part.split()[0] for part in OUTPUT.split(", ")]
-_FEED = ["recv_ts", "ord", "price", "best_bid", "best_ask", "market_id"]
+_STATE_NAMES = [part.split()[0] for part in STATE.split(", ")]
+
+
+def kept_apart(ts: np.ndarray, last: int | None, gap: int) -> np.ndarray:
+    """Places in ascending ``ts`` taken greedily, at least ``gap`` after the one before (``last`` at
+    first). Only the places taken are visited: where each leads to is looked up for all at once."""
+    after = np.maximum(np.searchsorted(ts, ts + gap), np.arange(1, len(ts) + 1)).tolist()
+    at = 0 if last is None else int(np.searchsorted(ts, last + gap))
+    taken = []
+    while at < len(ts):
+        taken.append(at)
+        at = after[at]
+    return np.array(taken, np.int64)
+
+
+def carried(values: np.ndarray, given: np.ndarray, before) -> np.ndarray:
+    """Newest value that is ``given``, up to and including each row; ``before`` if there is none."""
+    at = np.maximum.accumulate(np.where(given, np.arange(len(values)), -1))
+    return np.where(at >= 0, values[at], before)
+
+
+class Samples:
+    """Retained samples of an asset, those of earlier micro-batches first, and look-backs of many
+    rows at once. ``count`` is how many samples a row has behind it."""
+
+    def __init__(self, times: np.ndarray, prices: np.ndarray, ring: int) -> None:
+        self.times, self.prices, self.ring = times, prices, ring
+        with np.errstate(all="ignore"):
+            ratio = prices[1:] / prices[:-1]
+            good = (prices[1:] > 0) & (prices[:-1] > 0)
+            returns = np.where(good, np.log(np.where(good, ratio, 1.0)), 0.0).astype(np.longdouble)
+        zero = np.zeros(2, np.longdouble)[:min(len(times), 1) + 1]
+        # sums up to and including each sample, with nothing before the first
+        self.number = np.concatenate([zero, np.cumsum(good)]).astype(np.int64)
+        self.total = np.concatenate([zero, np.cumsum(returns)])
+        self.squares = np.concatenate([zero, np.cumsum(returns * returns)])
+
+    def asof(self, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Price of the newest sample not after ``at``, and whether the ring still holds it."""
+        place = np.searchsorted(self.times, at, side="right") - 1
+        held = (place >= 0) & (place >= count - self.ring)
+        price = self.prices[np.maximum(place, 0)] if len(self.prices) else np.zeros(len(at))
+        return np.where(held, price, np.nan), held
+
+    def volatility(self, since: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Deviation of the returns between the samples from ``since`` on, and whether there are
+        three samples and two returns."""
+        first = np.maximum(np.searchsorted(self.times, since), count - self.ring)
+        first = np.minimum(first, count)
+        # the return into the first sample starts before the window
+        low = np.minimum(first + 1, count)
+        n = self.number[count] - self.number[low]
+        total, squares = self.total[count] - self.total[low], self.squares[count] - self.squares[low]
+        good = (count - first >= 3) & (n >= 2)
+        n = np.maximum(n, 2)
+        value = np.sqrt(np.maximum(squares - total * total / n, 0) / (n - 1)).astype(np.float64)
+        return np.where(good, value, 0.0), good
 
 
 class AssetProcessor(StatefulProcessor):
     """Emits tagged rows: ``tick`` on a price change, ``alert`` on a surge,
     ``snapshot`` at most once per ``snapshot_ms``, and with ``every`` a ``grid`` row: the
     change at each multiple of ``every`` milliseconds, once it is certain that no earlier
-    event is to come (a later event of the asset is there, or the watermark has passed)."""
+    event is to come (a later event of the asset is there, or the watermark has passed).
+    With ``late_ms`` an event so much older than the newest of earlier micro-batches changes
+    nothing and comes out as a ``late`` row, numbered per asset."""
 
-    def __init__(self, p: Params, every: int | None = None) -> None:
-        self.p, self.every = p, every
+    def __init__(self, p: Params, every: int | None = None, late_ms: int | None = None) -> None:
+        self.p, self.every, self.late_ms = p, every, late_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("asset", STATE)
 
+    def _load(self) -> dict:
+        if self.state.exists():
+            return dict(zip(_STATE_NAMES, self.state.get()))
+        return dict(zip(_STATE_NAMES, (0.0, 0.0, 0.0, "", 0, None, None, [], [], None, None, 0)))
+
+    def _save(self, s: dict) -> None:
+        self.state.update(tuple(s[n] for n in _STATE_NAMES))
+
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = initialState.iloc[0]
-        self.state.update((
-            float(row["p"]), float(row["b"]), float(row["k"]), row["m"], int(row["seq"]), None, None, [], [],
-            None,
-        ))
+        row, s = initialState.iloc[0], dict(zip(_STATE_NAMES, (0.0, 0.0, 0.0, "", 0, None, None, [], [], None, None, 0)))
+        s |= {"last": float(row["p"]), "bid": float(row["b"]), "ask": float(row["k"]), "market": row["m"], "seq": int(row["seq"])}
+        self._save(s)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows), ignore_index=True).sort_values(["recv_ts", "ord"], kind="stable")
-        if self.state.exists():
-            last, bid, ask, market, seq, snapped, fired, times, prices, grid = self.state.get()
-            times, prices = list(times), list(prices)
-            returns = [None, *(self._return(a, b) for a, b in zip(prices, prices[1:]))][:len(prices)]
-        else:
-            last = bid = ask = 0.0
-            market, seq, snapped, fired, times, prices, returns, grid = "", 0, None, None, [], [], [], None
-        p, out = self.p, []
-        for ts, ord_, price, best_bid, best_ask, market_id in events[_FEED].itertuples(index=False, name=None):
-            if self.every:
-                if grid is None:
-                    grid = ts - ts % self.every
-                now = (market, last, bid, ask, seq, times, prices)
-                grid = self._grid(key[0], now, grid, ts - 1, out)
-            market = market_id or market
-            bid, ask = best_bid or bid, best_ask or ask
-            changed = bool(price) and price != last
-            if price:
-                last = price
-                if not times or ts - times[-1] >= p.gap_ms:
-                    returns.append(self._return(prices[-1], price) if prices else None)
-                    times.append(ts)
-                    prices.append(price)
-                    if len(times) > p.ring:
-                        del times[0], prices[0], returns[0]
-            if not last:
-                continue
-            due = snapped is None or ts - snapped >= p.snapshot_ms
-            if not (changed or due):
-                continue
-            seq += changed
-            then = {back: self._asof(times, prices, ts - back) for back in (p.short_ms, p.long_ms, p.surge_ms)}
-            vol = self._volatility(times, returns, ts)
-            short, long = then[p.short_ms], then[p.long_ms]
-            row = (
-                key[0], market, last, bid, ask,
-                (last - short) * 100 if short is not None else 0.0,
-                (last - long) * 100 if long is not None else 0.0,
-                vol or 0.0, seq, ts, ord_, short is not None, long is not None, vol is not None,
-            )
-            old = then[p.surge_ms]
-            if changed:
-                out.append(("tick", *row, old))
-                if (
-                    old is not None and abs((last - old) * 100) >= p.threshold
-                    and (fired is None or ts - fired >= p.cooldown_ms)
-                ):
-                    fired = ts
-                    out.append(("alert", *row, old))
-            if due:
-                snapped = ts
-                out.append(("snapshot", *row, old))
-        self.state.update((last, bid, ask, market, seq, snapped, fired, times, prices, grid))
+        s, p = self._load(), self.p
+        ts = events["recv_ts"].to_numpy(np.int64)
+        if self.late_ms is not None and s["newest"] is not None:
+            late = ts < s["newest"] - self.late_ms
+            if late.any():
+                yield self._late(key[0], events[late], s)
+                events, ts = events[~late], ts[~late]
+        if not len(ts):
+            self._save(s)
+            return
+        s["newest"] = max(int(ts[-1]), s["newest"] if s["newest"] is not None else int(ts[-1]))
+        ord_ = events["ord"].to_numpy(np.int64)
+        price, bid, ask = (events[c].to_numpy(np.float64) for c in ("price", "best_bid", "best_ask"))
+        names = events["market_id"].to_numpy(object)
+        market, bid, ask = carried(names, names != "", s["market"]), carried(bid, bid != 0, s["bid"]), carried(ask, ask != 0, s["ask"])
+        priced = price != 0
+        last = carried(price, priced, s["last"])
+        changed = priced & (price != np.concatenate([[s["last"]], last[:-1]]))
+        seq = s["seq"] + np.cumsum(changed)
+
+        where = np.flatnonzero(priced)
+        new = where[kept_apart(ts[where], s["ring_ts"][-1] if len(s["ring_ts"]) else None, p.gap_ms)]
+        old = len(s["ring_ts"])
+        samples = Samples(
+            np.concatenate([np.array(s["ring_ts"], np.int64), ts[new]]),
+            np.concatenate([np.array(s["ring_price"], np.float64), price[new]]), p.ring,
+        )
+        count = old + np.searchsorted(new, np.arange(len(ts)), side="right")
+
+        known = np.flatnonzero(last != 0)
+        due = known[kept_apart(ts[known], s["snapped"], p.snapshot_ms)]
+        ticks = np.flatnonzero(changed)
+        surge, held = samples.asof(ts[ticks] - p.surge_ms, count[ticks])
+        steep = ticks[held & (np.abs((last[ticks] - surge) * 100) >= p.threshold)]
+        fired = steep[kept_apart(ts[steep], s["fired"], p.cooldown_ms)]
+        yield self._rows(key[0], [("tick", ticks), ("alert", fired), ("snapshot", due)],
+                         (ts, ord_, market, last, bid, ask, seq, count), samples)
         if self.every:
-            self.handle.registerTimer(grid + self.every)
-        yield pd.DataFrame(out, columns=_NAMES)
+            grid = s["grid"] if s["grid"] is not None else int(ts[0] - ts[0] % self.every)
+            before = (s["market"], s["last"], s["bid"], s["ask"], s["seq"], old)
+            now = (ts, market, last, bid, ask, seq, count)
+            s["grid"], frame = self._grid(key[0], grid, int(ts[-1]) - 1, before, now, samples)
+            yield frame
+            self.handle.registerTimer(s["grid"] + self.every)
+        s |= {
+            "last": float(last[-1]), "bid": float(bid[-1]), "ask": float(ask[-1]), "market": market[-1], "seq": int(seq[-1]),
+            "ring_ts": samples.times[-p.ring:].tolist(), "ring_price": samples.prices[-p.ring:].tolist(),
+        }
+        if len(due):
+            s["snapped"] = int(ts[due[-1]])
+        if len(fired):
+            s["fired"] = int(ts[fired[-1]])
+        self._save(s)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last, bid, ask, market, seq, snapped, fired, times, prices, grid = self.state.get()
-        out: list[tuple] = []
-        now = (market, last, bid, ask, seq, list(times), list(prices))
-        reached = self._grid(key[0], now, grid, timerValues.getCurrentWatermarkInMs(), out)
-        if reached > grid:
-            self.state.update((last, bid, ask, market, seq, snapped, fired, times, prices, reached))
+        s = self._load()
+        samples = Samples(np.array(s["ring_ts"], np.int64), np.array(s["ring_price"], np.float64), self.p.ring)
+        before = (s["market"], s["last"], s["bid"], s["ask"], s["seq"], len(s["ring_ts"]))
+        none = np.array([], np.int64)
+        reached, frame = self._grid(
+            key[0], s["grid"], timerValues.getCurrentWatermarkInMs(), before, (none,) * 7, samples)
+        if reached > s["grid"]:
+            s["grid"] = reached
+            self._save(s)
         self.handle.registerTimer(reached + self.every)
-        yield pd.DataFrame(out, columns=_NAMES)
-
-    def _grid(self, asset: str, now: tuple, grid: int, upto: int, out: list[tuple]) -> int:
-        """Rows of the instants after ``grid`` up to ``upto``; returns the last instant."""
-        market, last, bid, ask, seq, times, prices = now
-        while grid + self.every <= upto:
-            grid += self.every
-            then = self._asof(times, prices, grid - self.p.long_ms) if last else None
-            if then is not None:
-                out.append((
-                    "grid", asset, market, last, bid, ask, 0.0, (last - then) * 100, 0.0, seq, grid, 0, False, True,
-                    False, None,
-                ))
-        return grid
-
-    @staticmethod
-    def _asof(times: list[int], prices: list[float], target: int) -> float | None:
-        at = bisect_right(times, target)
-        return prices[at - 1] if at else None
-
-    @staticmethod
-    def _return(before: float, after: float) -> float | None:
-        return math.log(after / before) if before > 0 and after > 0 else None
-
-    def _volatility(self, times: list[int], returns: list[float | None], now: int) -> float | None:
-        first = bisect_left(times, now - self.p.vol_ms)
-        if len(times) - first < 3:
-            return None
-        inside = returns[first + 1:]  # the return into the first sample starts before the window
-        if None in inside:
-            inside = [r for r in inside if r is not None]
-        n = len(inside)
-        if n < 2:
-            return None
-        total, squares = sum(inside), sum(map(mul, inside, inside))
-        return math.sqrt(max(squares - total * total / n, 0.0) / (n - 1))
+        yield frame
+
+    def _late(self, asset: str, events: pd.DataFrame, s: dict) -> pd.DataFrame:
+        numbers = s["late"] + 1 + np.arange(len(events))
+        s["late"] = int(numbers[-1])
+        frame = pd.DataFrame({
+            "kind": "late", "a": asset, "m": events["market_id"], "p": events["price"], "b": events["best_bid"],
+            "k": events["best_ask"], "seq": numbers, "rts": events["recv_ts"], "ord": events["ord"],
+        })
+        return frame.reindex(columns=_NAMES)
+
+    def _rows(self, asset: str, kinds: list[tuple[str, np.ndarray]], rows: tuple, samples: Samples) -> pd.DataFrame:
+        at = np.concatenate([places for _, places in kinds])
+        kind = np.repeat(np.array([k for k, _ in kinds], object), [len(places) for _, places in kinds])
+        ts, ord_, market, last, bid, ask, seq, count = (c[at] for c in rows)
+        short, ok_short = samples.asof(ts - self.p.short_ms, count)
+        long, ok_long = samples.asof(ts - self.p.long_ms, count)
+        surge, _ = samples.asof(ts - self.p.surge_ms, count)
+        vol, ok_vol = samples.volatility(ts - self.p.vol_ms, count)
+        return pd.DataFrame({
+            "kind": kind, "a": asset, "m": market, "p": last, "b": bid, "k": ask,
+            "c1m": np.where(ok_short, (last - short) * 100, 0.0), "c5m": np.where(ok_long, (last - long) * 100, 0.0),
+            "vol": vol, "seq": seq, "rts": ts, "ord": ord_, "ok_1m": ok_short, "ok_5m": ok_long, "ok_vol": ok_vol,
+            "surge_from": surge,
+        }, columns=_NAMES)
+
+    def _grid(
+        self, asset: str, grid: int, upto: int, before: tuple, now: tuple, samples: Samples
+    ) -> tuple[int, pd.DataFrame]:
+        """The last instant up to ``upto``, and rows of the instants after ``grid``: the state is that
+        of the newest event not after the instant, of ``now`` or else ``before``."""
+        instants = np.arange(grid + self.every, upto + 1, self.every)
+        at = np.searchsorted(now[0], instants, side="right") - 1
+        market, last, bid, ask, seq, count = (
+            np.where(at >= 0, c[np.maximum(at, 0)], b) if len(c) else np.full(len(at), b)
+            for c, b in zip(now[1:], before)
+        )
+        then, held = samples.asof(instants - self.p.long_ms, count.astype(np.int64))
+        held &= last != 0
+        frame = pd.DataFrame({
+            "kind": "grid", "a": asset, "m": market, "p": last, "b": bid, "k": ask, "c1m": 0.0, "c5m": (last - then) * 100,
+            "vol": 0.0, "seq": seq, "rts": instants, "ord": 0, "ok_1m": False, "ok_5m": True, "ok_vol": False,
+            "surge_from": np.nan,
+        }, columns=_NAMES)[held]
+        return (int(instants[-1]) if len(instants) else grid), frame
 
     def close(self) -> None:
         pass
@@ -172,7 +244,7 @@ def use_rocksdb(spark) -> None:
 
 def derive_stream(
     events: DataFrame, p: Params = Params(), initial: DataFrame | None = None, *, every: int | None = None,
-    delay: str = "0 seconds",
+    delay: str = "0 seconds", late_ms: int | None = None,
 ) -> DataFrame:
     """Tagged ticks, alerts and snapshots of a stream of raw events.
 
@@ -180,7 +252,8 @@ def derive_stream(
     (:func:`tickloom.operators.series.restore_state`). With ``every`` also the change at each
     multiple of so many milliseconds, for the top list; then events later than ``delay``
     behind the newest are dropped, and Spark's progress counts them
-    (``numRowsDroppedByWatermark``).
+    (``numRowsDroppedByWatermark``). With ``late_ms`` late events are rows of the output
+    (:func:`late_of`): every event is either applied or there.
     """
     use_rocksdb(events.sparkSession)
     # The worker that plans the operator does not see files added to the session,
@@ -199,7 +272,7 @@ def derive_stream(
     if every:
         feed = feed.withColumn("event_time", F.timestamp_millis("recv_ts")).withWatermark("event_time", delay)
     return feed.groupBy("asset_id").transformWithStateInPandas(
-        statefulProcessor=AssetProcessor(p, every), outputStructType=OUTPUT, outputMode="Append",
+        statefulProcessor=AssetProcessor(p, every, late_ms), outputStructType=OUTPUT, outputMode="Append",
         timeMode="EventTime" if every else "None", initialState=start,
     )
 
@@ -222,3 +295,12 @@ def surges_of(derived: DataFrame) -> DataFrame:
         F.col("a").alias("asset_id"), F.col("rts").alias("recv_ts"), "ord", F.col("m").alias("market_id"),
         F.col("surge_from").alias("from"), F.col("p").alias("to"),
     )
+
+
+def late_of(derived: DataFrame) -> DataFrame:
+    """Events that came too late to be applied, as they came, with their number ``n`` per asset."""
+    return derived.filter(F.col("kind") == "late").select(
+        F.col("a").alias("asset_id"), F.col("m").alias("market_id"), F.col("p").alias("price"),
+        F.col("b").alias("best_bid"), F.col("k").alias("best_ask"), F.col("rts").alias("recv_ts"), "ord",
+        F.col("seq").alias("n"),
+    )
