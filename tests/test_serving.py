@@ -193,3 +193,23 @@ def test_fanout_does_not_meet_a_keys_past(spark):
     compared = serving.fanout_pairs(feed, subs, bucket_ms=1000).count()
     assert delivered >= 2500 and compared < 30 * delivered
     assert serving.fanout_pairs(feed, subs, bucket_ms=None).count() == 5000 * 2000
+
+
+def test_percentiles_by_narrowing(spark):
+    rng, inf = random.Random(3), float("inf")
+    ps = (0.0, 0.25, 0.5, 0.99, 1.0)
+    cases = [
+        [rng.gauss(0, 1) for _ in range(500)], [1.0] * 40 + [2.0], [5e-324, 0.0, 1e-323, -5e-324] * 5, [0.0, -0.0, 1.0],
+        [1e308, -1e308, 1.7e308, -1.7e308, 3.0], [-inf, 1.0, inf, inf, 2.0], [float(rng.randrange(4)) for _ in range(99)],
+        [1.0 + k * 2.0 ** -52 for k in range(300)] + [1e300], [7.0], [None, 3.0, None],
+    ]
+    for values in cases:
+        known = sorted(v for v in values if v is not None)
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        got = {r.p: (r.n, r.value) for r in ranks.narrowed_percentile(df, "v", ps, buckets=16).collect()}
+        assert got == {p: (len(known), known[min(int(len(known) * p) + 1, len(known)) - 1]) for p in ps}
+    empty = spark.createDataFrame([(None,)], "v double")
+    assert ranks.narrowed_percentile(empty, "v", ps).collect() == []
+    nan = spark.createDataFrame([(1.0,), (float("nan"),)], "v double")
+    low, high = sorted(ranks.narrowed_percentile(nan, "v", (0.0, 1.0)).collect())
+    assert low.value == 1.0 and high.value != high.value

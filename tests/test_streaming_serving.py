@@ -5,8 +5,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators import serving, telemetry
-from tickloom.streaming import jobs
+from tickloom.operators import series, serving, telemetry
+from tickloom.streaming import chart, jobs
 from tickloom.streaming import serving as streams
 from tickloom.streaming import telemetry as stats
 
@@ -119,3 +119,15 @@ def test_sys_stats_over_restarts(spark, tmp_path):
         spark.createDataFrame(ins, kinds["i"]), spark.createDataFrame(outs, kinds["o"]),
         spark.createDataFrame(people, "client_id long, start long, end long"), window_ms=1000, last=50, order=("ts", "ord"))
     same(got.withColumn("clients", F.col("clients").cast("int")), want.withColumn("clients", F.col("clients").cast("int")))
+
+
+def test_chart_after_every_micro_batch(spark, tmp_path):
+    rng = random.Random(8)
+    schema = "a string, pts long, seq long, p double"
+    rows = [(rng.choice("ab"), rng.randrange(1, 30_000), i, round(rng.random(), 3)) for i in range(300)]
+    source = Source(spark, tmp_path / "t", schema, rows, 1, CUTS)
+    for step in range(len(CUTS) - 1):
+        source.put(step)
+        jobs.run_to_end(chart.stream_chart(source.stream(), 8, 500), str(tmp_path / "out"), str(tmp_path / "cp"))
+        so_far = spark.createDataFrame([r for r in rows if r[1] < CUTS[step + 1]], schema)
+        same(chart.chart_now(spark.read.parquet(str(tmp_path / "out")), 8), series.chart_series(so_far, 8, 500))

@@ -11,7 +11,7 @@ from tickloom.harness.registry import ORACLES, query, r6
 from tickloom.operators import joins, keyed, series, serving
 from tickloom import schemas
 from tickloom.sources import frames, recording as rec, topics
-from tickloom.streaming import jobs, processor
+from tickloom.streaming import chart, jobs, processor
 from tickloom.streaming import serving as live
 from tickloom.streaming import telemetry as stats_stream
 from tickloom.harness import adapters, q_telemetry  # noqa: F401  (its check SQL is used here)
@@ -232,3 +232,10 @@ def stream_sys_stats(spark, sf_dir):
         clock=adapters.clock(source, sf_dir, 1_767_225_600_000))
     out = finished(spark, rows, "sys")
     return out.select("start", "clients", r6("in_eps"), r6("out_mps"), r6("p99_ms"))
+
+
+@query("stream_chart_series", ORACLES["chart_series"])
+def stream_chart_series(spark, sf_dir):
+    ticks = adapters.user_ticks(Streaming(spark), sf_dir).withColumn("a", F.col("m"))
+    made = finished(spark, chart.stream_chart(ticks, 200, HOUR), "chart")
+    return chart.chart_now(made, 200).select("a", "t", r6("p"))

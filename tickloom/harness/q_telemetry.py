@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tickloom.harness.adapters import DAY, HOUR, ms, raw_events, table
 from tickloom.harness.registry import query, r6
 from tickloom.operators import telemetry
-from tickloom.operators.ranks import nearest_rank_percentile
+from tickloom.operators.ranks import narrowed_percentile, nearest_rank_percentile
 
 MS = "epoch_us(ts) // 1000"
 
@@ -49,6 +49,14 @@ def percentiles_all(spark, sf_dir):
                     F.max(F.when(F.col("p") == 0.99, F.col("value"))).alias("p99"))
 
 
+@query("percentile_by_narrowing", """with s as (select list(l_extendedprice order by l_extendedprice) as v from lineitem)
+select cast(p as double) as p, len(v)::bigint as n, round(v[least(cast(floor(len(v) * p) as bigint) + 1, len(v))], 6) as value
+from s, (values (0.0::double), (0.5), (0.99), (1.0)) t(p)""")
+def percentile_by_narrowing(spark, sf_dir):
+    rows = narrowed_percentile(table(spark, sf_dir, "lineitem"), "l_extendedprice", (0.0, 0.5, 0.99, 1.0))
+    return rows.select("p", "n", r6("value"))
+
+
 @query("recent_latency_p99", f"""with r as (select value from events order by ts desc, event_id desc limit 4096),
 s as (select list(value order by value) as v from r) select len(v)::integer as n, round({nth("v", 0.99)}, 6) as value from s""")
 def recent_latency_p99(spark, sf_dir):
