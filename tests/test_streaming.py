@@ -78,3 +78,22 @@ def test_late_events_are_an_output(spark, tmp_path):
     ticks, snaps, _ = fold([*rows, late[3]], p)
     assert rounded(processor.ticks_of(got)) == ticks
     assert rounded(processor.ticks_of(got, "snapshot")) == snaps
+
+
+def test_new_stream_goes_on_from_a_checkpoint(spark, tmp_path):
+    """A second job, with its own checkpoint, starts from the state the first one left."""
+    p, rows = CASES["small ring"]
+    rows = sorted(rows, key=lambda r: (r[5], r[6]))
+    half, start, parts = len(rows) // 2, None, []
+    for n, part in enumerate((rows[:half], rows[half:])):
+        folder, out, checkpoint = (str(tmp_path / f"{name}{n}") for name in ("in", "out", "cp"))
+        spark.createDataFrame(part, EVENT).coalesce(1).write.parquet(folder)
+        derived = processor.derive_stream(spark.readStream.schema(EVENT).parquet(folder), p, initial=start)
+        jobs.run_to_end(derived, out, checkpoint)
+        parts.append(spark.read.schema(derived.schema).parquet(out))
+        start = processor.state_of(spark, checkpoint)
+    got = parts[0].unionByName(parts[1])
+    ticks, snaps, alerts = fold(rows, p)
+    assert rounded(processor.ticks_of(got)) == ticks
+    assert rounded(processor.ticks_of(got, "snapshot")) == snaps
+    assert sorted(tuple(r) for r in processor.surges_of(got).collect()) == alerts

@@ -26,6 +26,8 @@ STATE = (
     "last double, bid double, ask double, market string, seq bigint, snapped bigint, fired bigint, "
     "ring_ts array<bigint>, ring_price array<double>, grid bigint, newest bigint, late bigint"
 )
+_FRESH = (0.0, 0.0, 0.0, "", 0, None, None, [], [], None, None, 0)
+_WHOLE = ("seq", "snapped", "fired", "grid", "newest", "late")
 OUTPUT = (
     "kind string, a string, m string, p double, b double, k double, c1m double, c5m double, vol double, "
     "seq bigint, rts bigint, ord bigint, ok_1m boolean, ok_5m boolean, ok_vol boolean, surge_from double"
@@ -108,14 +110,21 @@ class AssetProcessor(StatefulProcessor):
     def _load(self) -> dict:
         if self.state.exists():
             return dict(zip(_STATE_NAMES, self.state.get()))
-        return dict(zip(_STATE_NAMES, (0.0, 0.0, 0.0, "", 0, None, None, [], [], None, None, 0)))
+        return dict(zip(_STATE_NAMES, _FRESH))
 
     def _save(self, s: dict) -> None:
         self.state.update(tuple(s[n] for n in _STATE_NAMES))
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row, s = initialState.iloc[0], dict(zip(_STATE_NAMES, (0.0, 0.0, 0.0, "", 0, None, None, [], [], None, None, 0)))
-        s |= {"last": float(row["p"]), "bid": float(row["b"]), "ask": float(row["k"]), "market": row["m"], "seq": int(row["seq"])}
+        row, s = initialState.iloc[0], dict(zip(_STATE_NAMES, _FRESH))
+        if "ring_ts" in initialState:  # another stream's whole state
+            for n, fresh in zip(_STATE_NAMES, _FRESH):
+                value = row[n]
+                s[n] = list(value) if isinstance(fresh, list) else None if pd.isna(value) else type(value)(value)
+                if n in _WHOLE and s[n] is not None:
+                    s[n] = int(s[n])
+        else:
+            s |= {"last": float(row["p"]), "bid": float(row["b"]), "ask": float(row["k"]), "market": row["m"], "seq": int(row["seq"])}
         self._save(s)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -249,7 +258,8 @@ def derive_stream(
     """Tagged ticks, alerts and snapshots of a stream of raw events.
 
     ``initial``: newest snapshot per asset, tick layout
-    (:func:`tickloom.operators.series.restore_state`). With ``every`` also the change at each
+    (:func:`tickloom.operators.series.restore_state`), or another stream's whole state
+    (:func:`state_of`). With ``every`` also the change at each
     multiple of so many milliseconds, for the top list; then events later than ``delay``
     behind the newest are dropped, and Spark's progress counts them
     (``numRowsDroppedByWatermark``). With ``late_ms`` late events are rows of the output
@@ -267,7 +277,9 @@ def derive_stream(
         F.coalesce("market_id", empty).alias("market_id"),
     )
     start = None
-    if initial is not None:
+    if initial is not None and "ring_ts" in initial.columns:
+        start = initial.groupBy("asset_id")
+    elif initial is not None:
         start = initial.select(F.col("a").alias("asset_id"), "m", "p", "b", "k", "seq").groupBy("asset_id")
     if every:
         feed = feed.withColumn("event_time", F.timestamp_millis("recv_ts")).withWatermark("event_time", delay)
@@ -277,6 +289,15 @@ def derive_stream(
     )
 
 
+def state_of(spark, checkpoint: str) -> DataFrame:
+    """The state of every asset in a stopped stream's checkpoint: ``asset_id`` and all that is kept,
+    samples and cooldowns included. As ``initial`` it lets a new stream, with parameters of its
+    own, go on where that one ended."""
+    use_rocksdb(spark)
+    rows = spark.read.format("statestore").option("stateVarName", "asset").load(checkpoint)
+    return rows.select("key.asset_id", "value.*")
+
+
 def ticks_of(derived: DataFrame, kind: str = "tick") -> DataFrame:
     """``tick`` or ``snapshot`` rows in the tick layout."""
     return derived.filter(F.col("kind") == kind).select(
