@@ -41,15 +41,15 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in self.columns]
-        at, least = names.index(self.order[0]), None
+        oldest = []
         for frame in rows:
             frame = frame[names].astype(object)
             frame = frame.where(frame.notna(), None)
-            least = min([int(frame[self.order[0]].min()), *[least] * (least is not None)])
+            oldest.append(int(frame[self.order[0]].min()))
             self.waiting.appendList([self._plain(r) for r in frame.itertuples(index=False, name=None)])
         known = self.next.get()[0] if self.next.exists() else None
-        if least is not None and (known is None or least < known):
-            self._wake(known, least)
+        if oldest and (known is None or min(oldest) < known):
+            self._wake(known, min(oldest))
         yield pd.DataFrame(columns=[c.split()[0] for c in self.output])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
