@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import series, serving, telemetry
-from tickloom.streaming import chart, jobs
+from tickloom.plans.replay import replay_schedule
+from tickloom.streaming import chart, jobs, replay
 from tickloom.streaming import serving as streams
 from tickloom.streaming import telemetry as stats
 
@@ -131,3 +132,50 @@ def test_chart_after_every_micro_batch(spark, tmp_path):
         jobs.run_to_end(chart.stream_chart(source.stream(), 8, 500), str(tmp_path / "out"), str(tmp_path / "cp"))
         so_far = spark.createDataFrame([r for r in rows if r[1] < CUTS[step + 1]], schema)
         same(chart.chart_now(spark.read.parquet(str(tmp_path / "out")), 8), series.chart_series(so_far, 8, 500))
+
+
+@pytest.mark.parametrize(("cap", "parts"), [(0, 1), (3, 3)])
+def test_snapshots_while_messages_flow(spark, tmp_path, cap, parts):
+    ops = [(c, t, i, op, ch, [*(ids or []), "nobody"]) for c, t, i, op, ch, ids in requests(9)]
+    msgs = feed(10)
+    sources = [Source(spark, tmp_path / "m", MSG, [*msgs, ("asset", "z", 90_000, 1, "clock")], 2, CUTS),
+               Source(spark, tmp_path / "o", OPS, ops, 1, CUTS)]
+    got = run_in_steps(spark, tmp_path, sources, lambda m, o: streams.stream_snapshots(o, m, cap=cap, parts=parts))
+    asked, known = spark.createDataFrame(ops, OPS), spark.createDataFrame(msgs, MSG)
+    steps = serving.apply_subscription_ops(asked, cap, 5_000) if cap else None
+    want = serving.snapshot_on_subscribe(
+        asked, known.filter("ch = 'asset'"), known.filter("ch = 'top'"), width=5_000, steps=steps)
+    same(got, want)
+    assert {r["t"] for r in got.select("t").distinct().collect()} == {"snap", "top"}
+
+
+def test_replay_by_timers_over_a_restart(spark, tmp_path):
+    rng = random.Random(11)
+    schema = "ts long, ord long, value string"
+    rows = [(rng.randrange(5_000, 25_000) // 10 * 10, i, f"v{i}") for i in range(200)]
+    clip = spark.createDataFrame(rows, schema)
+    clip.write.parquet(str(tmp_path / "clip"))
+    origin, span = min(r[0] for r in rows), max(r[0] for r in rows) - min(r[0] for r in rows)
+    start, changes = int(time.time() * 1000) + 2_000, ((1_000.0, 10.0),)
+
+    def playing():
+        source = spark.readStream.schema(schema).parquet(str(tmp_path / "clip"))
+        return replay.stream_replay(source, origin, span, start, speed=5.0, laps=2, changes=changes, parts=2)
+
+    first = playing().writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="100 milliseconds").start()
+    out = lambda: spark.read.schema(first_schema).parquet(str(tmp_path / "out"))
+    first_schema = playing().schema
+    limit = time.time() + 60
+    while time.time() < limit and not (tmp_path / "out" / "_spark_metadata").exists() or out().isEmpty():
+        time.sleep(0.1)
+    first.stop()
+    replay.play_to_end(playing(), str(tmp_path / "out"), str(tmp_path / "cp"), start + 6_000)
+    want = replay_schedule(clip, 5.0, 2, changes)
+    same(out().select("ts", "ord", "value", "lap", F.round("due_ms", 6).alias("due_ms")),
+         want.select("ts", "ord", "value", F.col("lap").cast("long").alias("lap"), F.round("due_ms", 6).alias("due_ms")))
+    assert out().filter(F.col("played_ms") < start + F.col("due_ms")).isEmpty()
+    # a row due later is never played earlier
+    for part in (0, 1):
+        mine = sorted((r["due_ms"], r["played_ms"]) for r in out().filter(F.col("part") == part).collect())
+        assert [p for _, p in mine] == sorted(p for _, p in mine)

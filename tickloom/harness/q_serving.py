@@ -405,19 +405,23 @@ SNAP_OPS = """sn as (select c_custkey as client_id, 1704067200000 + cast(floor(a
     unnest(['u' || (c_custkey // 10), 'u' || c_nationkey, 'nobody']) as id, unnest([0, 1, 2]) as pos from customer)"""
 
 
-@query("snapshot_on_subscribe", f"""with {SUBS}, {SNAP_OPS},
-h as (select sn.client_id, sn.ts, sn.pos, ms.value from sn asof join ms on sn.id = ms.id and ms.ts <= sn.ts)
-select client_id, ts, 'snap' as t, count(*) as n, '{{"t":"snap","d":[' || string_agg(value, ',' order by pos) || ']}}' as frame
-from h group by 1, 2""")
-def snapshot_on_subscribe(spark, sf_dir):
+def snapshot_ops(spark, sf_dir):
+    """One request per customer, for three ids."""
     start = F.lit(1_704_067_200_000) + F.floor(F.abs("c_acctbal") * 25).cast("bigint") * 10_000
     ids = F.array(
         F.concat(F.lit("u"), F.call_function("div", F.col("c_custkey"), F.lit(10)).cast("string")),
         F.concat(F.lit("u"), F.col("c_nationkey").cast("string")), F.lit("nobody"))
-    ops = table(spark, sf_dir, "customer").select(
+    return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("client_id"), start.alias("ts"), F.lit(1 << 40).alias("ord"),
         F.lit("sub").alias("op"), F.lit("asset").alias("ch"), ids.alias("ids"))
-    rows = serving.snapshot_on_subscribe(ops, messages(spark, sf_dir), width=DAY)
+
+
+@query("snapshot_on_subscribe", f"""with {SUBS}, {SNAP_OPS},
+h as (select sn.client_id, sn.ts, sn.pos, ms.value from sn asof join ms on sn.id = ms.id and ms.ts <= sn.ts)
+select client_id, ts, 'snap' as t, count(*) as n, '{{"t":"snap","d":[' || string_agg(value, ',' order by pos) || ']}}' as frame
+from h group by 1, 2""")
+def snapshot_on_subscribe(spark, sf_dir):
+    rows = serving.snapshot_on_subscribe(snapshot_ops(spark, sf_dir), messages(spark, sf_dir), width=DAY)
     return rows.select("client_id", "ts", "t", F.col("n").cast("bigint").alias("n"), "frame")
 
 

@@ -1,17 +1,19 @@
 """Streaming forms, run over the whole table to its end and read back."""
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from tickloom.harness.adapters import HOUR, P, customer_markets, customer_subs, messages, ms, raw_events, scratch
 from tickloom.harness.q_frames import event_output, mixed_sql
 from tickloom.harness.q_series import EV, GRID_SQL, MARKETS, PRICED, SNAP_SQL, SURGES, TICK_COLUMNS, USER_TICKS, stats, tick_output
-from tickloom.harness.q_serving import ALERTS, CAPPED, CONFLATED, SUBS, USER_FANOUT
+from tickloom.harness.q_serving import ALERTS, CAPPED, CONFLATED, MS, SUBS, USER_FANOUT, snapshot_ops
 from tickloom.harness.registry import ORACLES, query, r6
-from tickloom.operators import joins, keyed, serving
+from tickloom.operators import joins, keyed, serving, telemetry
 from tickloom import schemas
 from tickloom.sources import frames, recording as rec, topics
-from tickloom.streaming import chart, jobs, processor
+from tickloom.streaming import chart, jobs, processor, replay
 from tickloom.streaming import serving as live
 from tickloom.streaming import telemetry as stats_stream
 from tickloom.harness import adapters, q_telemetry  # noqa: F401  (its check SQL is used here)
@@ -239,3 +241,49 @@ def stream_chart_series(spark, sf_dir):
     ticks = adapters.user_ticks(Streaming(spark), sf_dir).withColumn("a", F.col("m"))
     made = finished(spark, chart.stream_chart(ticks, 200, HOUR), "chart")
     return chart.chart_now(made, 200).select("a", "t", r6("p"))
+
+
+@query("stream_snapshots_on_subscribe", ORACLES["snapshot_on_subscribe"])
+def stream_snapshots_on_subscribe(spark, sf_dir):
+    """Requests and messages as two streams; a clock a year ahead sends the last answers."""
+    source = Streaming(spark)
+    ticking = adapters.clock(source, sf_dir, 1_767_225_600_000).select(
+        F.lit("asset").alias("ch"), F.lit("clock").alias("id"), "ts", F.lit(0).cast("bigint").alias("ord"), F.lit("").alias("value"))
+    rows = live.stream_snapshots(
+        snapshot_ops(source, sf_dir), messages(source, sf_dir).unionByName(ticking), cap=500, parts=4)
+    sent = finished(spark, rows, "snapshots")
+    return sent.select("client_id", "ts", "t", F.col("n").cast("bigint").alias("n"), "frame")
+
+
+@query("stream_pipeline_counters", ORACLES["stream_counters"])
+def stream_pipeline_counters(spark, sf_dir):
+    """The totals of three streams, complete mode."""
+    source, path = Streaming(spark), scratch(spark, "counters")
+    rows = telemetry.pipeline_counters(q_telemetry.counted(source, sf_dir))
+
+    def keep(batch, batch_id):
+        batch.write.mode("overwrite").parquet(path + "/out")
+
+    rows.writeStream.outputMode("complete").option("checkpointLocation", path + "/c").trigger(
+        availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return spark.read.parquet(path + "/out")
+
+
+#: Milliseconds a lap of the replay below takes.
+LAP_MS = 1_500
+
+
+@query("stream_replay", f"""with o as (select min({MS}) as a, max({MS}) - min({MS}) as span from events)
+select {MS} as ts, event_id as ord, lap::bigint as lap, round(({MS} - a) / (span / {LAP_MS}.0::double)
+  + lap * (span / (span / {LAP_MS}.0::double)), 6) as due_ms, true as in_time
+from events, o, (values (0), (1)) l(lap)""")
+def stream_replay(spark, sf_dir):
+    """All events as a clip, two laps, played by timers of the clock."""
+    rows = lambda source: adapters.table(source, sf_dir, "events").select(
+        ms("ts").alias("ts"), F.col("event_id").alias("ord"), F.col("event_type").alias("value"))
+    origin, span = rows(spark).agg(F.min("ts"), F.max("ts") - F.min("ts")).first()
+    start, path = int(time.time() * 1000) + 3_000, scratch(spark, "replay")
+    played = replay.stream_replay(rows(Streaming(spark)), origin, span, start, speed=span / LAP_MS, laps=2, parts=8)
+    replay.play_to_end(played, path + "/out", path + "/checkpoint", start + 2 * LAP_MS)
+    out = spark.read.schema(played.schema).parquet(path + "/out")
+    return out.select("ts", "ord", "lap", r6("due_ms"), (F.col("played_ms") >= start + F.col("due_ms")).alias("in_time"))

@@ -21,16 +21,20 @@ def count_by_kind(spark, sf_dir):
     return telemetry.count_by_kind(table(spark, sf_dir, "events"), "event_type")
 
 
-@query("stream_counters", """select 'ticks' as topic, count(*) as records, cast(sum(strlen(props)) as bigint) as bytes from events where event_type <> 'error'
-union all select 'alerts', count(*), cast(sum(strlen(props)) as bigint) from events where event_type = 'error'
-union all select 'markets', count(*), 0 from part""")
-def stream_counters(spark, sf_dir):
+def counted(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    return telemetry.pipeline_counters({
+    return {
         "ticks": (events.filter("event_type <> 'error'"), "props"),
         "alerts": (events.filter("event_type = 'error'"), "props"),
         "markets": (table(spark, sf_dir, "part"), None),
-    })
+    }
+
+
+@query("stream_counters", """select 'ticks' as topic, count(*) as records, cast(sum(strlen(props)) as bigint) as bytes from events where event_type <> 'error'
+union all select 'alerts', count(*), cast(sum(strlen(props)) as bigint) from events where event_type = 'error'
+union all select 'markets', count(*), 0 from part""")
+def stream_counters(spark, sf_dir):
+    return telemetry.pipeline_counters(counted(spark, sf_dir))
 
 
 @query("nearest_rank_percentile", f"""with s as (select l_returnflag, list(l_extendedprice order by l_extendedprice) as v from lineitem group by 1)

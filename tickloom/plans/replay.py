@@ -118,6 +118,20 @@ def extract_clip(
     return clip, manifest(clip_stats(clip), [name])
 
 
+def due(elapsed: Column, speed: float = 1.0, changes: tuple[tuple[float, float], ...] = ()) -> Column:
+    """Playing time in milliseconds at which ``elapsed`` recorded milliseconds have passed.
+
+    ``changes`` are ``(from playing ms, speed)`` steps.
+    """
+    steps = sorted([(0.0, float(speed)), *[(float(a), float(b)) for a, b in changes]])
+    out, done = None, 0.0
+    for (at, pace), (nxt, _) in zip(steps, [*steps[1:], (0.0, 0.0)]):
+        value = F.lit(at) + (elapsed - F.lit(done)) / F.lit(pace)
+        out = value if out is None else F.when(elapsed >= F.lit(done), value).otherwise(out)
+        done += (nxt - at) * pace
+    return out
+
+
 def replay_schedule(
     rows: DataFrame, speed: float = 1.0, laps: int = 1, changes: tuple[tuple[float, float], ...] = ()
 ) -> DataFrame:
@@ -128,24 +142,8 @@ def replay_schedule(
     """
     origin = rows.agg(F.min("ts")).scalar()
     span = rows.agg(F.max("ts") - F.min("ts")).scalar()
-    steps = sorted([(0.0, float(speed)), *[(float(a), float(b)) for a, b in changes]])
-
-    def due(elapsed: Column) -> Column:
-        """Playing time at which ``elapsed`` recorded milliseconds have passed."""
-        out, done = None, 0.0
-        pieces = []
-        for (at, pace), nxt in zip(steps, [*steps[1:], None]):
-            pieces.append((done, at, pace))
-            if nxt is not None:
-                done += (nxt[0] - at) * pace
-        for base, at, pace in pieces:
-            value = F.lit(at) + (elapsed - F.lit(base)) / F.lit(pace)
-            out = value if out is None else F.when(elapsed >= F.lit(base), value).otherwise(out)
-        return out
-
-    elapsed = (F.col("ts") - origin).cast("double")
     lap = F.explode(F.sequence(F.lit(0), F.lit(laps - 1))).alias("lap")
-    return rows.select("*", lap, elapsed.alias("_e")).select(
+    return rows.select("*", lap, (F.col("ts") - origin).cast("double").alias("_e")).select(
         *rows.columns, "lap",
-        (due(F.col("_e")) + F.col("lap") * due(span.cast("double"))).alias("due_ms"),
+        (due(F.col("_e"), speed, changes) + F.col("lap") * due(span.cast("double"), speed, changes)).alias("due_ms"),
     )

@@ -41,12 +41,13 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in self.columns]
+        whole = [c.split()[1] in ("bigint", "int", "long") for c in self.columns]
         oldest = []
         for frame in rows:
             frame = frame[names].astype(object)
             frame = frame.where(frame.notna(), None)
             oldest.append(int(frame[self.order[0]].min()))
-            self.waiting.appendList([self._plain(r) for r in frame.itertuples(index=False, name=None)])
+            self.waiting.appendList([self._plain(r, whole) for r in frame.itertuples(index=False, name=None)])
         known = self.next.get()[0] if self.next.exists() else None
         if oldest and (known is None or min(oldest) < known):
             self._wake(known, min(oldest))
@@ -85,8 +86,10 @@ class InOrder(StatefulProcessor):
         return pd.DataFrame(rows, columns=[c.split()[0] for c in self.output])
 
     @staticmethod
-    def _plain(row: tuple) -> tuple:
-        return tuple(v.tolist() if hasattr(v, "tolist") else v for v in row)
+    def _plain(row: tuple, whole: list[bool]) -> tuple:
+        # pandas makes floats of whole numbers beside nulls; the state would take those for null
+        plain = (v.tolist() if hasattr(v, "tolist") else v for v in row)
+        return tuple(int(v) if w and v is not None else v for v, w in zip(plain, whole))
 
     def apply(self, key: tuple, rows: list[dict]) -> Iterator[tuple]:
         raise NotImplementedError

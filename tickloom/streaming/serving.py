@@ -129,7 +129,7 @@ def stream_fanout(
     )
     right = timed(messages, delay).select(
         "ch", "id", F.pmod(F.xxhash64("ts", "ord"), F.lit(parts)).cast("int").alias("part"), EVENT_TIME, "ts", "ord",
-        F.lit(1).alias("side"), F.lit(None).cast(kind).alias("client_id"), F.lit(0).alias("step"), "value",
+        F.lit(1).alias("side"), F.lit(0).cast(kind).alias("client_id"), F.lit(0).alias("step"), "value",
     )
     return in_order(left.unionByName(right), ("ch", "id", "part"), Deliveries(kind))
 
@@ -165,6 +165,85 @@ def stream_subscription_counts(ops: DataFrame, cap: int = 0, delay: str = "0 sec
     return in_order(sums.withColumn("all", F.lit(0)), ("all",), Totals())
 
 
+class Accepted(Requests):
+    """The keys asked for by the requests of one client that its cap lets through."""
+
+    def __init__(self, cap: int, client: str) -> None:
+        super().__init__(cap, client)
+        self.output = (
+            f"{EVENT_TIME} timestamp", f"client_id {client}", "ts bigint", "ord bigint", "ch string", "pos int", "id string")
+
+    def apply(self, key: tuple, rows: list[dict]) -> Iterator[tuple]:
+        refused = {step[4:6] for step in super().apply(key, rows) if step[7] is not None}
+        for row in rows:
+            if row["op"] == "sub" and (row["ts"], row["ord"]) not in refused:
+                ids = [""] if row["ch"] == "top" else (row["ids"] or []) if row["ch"] == "asset" else []
+                for pos, i in enumerate(ids):
+                    yield (_stamp(row["ts"]), key[0], row["ts"], row["ord"], row["ch"], pos, i)
+
+
+class Known(InOrder):
+    """The newest value of one key; a row for each request that finds one."""
+
+    # a request sees the messages of its own instant
+    order = ("ts", "side", "ord")
+
+    def __init__(self, client: str) -> None:
+        self.columns = ("ts bigint", "ord bigint", "side int", f"client_id {client}", "pos int", "value string")
+        self.output = (
+            f"{EVENT_TIME} timestamp", f"client_id {client}", "ts bigint", "ord bigint", "ch string", "pos int", "value string")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.newest = handle.getValueState("newest", "value string")
+
+    def apply(self, key: tuple, rows: list[dict]) -> Iterator[tuple]:
+        before = value = self.newest.get()[0] if self.newest.exists() else None
+        for row in rows:
+            if not row["side"]:
+                value = row["value"]
+            elif value is not None:
+                yield (_stamp(row["ts"]), row["client_id"], row["ts"], row["ord"], key[0], row["pos"], value)
+        if value != before:
+            self.newest.update((value,))
+
+
+def stream_snapshots(
+    ops: DataFrame, messages: DataFrame, *, cap: int = 0, delay: str = "0 seconds", parts: int = 1
+) -> DataFrame:
+    """:func:`tickloom.operators.serving.snapshot_on_subscribe` as a stream: requests are answered
+    with what is known at their moment, while messages flow.
+
+    ``messages``: ``ch, id, ts, ord, value`` with ``ch`` ``asset`` or ``top`` (``id`` is ignored
+    there). With a ``cap`` refused requests get no answer. ``parts`` spreads the requests for
+    every key over as many tasks, each with the key's newest value. An answer is put together
+    from its keys when the clock, moved by the newest row of either input, has passed it.
+    """
+    kind = dict(ops.dtypes)["client_id"]
+    rows = timed(ops.select("client_id", "ts", "ord", "op", "ch", "ids"), delay)
+    if cap > 0:
+        asked = in_order(rows, ("client_id",), Accepted(cap, kind), chained=True)
+    else:
+        ids = F.when(F.col("ch") == "top", F.array(F.lit(""))).when(F.col("ch") == "asset", F.col("ids"))
+        asked = rows.filter(F.col("op") == "sub").select(
+            EVENT_TIME, "client_id", "ts", "ord", "ch", F.posexplode(ids).alias("pos", "id"))
+    left = asked.select(
+        "ch", "id", F.pmod(F.xxhash64("client_id", "ts", "ord"), F.lit(parts)).cast("int").alias("part"), EVENT_TIME,
+        "ts", "ord", F.lit(1).alias("side"), "client_id", "pos", F.lit(None).cast("string").alias("value"))
+    right = timed(messages.filter(F.col("value").isNotNull()), delay).select(
+        "ch", F.when(F.col("ch") == "top", "").otherwise(F.col("id")).alias("id"),
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), EVENT_TIME, "ts", "ord", F.lit(0).alias("side"),
+        F.lit(0).cast(kind).alias("client_id"), F.lit(0).alias("pos"), "value")
+    found = in_order(left.unionByName(right), ("ch", "id", "part"), Known(kind), chained=True)
+    items = F.array_sort(F.collect_list(F.struct("pos", "value")))
+    answers = found.groupBy(EVENT_TIME, "client_id", "ts", "ord", "ch").agg(
+        F.transform(items, lambda i: i["value"]).alias("items"))
+    snap = F.col("ch") == "asset"
+    return answers.select(
+        "client_id", "ts", "ord", F.when(snap, "snap").otherwise("top").alias("t"), F.size("items").alias("n"),
+        F.when(snap, envelope("snap", "items")).otherwise(envelope_one("top", F.get("items", F.lit(0)))).alias("frame"))
+
+
 class Pending(StatefulProcessor):
     """What one client has not been sent yet: the newest value of each key and flush window."""
 
