@@ -17,14 +17,10 @@ from tickloom.functions.wire import envelope, envelope_one
 from tickloom.streaming.ordered import EVENT_TIME, InOrder, in_order, timed, use_event_time
 
 
-def _stamp(ts: int) -> pd.Timestamp:
-    return pd.Timestamp(ts, unit="ms")
-
-
 class Requests(InOrder):
-    """The subscribed keys of one client; a row for each key gained or lost."""
+    """The subscribed keys of each client; a row for each key gained or lost."""
 
-    columns = ("ts bigint", "ord bigint", "op string", "ch string", "ids array<string>")
+    columns = ("ts", "ord", "op", "ch", "ids")
 
     def __init__(self, cap: int, client: str) -> None:
         self.cap = cap
@@ -33,41 +29,36 @@ class Requests(InOrder):
             "step int", "error string", "live bigint", "joined int",
         )
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.held = handle.getMapState("held", "ch string, id string", "n int")
-
-    def apply(self, key: tuple, rows: list[dict]) -> Iterator[tuple]:
-        held = dict.fromkeys(tuple(k) for k in self.held.keys())
-        before = set(held)
-        for row in rows:
+    def apply(self, state: dict, rows: list[tuple]) -> Iterator[tuple]:
+        for client, ts, ord_, op, ch, ids in rows:
+            held = state.get(client, {})
             was, steps = len(held), []
-            asked = [("asset", i) for i in row["ids"] or ()] if row["ch"] == "asset" else [(row["ch"], "")]
-            if row["op"] == "close":
+            asked = [("asset", i) for i in ids or ()] if ch == "asset" else [(ch, "")]
+            if op == "close":
                 steps = [(k, -1) for k in sorted(held)]
                 held = {}
-            elif row["op"] == "unsub":
+            elif op == "unsub":
                 for k in asked:
                     if k in held:
                         del held[k]
                         steps.append((k, -1))
-            elif row["op"] == "sub":
+            elif op == "sub":
                 if self.cap > 0 and len(held) + sum(k not in held for k in asked) > self.cap:
-                    yield (_stamp(row["ts"]), key[0], row["ch"], None, row["ts"], row["ord"], 0, "too_many_subs", was, 0)
+                    yield client, ch, None, ts, ord_, 0, "too_many_subs", was, 0
                     continue
                 for k in asked:
                     if k not in held:
                         held[k] = None
                         steps.append((k, 1))
+            if held:
+                state[client] = held
+            else:
+                state.pop(client, None)
             # the client as a whole joins or leaves with the last key of the request
             change = (len(held) > 0) - (was > 0)
             for n, (k, step) in enumerate(steps):
                 last = n == len(steps) - 1
-                yield (_stamp(row["ts"]), key[0], *k, row["ts"], row["ord"], step, None, len(held), change if last else 0)
-        for k in before - set(held):
-            self.held.removeKey(k)
-        for k in set(held) - before:
-            self.held.updateValue(k, (1,))
+                yield client, *k, ts, ord_, step, None, len(held), change if last else 0
 
 
 def stream_steps(ops: DataFrame, cap: int = 500, delay: str = "0 seconds", *, chained: bool = False) -> DataFrame:
@@ -79,35 +70,28 @@ def stream_steps(ops: DataFrame, cap: int = 500, delay: str = "0 seconds", *, ch
 
 
 class Deliveries(InOrder):
-    """The subscribed clients of one key; a row for each message and client."""
+    """The subscribed clients of each key; a row for each message and client."""
 
     # a step counts for the message of its own instant
     order = ("ts", "ord", "side")
 
+    columns = ("ts", "ord", "side", "client_id", "step", "value")
+
     def __init__(self, client: str) -> None:
-        self.columns = ("ts bigint", "ord bigint", "side int", f"client_id {client}", "step int", "value string")
         self.output = (f"client_id {client}", "ch string", "id string", "ts bigint", "ord bigint", "value string")
-        self.client = client
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.clients = handle.getMapState("clients", f"client_id {self.client}", "n int")
-
-    def apply(self, key: tuple, rows: list[dict]) -> Iterator[tuple]:
-        on = dict.fromkeys(k[0] for k in self.clients.keys())
-        before = set(on)
-        for row in rows:
-            if row["side"]:
-                for client in on:
-                    yield (client, key[0], key[1], row["ts"], row["ord"], row["value"])
-            elif row["step"] > 0:
-                on[row["client_id"]] = None
-            else:
-                on.pop(row["client_id"], None)
-        for client in before - set(on):
-            self.clients.removeKey((client,))
-        for client in set(on) - before:
-            self.clients.updateValue((client,), (1,))
+    def apply(self, state: dict, rows: list[tuple]) -> Iterator[tuple]:
+        for ch, id_, part, ts, ord_, side, client, step, value in rows:
+            key = (ch, id_, part)
+            if side:
+                for on in state.get(key, ()):
+                    yield on, ch, id_, ts, ord_, value
+            elif step > 0:
+                state.setdefault(key, {})[client] = None
+            elif key in state:
+                state[key].pop(client, None)
+                if not state[key]:
+                    del state[key]
 
 
 def stream_fanout(
@@ -137,20 +121,15 @@ def stream_fanout(
 class Totals(InOrder):
     """Running totals over all clients, one row per instant."""
 
-    columns = ("ts bigint", "step bigint", "joined bigint")
+    columns = ("ts", "step", "joined")
     order = ("ts",)
     output = ("ts bigint", "subscriptions bigint", "clients bigint")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.totals = handle.getValueState("totals", "subscriptions bigint, clients bigint")
-
-    def apply(self, key: tuple, rows: list[dict]) -> Iterator[tuple]:
-        subscriptions, clients = self.totals.get() if self.totals.exists() else (0, 0)
-        for row in rows:
-            subscriptions, clients = subscriptions + row["step"], clients + row["joined"]
-            yield row["ts"], subscriptions, clients
-        self.totals.update((subscriptions, clients))
+    def apply(self, state: dict, rows: list[tuple]) -> Iterator[tuple]:
+        for key, ts, step, joined in rows:
+            subscriptions, clients = state.get(key, (0, 0))
+            state[key] = subscriptions + step, clients + joined
+            yield ts, *state[key]
 
 
 def stream_subscription_counts(ops: DataFrame, cap: int = 0, delay: str = "0 seconds") -> DataFrame:
@@ -166,46 +145,39 @@ def stream_subscription_counts(ops: DataFrame, cap: int = 0, delay: str = "0 sec
 
 
 class Accepted(Requests):
-    """The keys asked for by the requests of one client that its cap lets through."""
+    """The keys asked for by the requests of each client that its cap lets through."""
 
     def __init__(self, cap: int, client: str) -> None:
         super().__init__(cap, client)
         self.output = (
             f"{EVENT_TIME} timestamp", f"client_id {client}", "ts bigint", "ord bigint", "ch string", "pos int", "id string")
 
-    def apply(self, key: tuple, rows: list[dict]) -> Iterator[tuple]:
-        refused = {step[4:6] for step in super().apply(key, rows) if step[7] is not None}
-        for row in rows:
-            if row["op"] == "sub" and (row["ts"], row["ord"]) not in refused:
-                ids = [""] if row["ch"] == "top" else (row["ids"] or []) if row["ch"] == "asset" else []
-                for pos, i in enumerate(ids):
-                    yield (_stamp(row["ts"]), key[0], row["ts"], row["ord"], row["ch"], pos, i)
+    def apply(self, state: dict, rows: list[tuple]) -> Iterator[tuple]:
+        refused = {(step[0], *step[3:5]) for step in super().apply(state, rows) if step[6] is not None}
+        for client, ts, ord_, op, ch, ids in rows:
+            if op == "sub" and (client, ts, ord_) not in refused:
+                wanted = [""] if ch == "top" else (ids or []) if ch == "asset" else []
+                for pos, i in enumerate(wanted):
+                    yield client, ts, ord_, ch, pos, i
 
 
 class Known(InOrder):
-    """The newest value of one key; a row for each request that finds one."""
+    """The newest value of each key; a row for each request that finds one."""
 
     # a request sees the messages of its own instant
     order = ("ts", "side", "ord")
+    columns = ("ts", "ord", "side", "client_id", "pos", "value")
 
     def __init__(self, client: str) -> None:
-        self.columns = ("ts bigint", "ord bigint", "side int", f"client_id {client}", "pos int", "value string")
         self.output = (
             f"{EVENT_TIME} timestamp", f"client_id {client}", "ts bigint", "ord bigint", "ch string", "pos int", "value string")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.newest = handle.getValueState("newest", "value string")
-
-    def apply(self, key: tuple, rows: list[dict]) -> Iterator[tuple]:
-        before = value = self.newest.get()[0] if self.newest.exists() else None
-        for row in rows:
-            if not row["side"]:
-                value = row["value"]
-            elif value is not None:
-                yield (_stamp(row["ts"]), row["client_id"], row["ts"], row["ord"], key[0], row["pos"], value)
-        if value != before:
-            self.newest.update((value,))
+    def apply(self, state: dict, rows: list[tuple]) -> Iterator[tuple]:
+        for ch, id_, part, ts, ord_, side, client, pos, value in rows:
+            if not side:
+                state[ch, id_, part] = value
+            elif (newest := state.get((ch, id_, part))) is not None:
+                yield client, ts, ord_, ch, pos, newest
 
 
 def stream_snapshots(

@@ -74,24 +74,19 @@ class Stats(InOrder):
     """Merges the parts of each window: clients so far, and a ring of the ``last`` newest samples
     beside the same samples by value, so that a percentile is one look-up."""
 
-    columns = ("start bigint", "end bigint", "came bigint", "went bigint", "step bigint", f"samples {_SAMPLES}")
+    columns = ("start", "end", "came", "went", "step", "samples")
     order = ("end",)
     output = ("start bigint", "clients bigint", "in_eps double", "out_mps double", "p99_ms double")
 
     def __init__(self, window_ms: int, p: float, last: int) -> None:
         self.window_ms, self.p, self.last = window_ms, p, last
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.state = handle.getValueState("ring", f"clients bigint, ring {_SAMPLES}")
-
-    def apply(self, key: tuple, rows: list[dict]) -> Iterator[tuple]:
-        clients, ring = self.state.get() if self.state.exists() else (0, [])
-        ring = list(map(tuple, ring))
+    def apply(self, state: dict, rows: list[tuple]) -> Iterator[tuple]:
+        clients, ring = state.get("all", (0, []))
         by_value = sorted(s[2] for s in ring)
         windows: dict[int, list[dict]] = {}
         for row in rows:
-            windows.setdefault(row["start"], []).append(row)
+            windows.setdefault(row[1], []).append(dict(zip(self.names, row)))
         for start, parts in sorted(windows.items()):
             clients += sum(r["step"] for r in parts)
             for sample in sorted(tuple(s) for r in parts for s in r["samples"] or ())[-self.last:]:
@@ -106,7 +101,7 @@ class Stats(InOrder):
                 n, second = len(by_value), 1000.0 / self.window_ms
                 slow = by_value[min(int(n * self.p) + 1, n) - 1] if n else 0.0
                 yield start, clients, came * second, went * second, slow
-        self.state.update((clients, ring))
+        state["all"] = clients, ring
 
 
 def stream_sys_stats(
