@@ -2,11 +2,13 @@
 import random
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tests.test_streaming_serving import same
+from tickloom.params import Params
 from tickloom.plans.replay import replay_schedule
-from tickloom.streaming import replay
+from tickloom.streaming import jobs, processor, replay
 
 
 def test_replay_goes_on_until_all_is_played(spark, tmp_path, monkeypatch):
@@ -31,3 +33,42 @@ def test_replay_goes_on_until_all_is_played(spark, tmp_path, monkeypatch):
     same(got.select("ts", "ord", "value", "lap", F.round("due_ms", 6).alias("due_ms")),
          replay_schedule(clip, 1.0, 2).select(
              "ts", "ord", "value", F.col("lap").cast("long").alias("lap"), F.round("due_ms", 6).alias("due_ms")))
+
+
+def test_rows_of_an_asset_are_sorted_in_pieces(monkeypatch):
+    monkeypatch.setattr(processor, "SORTED", 100)
+    monkeypatch.setattr(processor, "PIECE", 7)
+    rng = random.Random(14)
+    rows = [(rng.randrange(300), i, rng.random(), 0.0, 0.0, rng.choice("ab")) for i in range(3_000)]
+    rng.shuffle(rows)
+    frames = [pd.DataFrame(rows[at:at + 40], columns=processor._EVENT) for at in range(0, len(rows), 40)]
+    got = list(processor.in_time_order(iter(frames)))
+    assert [tuple(r) for f in got for r in f.itertuples(index=False)] == sorted(rows)
+    # a frame is full or takes one more piece of each run
+    assert len(got) > 5 and max(map(len, got)) <= 100 + 30 * 7
+    assert list(processor.in_time_order(iter([]))) == []
+
+
+def test_pieces_do_not_change_results(spark, tmp_path, monkeypatch):
+    rng = random.Random(15)
+    schema = "asset_id string, market_id string, price double, best_bid double, best_ask double, recv_ts bigint, ord bigint"
+    rows = [(rng.choice("aab"), rng.choice(["", "m"]), rng.choice([0.0, 0.2, 0.5, 0.9]), 0.0, rng.choice([0.0, 0.6]),
+             rng.randrange(1, 4_000) * 100, i) for i in range(2_500)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+
+    def derived(name):
+        made = processor.derive_stream(
+            spark.readStream.schema(schema).parquet(str(tmp_path / "in")), Params(), every=10_000, late_ms=5_000)
+        jobs.run_to_end(made, str(tmp_path / name / "out"), str(tmp_path / name / "cp"))
+        got = spark.read.schema(made.schema).parquet(str(tmp_path / name / "out"))
+        return got.withColumns({c: F.round(c, 6).alias(c) for c in ("c1m", "c5m", "vol", "surge_from")})
+
+    want = derived("whole")
+    monkeypatch.setattr(processor, "SORTED", 100)
+    monkeypatch.setattr(processor, "PIECE", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 30)
+    try:
+        same(derived("pieces"), want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["kind"] for r in want.select("kind").distinct().collect()} >= {"tick", "alert", "snapshot", "grid"}
