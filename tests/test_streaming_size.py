@@ -5,10 +5,11 @@ import time
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tests.test_streaming_serving import same
+from tests.test_streaming_serving import DELIVERY, OPS, same
 from tickloom.params import Params
 from tickloom.plans.replay import replay_schedule
-from tickloom.streaming import jobs, processor, replay
+from tickloom.streaming import jobs, processor, replay, serving
+from tickloom.streaming.ordered import in_order, timed
 
 
 def test_replay_goes_on_until_all_is_played(spark, tmp_path, monkeypatch):
@@ -72,3 +73,27 @@ def test_pieces_do_not_change_results(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {r["kind"] for r in want.select("kind").distinct().collect()} >= {"tick", "alert", "snapshot", "grid"}
+
+
+def test_state_calls_follow_slots_and_not_keys(spark, tmp_path):
+    """Many clients in few groups: the state holds some rows a slot and none a client."""
+    ops = [(c, 1_000 + c, c, "sub", "asset", ["a", f"k{c % 7}"]) for c in range(2_000)] + [(0, 90_000, 1, "none", None, None)]
+    asked = spark.createDataFrame(ops, OPS)
+    asked.write.parquet(str(tmp_path / "in"))
+    rows = timed(spark.readStream.schema(OPS).parquet(str(tmp_path / "in")), "0 seconds")
+    made = in_order(rows, ("client_id",), serving.Requests(1, "bigint"), slots=5)
+    query = made.writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]]
+    assert held and max(held) <= 5 * 10
+    got = spark.read.schema(made.schema).parquet(str(tmp_path / "out"))
+    # a request for two keys is over the cap of one
+    assert got.count() == 2_000 and got.filter("error = 'too_many_subs'").count() == 2_000
+
+
+def test_conflation_calls_no_python_for_a_delivery(spark, tmp_path):
+    spark.createDataFrame([], DELIVERY).write.parquet(str(tmp_path / "in"))
+    sent = serving.stream_conflate(spark.readStream.schema(DELIVERY).parquet(str(tmp_path / "in")), 700)
+    assert "Python" not in sent._jdf.queryExecution().logical().toString()
+    assert "InPandas" not in sent._jdf.queryExecution().logical().toString()

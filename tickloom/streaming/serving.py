@@ -4,17 +4,15 @@ The batch forms are in :mod:`tickloom.operators.serving`; over the same rows the
 """
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tickloom.functions.wire import envelope, envelope_one
-from tickloom.streaming.ordered import EVENT_TIME, InOrder, in_order, timed, use_event_time
+from tickloom.streaming.ordered import CHUNK, EVENT_TIME, InOrder, in_order, timed, use_event_time
 
 
 class Requests(InOrder):
@@ -80,18 +78,34 @@ class Deliveries(InOrder):
     def __init__(self, client: str) -> None:
         self.output = (f"client_id {client}", "ch string", "id string", "ts bigint", "ord bigint", "value string")
 
-    def apply(self, state: dict, rows: list[tuple]) -> Iterator[tuple]:
+    def frames(self, state: dict, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        clients, sent, counts = [], [], []
         for ch, id_, part, ts, ord_, side, client, step, value in rows:
             key = (ch, id_, part)
             if side:
-                for on in state.get(key, ()):
-                    yield on, ch, id_, ts, ord_, value
+                if key in state:
+                    clients.extend(state[key])
+                    sent.append((ch, id_, ts, ord_, value))
+                    counts.append(len(state[key]))
+                    if len(clients) >= CHUNK:
+                        yield self._sent(clients, sent, counts)
+                        clients, sent, counts = [], [], []
             elif step > 0:
                 state.setdefault(key, {})[client] = None
             elif key in state:
                 state[key].pop(client, None)
                 if not state[key]:
                     del state[key]
+        yield self._sent(clients, sent, counts)
+
+    def _sent(self, clients: list, sent: list[tuple], counts: list[int]) -> pd.DataFrame:
+        """A row for each client of each message, in whole columns."""
+        if not sent:
+            return self._frame([])
+        messages = pd.DataFrame(sent, columns=[c.split()[0] for c in self.output[1:]])
+        rows = messages.iloc[np.repeat(np.arange(len(sent)), counts)].reset_index(drop=True)
+        rows.insert(0, "client_id", clients)
+        return rows
 
 
 def stream_fanout(
@@ -216,75 +230,32 @@ def stream_snapshots(
         F.when(snap, envelope("snap", "items")).otherwise(envelope_one("top", F.get("items", F.lit(0)))).alias("frame"))
 
 
-class Pending(StatefulProcessor):
-    """What one client has not been sent yet: the newest value of each key and flush window."""
-
-    def __init__(self, flush_ms: int, client: str) -> None:
-        self.flush_ms = max(flush_ms, 1)
-        self.names = ["client_id", "flush", "ch", "items"]
-        self.output = f"client_id {client}, flush bigint, ch string, items array<string>"
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.pending = handle.getMapState(
-            "pending", "flush bigint, ch string, id string", "ts bigint, ord bigint, value string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        windows = set()
-        for frame in rows:
-            frame = frame[frame["ch"].notna()]
-            flush = frame["ts"] // self.flush_ms * self.flush_ms
-            frame = frame.assign(flush=flush).sort_values(["ts", "ord"], kind="stable")
-            single = frame[frame["ch"].isin(["alerts", "sys"])]
-            yield self._frame([(key[0], f, c, [v]) for f, c, v in zip(single["flush"], single["ch"], single["value"])])
-            kept = frame[frame["ch"].isin(["asset", "top"])].drop_duplicates(["flush", "ch", "id"], keep="last")
-            for f, c, i, *new in zip(*(kept[n].tolist() for n in ("flush", "ch", "id", "ts", "ord", "value"))):
-                at = (f, c, i)
-                if not self.pending.containsKey(at) or tuple(self.pending.getValue(at))[:2] < tuple(new[:2]):
-                    self.pending.updateValue(at, tuple(new))
-                windows.add(f)
-        for f in windows:
-            # the watermark at the window's last instant: nothing of it is to come
-            self.handle.registerTimer(f + self.flush_ms - 1)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        flush = expiredTimerInfo.getExpiryTimeInMs() - self.flush_ms + 1
-        due = sorted((tuple(k), tuple(v)[2]) for k, v in self.pending.iterator() if k[0] == flush)
-        for at, _ in due:
-            self.pending.removeKey(at)
-        out = []
-        for ch in ("asset", "top"):
-            values = [v for (_, c, _), v in due if c == ch]
-            if values:
-                out.append((key[0], flush, ch, values if ch == "asset" else values[-1:]))
-        yield self._frame(out)
-
-    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=self.names)
-
-    def close(self) -> None:
-        pass
-
-
 def stream_conflate(
     deliveries: DataFrame, flush_ms: int = 50, *, value: str = "value", delay: str = "0 seconds"
 ) -> DataFrame:
-    """:func:`tickloom.operators.serving.conflate` as a stream: pending keys are kept per client
-    and sent by a timer when their flush window is over.
+    """:func:`tickloom.operators.serving.conflate` as a stream: the newest value of each key is kept
+    per client and flush window, and a window is sent when the watermark has passed it. Alerts
+    and sys messages are sent at once.
 
     Rows without ``ch`` only move the clock, so that the last windows are sent as well.
     """
-    kind = dict(deliveries.dtypes)["client_id"]
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     use_event_time(deliveries.sparkSession)
     rows = timed(deliveries.select("client_id", "ts", "ord", "ch", "id", F.col(value).alias("value")), delay)
-    sent = rows.groupBy("client_id").transformWithStateInPandas(
-        statefulProcessor=Pending(flush_ms, kind), outputStructType=Pending(flush_ms, kind).output, outputMode="Append",
-        timeMode="EventTime",
-    )
+    width = max(flush_ms, 1)
+    window = F.window(EVENT_TIME, f"{width} milliseconds").alias("window")
+    newest = F.max_by("value", F.struct("ts", "ord")).alias("value")
+    # clock rows leave after the sums only: a filter on the rows would go below the watermark
+    pending = rows.groupBy(window, "client_id", "ch", "id").agg(newest, F.max("ch").alias("kind"))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("id", "value"))), lambda i: i["value"])
+    sent = pending.filter(F.col("kind").isin("asset", "top")).groupBy("window", "client_id", "ch").agg(items.alias("items"))
     ticks = F.col("ch") == "asset"
-    kind_ = F.when(ticks, "ticks").when(F.col("ch") == "alerts", "alert").otherwise(F.col("ch"))
-    return sent.select(
-        "client_id", "flush", kind_.alias("t"), F.when(ticks, F.size("items")).otherwise(1).alias("n"),
-        F.when(ticks, envelope("ticks", "items")).otherwise(envelope_one(kind_, F.get("items", F.lit(0)))).alias("frame"),
+    due = sent.select(
+        "client_id", F.unix_millis("window.start").alias("flush"), F.when(ticks, "ticks").otherwise(F.col("ch")).alias("t"),
+        F.when(ticks, F.size("items")).otherwise(1).alias("n"),
+        F.when(ticks, envelope("ticks", "items")).otherwise(envelope_one("top", F.element_at("items", -1))).alias("frame"),
     )
+    kind = F.when(F.col("ch") == "alerts", "alert").otherwise(F.col("ch"))
+    at_once = deliveries.filter(F.col("ch").isin("alerts", "sys")).select(
+        "client_id", (F.col("ts") - F.pmod("ts", F.lit(width))).alias("flush"), kind.alias("t"), F.lit(1).alias("n"),
+        envelope_one(kind, F.col(value)).alias("frame"))
+    return due.unionByName(at_once)
