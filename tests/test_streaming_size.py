@@ -5,7 +5,8 @@ import time
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tests.test_streaming_serving import DELIVERY, OPS, same
+from tests.test_streaming_serving import DELIVERY, MSG, OPS, same
+from tickloom.operators import serving as batch
 from tickloom.params import Params
 from tickloom.plans.replay import replay_schedule
 from tickloom.streaming import jobs, processor, replay, serving
@@ -97,3 +98,17 @@ def test_conflation_calls_no_python_for_a_delivery(spark, tmp_path):
     sent = serving.stream_conflate(spark.readStream.schema(DELIVERY).parquet(str(tmp_path / "in")), 700)
     assert "Python" not in sent._jdf.queryExecution().logical().toString()
     assert "InPandas" not in sent._jdf.queryExecution().logical().toString()
+
+
+def test_open_subscriptions_take_two_buckets(spark, monkeypatch):
+    """They end with the last message there is, whatever comes after."""
+    seen, covered = [], batch._covered
+    monkeypatch.setattr(batch, "_covered", lambda *args: seen.append(args) or covered(*args))
+    messages = [("asset", "a", t, t, f"v{t}") for t in range(0, 400_000, 1_000)]
+    opened = [(c, "asset", "a", c * 3_000, 0, batch.FAR, batch.FAR) for c in range(200)]
+    intervals = spark.createDataFrame(
+        opened, "client_id long, ch string, id string, start long, start_ord long, end long, end_ord long")
+    got = batch.fanout_join(spark.createDataFrame(messages, MSG), intervals)
+    want = sorted((o[0], m[2]) for m in messages for o in opened if (o[3], o[4]) <= (m[2], m[3]))
+    assert sorted((r["client_id"], r["ts"]) for r in got.collect()) == want
+    assert intervals.select(F.max(F.size(covered(*seen[0])))).first()[0] <= 2

@@ -15,6 +15,7 @@ from tickloom.functions.wire import envelope, envelope_one
 from tickloom.operators.axis import SLICE, Axis, running, slice_expr
 from tickloom.operators.gap import sample_min_gap
 from tickloom.operators.joins import asof_join, skew_join
+from tickloom.session import durable
 
 _CLIENT = ("client_id",)
 _KEY = ("client_id", "ch", "id")
@@ -226,8 +227,14 @@ def fanout_pairs(
     buckets they fall into (all of their key without ``bucket_ms``)."""
     if bucket_ms is None:
         return skew_join(messages, intervals, ("ch", "id"), spread=("ts", "ord"), hot=hot)
-    widths = _widths(bucket_ms)
-    placed = intervals.withColumn("_at", F.explode(_covered(F.col("start"), F.col("end"), widths)))
+    widths, end = _widths(bucket_ms), F.col("end")
+    if not messages.isStreaming:
+        intervals = durable(intervals)  # read for the levels and again for the join
+        last = messages.agg(F.max("ts")).first()[0]
+        if last is not None:
+            # nothing is sent later: an open interval takes two buckets and not some of each level
+            end = F.least(end, F.lit(last + 1))
+    placed = intervals.withColumn("_at", F.explode(_covered(F.col("start"), end, widths)))
     placed = placed.select("*", "_at.level", "_at.bucket").drop("_at")
     # a handful of numbers: a message is copied only to the levels that hold an interval
     used = sorted(r[0] for r in placed.select("level").distinct().collect()) or [0]
