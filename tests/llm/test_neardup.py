@@ -68,3 +68,19 @@ def test_large_group_costs_its_size(documents, monkeypatch):
     monkeypatch.setattr(neardup, "_verified", lambda p, s: (seen.append(p.distinct().count()), check(p, s))[1])
     assert neardup.representatives(docs, F.col("doc_id")).count() == 1
     assert sum(seen) < 120 * 32
+
+
+def test_group_of_unlike_copies_costs_its_size(documents, monkeypatch):
+    """Copies of one text with changes of their own share buckets and are not similar."""
+    rng = random.Random(3)
+    base, rows = [f"u{k}" for k in range(150)], []
+    for i in range(120):
+        words = list(base)
+        for at in rng.sample(range(150), 5):
+            words[at] = f"x{i}.{at}"
+        rows.append((i, " ".join(words)))
+    seen, check = [], neardup._agreeing
+    monkeypatch.setattr(neardup, "_agreeing", lambda p, s: (seen.append(p.distinct().count()), check(p, s))[1])
+    monkeypatch.setattr(neardup, "ROUNDS", 0)
+    assert neardup.representatives(documents(rows), F.col("doc_id")).count() == 120
+    assert sum(seen) < 120  # 7,140 pairs, some 4,800 of them in a bucket
