@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.conftest import TEXTS
+from tests.llm.test_simhash import plain_components
 from tickloom.llm import neardup, stages
 
 
@@ -84,3 +85,25 @@ def test_group_of_unlike_copies_costs_its_size(documents, monkeypatch):
     monkeypatch.setattr(neardup, "ROUNDS", 0)
     assert neardup.representatives(documents(rows), F.col("doc_id")).count() == 120
     assert sum(seen) < 120  # 7,140 pairs, some 4,800 of them in a bucket
+
+
+def test_fingerprints_link_without_bands(documents, monkeypatch):
+    """The first candidates are SimHash fingerprints at most three bits apart."""
+    rows = [r for r in planted() if len(r[1].split()) >= 100]
+    sets = neardup._signatures(documents(rows), F.col("doc_id"), "doc_id", "text").groupBy("node").agg(
+        F.min("id").alias("id"), F.min("n").alias("n"), F.min("fp").alias("fp"))
+    found = {r["node"]: r for r in sets.collect()}
+    texts = dict(rows)
+    for r in found.values():
+        hashes = [int(h) for h in neardup.shingles(texts[r["id"]].encode())]
+        bits = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert r["fp"] % (1 << 64) == bits
+    group = plain_components(sorted(found), [found[k]["fp"] % (1 << 64) for k in sorted(found)])
+    want = {(group[i], node) for i, node in enumerate(sorted(found)) if group[i] != node}
+    alike = lambda a, b: min(found[a]["n"], found[b]["n"]) >= 0.8 * max(found[a]["n"], found[b]["n"])
+    got = {(r["a"], r["b"]) for r in neardup._fingerprint_pairs(sets).collect()}
+    assert got == {p for p in want if alike(*p)} and len(got) > 5
+
+    monkeypatch.setattr(neardup, "bands", lambda s: F.array(F.xxhash64(s)))  # no bucket holds two sets
+    kept = neardup.representatives(documents(rows), F.col("doc_id")).count()
+    assert kept < len(found) - 5
