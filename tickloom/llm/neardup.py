@@ -2,7 +2,7 @@
 
 Two texts are linked if their sets of shingles have a Jaccard similarity of ``LEAST`` or
 more. Each set has a SimHash fingerprint; multi-index hashing (``simhash.hamming_links``) finds
-those at most three bits apart, and every member of such a group is compared with one of it.
+those at most three bits apart, and every set is compared with one of the least such fingerprint.
 
 At 0.8 fingerprints differ in ten bits on average, so more candidates come from ``BANDS`` bands
 of ``ROWS`` minima: a pair at 0.8 shares none with probability ``(1 - 0.8 ** 5) ** 32``, three in
@@ -202,15 +202,14 @@ def _labels(links: DataFrame) -> DataFrame:
 
 
 def _fingerprint_pairs(distinct: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of every set with the least of its group of fingerprints a few bits apart."""
-    fps = durable(distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("c")))
-    roots = durable(components(hamming_links(fps.select("fp"))))
-    groups = fps.join(roots, F.col("fp") == F.col("node"), "left").filter("c > 1 OR root IS NOT NULL").select(
-        "fp", F.coalesce("root", "fp").alias("group"))
-    rows = durable(distinct.select("node", "n", "fp").join(groups, "fp"))
-    first = rows.groupBy("group").agg(F.min(F.struct("node", "n")).alias("f"))
-    return rows.join(first, "group").filter((F.col("node") != F.col("f.node")) & _alike("n", "f.n")).select(
-        F.col("f.node").alias("a"), F.col("node").alias("b"))
+    """Pairs ``a, b`` of every set with one of the least fingerprint a few bits from its own."""
+    fps = durable(distinct.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("f")))
+    ends = F.explode(F.array(F.struct(F.col("a").alias("fp"), "b"), F.struct(F.col("b").alias("fp"), F.col("a").alias("b"))))
+    least = hamming_links(fps.select("fp")).select(ends.alias("e")).groupBy("e.fp").agg(F.min("e.b").alias("b"))
+    leads = fps.select("fp").join(least, "fp", "left").select("fp", F.least("fp", "b").alias("lead"))
+    met = leads.join(fps.withColumnRenamed("fp", "lead"), "lead").select("fp", "f")
+    return distinct.select("node", "n", "fp").join(met, "fp").filter(
+        (F.col("node") != F.col("f.node")) & _alike("n", "f.n")).select(F.col("f.node").alias("a"), F.col("node").alias("b"))
 
 
 def _prefix_pairs(members: DataFrame, distinct: DataFrame) -> DataFrame:
