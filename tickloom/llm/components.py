@@ -3,6 +3,9 @@
 Every round makes two grouped minima and two joins; no node's links are gathered in
 one place, and a hub is one row after the map-side minimum. Rounds are written to the
 checkpoint folder. The number of rounds grows with the logarithm of the longest chain.
+
+A round has as many tasks as its links need and not as the session has shuffle partitions: a
+few thousand links in hundreds of tasks are hundreds of files for each of a round's shuffles.
 """
 from __future__ import annotations
 
@@ -11,17 +14,21 @@ from pyspark.sql import functions as F
 
 from tickloom.session import durable
 
+#: Links of a task.
+LINKS = 5_000
+
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, parts: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    moved = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.coalesce(parts).distinct().coalesce(parts)
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, parts: int) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
     moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).coalesce(parts).distinct().coalesce(parts)
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
@@ -46,7 +53,8 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     )
     mark = _mark(edges)
     while mark[0]:
-        edges = durable(_small(_large(edges)))
+        parts = 1 + mark[0] // LINKS
+        edges = durable(_small(_large(edges.coalesce(parts), parts), parts))
         new = _mark(edges)
         if new == mark:
             break
