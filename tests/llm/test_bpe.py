@@ -2,7 +2,9 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import TEXTS
@@ -74,3 +76,15 @@ def test_decode_of_stored_ids(messy):
 
 def test_empty_table(documents):
     assert bpe.encode(documents([]), PATH, decoded="d").collect() == []
+
+
+def test_slices_are_let_go(documents):
+    """What a worker holds does not grow with the slices it has encoded."""
+    docs = documents([(i, f"{i} words of a long text " * 50_000) for i in range(12)]).coalesce(1)
+
+    def held(batch):
+        return pa.RecordBatch.from_arrays([pa.array([pa.total_allocated_bytes()], pa.int64())], ["held"])
+
+    schema = T.StructType([T.StructField("held", T.LongType())])
+    seen = [r["held"] for r in bpe.encode(docs, PATH, then=(held, schema)).collect()]
+    assert len(seen) == 12 and max(seen[3:]) < seen[2] + 3_000_000

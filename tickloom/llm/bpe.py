@@ -405,10 +405,12 @@ def encode(
         model = _model(shared)
         for batch in slices(batches, source, SLICE):
             flat, edges = model.encode_batch(texts_of(batch, source))
-            raw = memoryview(flat).cast("B") if len(flat) else memoryview(b"")
-            ids = [raw[4 * edges[d]:4 * edges[d + 1]] for d in range(len(batch))]
+            # not an array of memoryviews: pyarrow never lets go of what those are views of
+            ids = pa.LargeBinaryArray.from_buffers(
+                pa.large_binary(), len(batch), [None, pa.py_buffer(4 * edges), pa.py_buffer(flat)]
+            ).cast(pa.binary())
             columns = [c for c, name in zip(batch.columns, batch.schema.names) if name != source]
-            columns += [pa.array(np.diff(edges), pa.int64()), pa.array(ids, pa.binary())]
+            columns += [pa.array(np.diff(edges), pa.int64()), ids]
             if decoded:
                 columns.append(pa.array(model.decode_batch(flat, edges), pa.string()))
             yield finish(pa.RecordBatch.from_arrays(columns, schema.names))
