@@ -1,21 +1,19 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney trigram model.
 
-The model is trained on trusted documents. Words are put into ``SYMBOLS`` classes by
-their looks (capitals, punctuation, and for plain lower-case words the word itself if
-short, or its ending), so the lower orders of the model are small tables of a fixed
-bound; the trigram counts grow with the corpus and stay in shards.
-
-Documents are encoded once, in blocks of some thousand (ids, languages, packed symbols).
-Every block asks each shard for its own distinct trigrams, in one packed row; the shard
-joins the requests with its counts and answers with log probabilities, which return to
-the block. So a frequent trigram moves once per block, not once per occurrence, and no
-text is shuffled.
+The model (``wordmodel``) is trained on trusted documents and counts whole words.
 
 A document is rejected if its log perplexity is above the cut of its language. The cut
 comes from trusted documents that were left out of training: their median plus
 ``SLACK`` times the distance from there to the quantile ``HIGH``, and ``MARGIN``. As short texts scatter, a
 text is scored as if ``PRIOR`` more words of the language's median stood in it.
 
+``encode``, ``train`` and ``score`` are the same model over classes instead of words: its lower
+orders are small tables of a fixed bound, its trigram counts stay in shards. ``classify`` does
+not use it. Documents are encoded once, in blocks of some thousand (ids, languages, packed
+symbols). Every block asks each shard for its own distinct trigrams, in one packed row; the
+shard joins the requests with its counts and answers with log probabilities, which return to
+the block.
+
 Defined results: a null or empty text has no words, perplexity null, and is rejected;
 a language without held-out trusted documents, null included, takes the cut over all
 of them; without any, nothing with words is rejected; a null id is never trusted; labels
@@ -37,13 +35,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tickloom.llm import wordmodel
+from tickloom.llm.classes import BEGIN, BITS, PLAIN, SYMBOLS, discounts, symbol  # noqa: F401
 from tickloom.llm.common import slices
 from tickloom.session import durable
 
-BITS = 11
-SYMBOLS = 1 << BITS
-#: Symbols 0 to 15 are looks; then the beginning of a text; the rest are plain words.
-BEGIN, PLAIN = 16, 17
 #: Bytes of text encoded at once, and words of a block: the larger a block, the fewer
 #: trigrams it shares with others and asks for again.
 SLICE, BLOCK_WORDS = 4_000_000, 2_000_000
@@ -56,40 +52,9 @@ HIGH, SLACK, MARGIN, PRIOR = 0.99, 1.5, 0.15, 10
 LANGUAGES = 1000
 #: Spreads neighbouring contexts over the shards.
 MIX = 2654435761
-_PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_STOP, _PAUSE = b".?!", b",;:"
 _known: dict[bytes, int] = {}
 
 
-def symbol(word: bytes) -> int:
-    """Class of a word (UTF-8, no white space)."""
-    core = word.strip(_PUNCT)
-    tail = word[len(word.rstrip(_PUNCT)):]
-    if tail == word:
-        mark = 3
-    elif not tail:
-        mark = 0
-    elif len(tail) == 1 and tail in _STOP:
-        mark = 1
-    elif len(tail) == 1 and tail in _PAUSE:
-        mark = 2
-    else:
-        mark = 3
-    text = core.decode("utf-8", "replace")
-    if not text or not text.isalpha():
-        shape = 3
-    elif text.islower():
-        shape = 0
-    elif len(text) > 1 and text.isupper():
-        shape = 2
-    else:
-        shape = 1
-    if shape == 0 and mark == 0 and core == word:
-        key = core if len(text) <= 3 else b"~" + text[-2:].encode()
-        return PLAIN + xxhash.xxh64_intdigest(key) % (SYMBOLS - PLAIN)
-    return shape * 4 + mark
-
-
 def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of all texts one after another, and how many each text has."""
     words = [t.split() for t in texts]
@@ -125,16 +90,6 @@ def trigrams(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return a << 2 * BITS | b << BITS | c
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Discount of counts 0, 1, 2 and 3 or more, from how many have count 1 to 4."""
-    n1, n2, n3, n4 = (float(x) for x in counts)
-    if not (n1 and n2 and n3 and n4):
-        return np.array([0.0, 0.5, 1.0, 1.5])
-    y = n1 / (n1 + 2 * n2)
-    raw = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
-    return np.array([0.0, *[min(max(d, 0.05 * k), float(k)) for k, d in enumerate(raw, 1)]])
-
-
 def lower_orders(pairs: np.ndarray) -> np.ndarray:
     """Matrix of ``p(c | b)`` from the number of distinct words before each pair ``b, c``."""
 
@@ -371,10 +326,12 @@ def classify(
     """Per document: id, ``n_words, perplexity, cut`` (highest perplexity kept), ``keep``, and
     with ``key`` that column of the caller's to find rows again."""
     spark = docs.sparkSession
-    blocks = encode(docs, id_col, text_col, lang_col, key)
     good = trusted(labels)
-    model = train(blocks, good.filter(~held_out(F.col("id"))))
-    scores = durable(score(blocks, model))
+    rows = wordmodel.rows_of(docs, id_col, text_col, lang_col, key)
+    with wordmodel.without_old_shuffles(spark):
+        sizes = wordmodel.sizes_of(rows)
+        model = wordmodel.train(rows, good.filter(~held_out(F.col("id"))), sizes)
+        scores = durable(wordmodel.score(rows, model, sizes))
     sample = scores.filter("n_words > 0").join(good.filter(held_out(F.col("id"))), "id").select(
         "lang", (F.col("nll") / F.col("n_words")).alias("x")
     )
