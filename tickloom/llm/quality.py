@@ -5,7 +5,7 @@ The model (``wordmodel``) is trained on trusted documents and counts whole words
 A document is rejected if its log perplexity is above the cut of its language. The cut
 comes from trusted documents that were left out of training: their median plus
 ``SLACK`` times the distance from there to the quantile ``HIGH``, and ``MARGIN``. As short texts scatter, a
-text is scored as if ``PRIOR`` more words of the language's median stood in it.
+text is compared (and that quantile taken) as if ``PRIOR`` more words of the language's median stood in it.
 
 ``encode``, ``train`` and ``score`` are the same model over classes instead of words: its lower
 orders are small tables of a fixed bound, its trigram counts stay in shards. ``classify`` does
@@ -332,24 +332,30 @@ def classify(
         sizes = wordmodel.sizes_of(rows)
         model = wordmodel.train(rows, good.filter(~held_out(F.col("id"))), sizes)
         scores = durable(wordmodel.score(rows, model, sizes))
-    sample = scores.filter("n_words > 0").join(good.filter(held_out(F.col("id"))), "id").select(
-        "lang", (F.col("nll") / F.col("n_words")).alias("x")
-    )
-
-    def quantiles(by: DataFrame | Any) -> list[Any]:
-        rows = by.agg(F.percentile_approx("x", [0.5, high], 100_000).alias("q")).limit(LANGUAGES + 1).collect()
-        if len(rows) > LANGUAGES:
-            raise ValueError(f"more than {LANGUAGES} languages")
-        return [r for r in rows if r["q"]]
-
-    each = [(r["lang"], *r["q"]) for r in quantiles(sample.filter("lang IS NOT NULL").groupBy("lang"))]
-    whole = [tuple(r["q"]) for r in quantiles(sample)]
-    own = spark.createDataFrame(each, "lang string, m double, h double")
-    m0, h0 = whole[0] if whole else (None, None)
-    rows = scores.join(F.broadcast(own), "lang", "left")  # LANGUAGES rows at most
-    m, h = F.coalesce("m", F.lit(m0).cast("double")), F.coalesce("h", F.lit(h0).cast("double"))
-    cut = m + slack * (h - m) + MARGIN
-    mean = (F.col("nll") + PRIOR * m) / (F.col("n_words") + PRIOR)
+    sample = scores.filter("n_words > 0").join(good.filter(held_out(F.col("id"))), "id").select("lang", "nll", "n_words")
+
+    def quantiles(rows: DataFrame, at: float) -> tuple[DataFrame, Column]:
+        """Of each language (``lang, q``), and over all."""
+
+        def found(by: DataFrame | Any) -> list[Any]:
+            got = by.agg(F.percentile_approx("x", at, 100_000).alias("q")).limit(LANGUAGES + 1).collect()
+            if len(got) > LANGUAGES:
+                raise ValueError(f"more than {LANGUAGES} languages")
+            return [r for r in got if r["q"] is not None]
+
+        each = [(r["lang"], r["q"]) for r in found(rows.filter("lang IS NOT NULL").groupBy("lang"))]
+        whole = [r["q"] for r in found(rows)]
+        return spark.createDataFrame(each, "lang string, q double"), F.lit(whole[0] if whole else None).cast("double")
+
+    def beside(rows: DataFrame, name: str, own: DataFrame, whole: Column) -> DataFrame:
+        own = own.withColumnRenamed("q", "own")  # LANGUAGES rows at most
+        return rows.join(F.broadcast(own), "lang", "left").withColumn(name, F.coalesce("own", whole)).drop("own")
+
+    mean = (F.col("nll") + PRIOR * F.col("m")) / (F.col("n_words") + PRIOR)
+    middle = quantiles(sample.withColumn("x", F.col("nll") / F.col("n_words")), 0.5)
+    sample = beside(sample, "m", *middle)
+    rows = beside(beside(scores, "m", *middle), "h", *quantiles(sample.withColumn("x", mean), high))
+    cut = F.col("m") + slack * (F.col("h") - F.col("m")) + MARGIN
     words = F.col("n_words") > 0
     return rows.select(
         F.col("id").alias(id_col), "n_words", F.when(words, F.exp(F.col("nll") / F.col("n_words"))).alias("perplexity"),
